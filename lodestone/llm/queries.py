@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.bpe import round_trip
 from lodestone.llm.common import table
 from lodestone.llm.exact_dedup import exact_dedup
 
+try:
+    import public_tokenizers
+
+    BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+except ImportError:
+    BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,9 +24,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_bpe": op6_bpe,
     }
 
 
