@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.bpe import round_trip
 from lodestone.llm.common import table
 from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.packing import best_fit_pack
 
 try:
     import public_tokenizers
@@ -28,10 +29,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op5_exact_dedup": op5_exact_dedup,
         "op6_bpe": op6_bpe,
+        "op9_best_fit_packing": op9_best_fit_packing,
     }
 
 
