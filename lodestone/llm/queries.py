@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.bpe import round_trip
 from lodestone.llm.common import table
 from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.html_extract import extract_pages
 from lodestone.llm.packing import best_fit_pack
 
 try:
@@ -33,10 +34,15 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op5_exact_dedup": op5_exact_dedup,
         "op6_bpe": op6_bpe,
+        "op10_html_extraction": op10_html_extraction,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
 
