@@ -11,6 +11,7 @@ from lodestone.llm.common import table
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.html_extract import extract_pages
 from lodestone.llm.packing import best_fit_pack
+from lodestone.llm.secrets import find_secrets, span_digest
 
 try:
     import public_tokenizers
@@ -22,6 +23,10 @@ except ImportError:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_bpe": op6_bpe,
         "op10_html_extraction": op10_html_extraction,
