@@ -10,6 +10,7 @@ from lodestone.llm.bpe import round_trip
 from lodestone.llm.common import table
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.html_extract import extract_pages
+from lodestone.llm.jaccard import jaccard_groups
 from lodestone.llm.langid import identify
 from lodestone.llm.packing import best_fit_pack
 from lodestone.llm.secrets import find_secrets, span_digest
@@ -28,6 +29,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_language_id": op4_language_id,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_bpe": op6_bpe,
