@@ -12,6 +12,7 @@ from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.html_extract import extract_pages
 from lodestone.llm.jaccard import jaccard_groups
 from lodestone.llm.langid import identify
+from lodestone.llm.line_dedup import line_report
 from lodestone.llm.packing import best_fit_pack
 from lodestone.llm.secrets import find_secrets, span_digest
 
@@ -45,6 +46,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -60,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op4_language_id": op4_language_id,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_bpe": op6_bpe,
+        "op8_line_dedup": op8_line_dedup,
         "op10_html_extraction": op10_html_extraction,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
@@ -76,4 +82,24 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = first_value(doc_id) OVER w AS kept, sha256(t) AS text_sha256
             FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)
         """,
+        "op8_line_dedup": r"""
+            WITH l AS (
+                SELECT doc_id, unnest(string_split(text, chr(10))) AS words, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
+                FROM documents),
+            p AS (
+                SELECT doc_id, line, words, lead(words) OVER (PARTITION BY doc_id ORDER BY line) AS follows
+                FROM l),
+            w AS (
+                SELECT doc_id, line, row_number() OVER (PARTITION BY words, follows ORDER BY doc_id, line) AS copy
+                FROM p WHERE trim(words) <> '' AND trim(follows) <> ''),
+            gone AS (SELECT DISTINCT doc_id, line + d AS line FROM w, (VALUES (0), (1)) AS s(d) WHERE copy > 1),
+            j AS (
+                SELECT l.doc_id, l.line, l.words, gone.line IS NOT NULL AS removed,
+                       gone.line IS NOT NULL AND lag(gone.line) OVER (PARTITION BY l.doc_id ORDER BY l.line) IS NULL AS starts
+                FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.line = l.line)
+            SELECT d.doc_id, count(*) FILTER (WHERE trim(j.words) <> '') AS n_lines,
+                   count(*) FILTER (WHERE j.removed) AS n_removed, count(*) FILTER (WHERE j.starts) AS n_runs,
+                   sha256(coalesce(string_agg(j.words, chr(10) ORDER BY j.line) FILTER (WHERE NOT j.removed), '')) AS kept_sha256
+            FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id GROUP BY d.doc_id
+        """,
     }
