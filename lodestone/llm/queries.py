@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.bpe import round_trip
 from lodestone.llm.common import table
+from lodestone.llm.embedding_dedup import near_vectors
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.html_extract import extract_pages
 from lodestone.llm.jaccard import jaccard_groups
@@ -30,6 +31,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_language_id": op4_language_id,
         "op5_exact_dedup": op5_exact_dedup,
