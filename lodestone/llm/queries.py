@@ -16,6 +16,7 @@ from lodestone.llm.langid import identify
 from lodestone.llm.line_dedup import line_report
 from lodestone.llm.packing import best_fit_pack
 from lodestone.llm.secrets import find_secrets, span_digest
+from lodestone.llm.substring_dedup import passage_report
 
 try:
     import public_tokenizers
@@ -51,6 +52,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_report(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ def queries() -> dict[str, Query]:
         "op4_language_id": op4_language_id,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_bpe": op6_bpe,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_line_dedup": op8_line_dedup,
         "op10_html_extraction": op10_html_extraction,
         "op9_best_fit_packing": op9_best_fit_packing,
