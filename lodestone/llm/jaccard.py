@@ -1,11 +1,10 @@
 """Similarity join of documents by the Jaccard index of their word shingles, with an R-tree over count vectors.
 
 1. Each document becomes the set of its hashed shingles. Documents with equal sets are one representative from then on.
-2. Families. Two sets that reach the threshold differ in at most T elements. When the hash space is cut into T + 1 + E
-   parts, such sets agree exactly on more than E parts, so on one that is not empty unless more than E parts are empty; a set
-   with more empty parts than that is cut again under another seed, as its partner then is too. Sets that share the content
-   of a part are joined into families; no link crosses families. T depends on the size, so sizes fall into bands, and a set
-   whose smaller partners may lie in the band below is cut for that band as well.
+2. Families. Elements are ordered, rare ones first, by how often their cell of a count table of fixed size occurs in the
+   whole corpus. Two sets that reach the threshold share one of their first n - ceil(threshold * n) + 1 elements, whatever the
+   order; with this one, elements that many documents share are hardly ever among them. Sets that share such an element
+   are joined into families; no link crosses families.
 3. Within a family, elements are hashed into groups; the group counts of a set are a point, points are kept in an R-tree
    whose boxes hold the largest count of each group. The sum of coordinate minima bounds the overlap from above, for boxes
    as for points; pairs that survive are verified on the sets. Only pairs that are not connected yet need verifying.
@@ -25,7 +24,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import id_text, stash
 from lodestone.llm.components import components
 
-GROUPS = 64
+GROUPS = 512
+CELLS = 1 << 16
 LEAF = 16
 BLOCK = 3_000_000  # shingles of a family that one task holds from each of its two blocks
 WORDS = 400_000
@@ -72,48 +72,32 @@ class Shingler:
         return np.unique(x)
 
 
-def bands(smallest: int, ratio: float = 1.5, top: int = 2**31) -> list[int]:
-    """Lower borders of the size bands."""
-    out = [smallest]
-    while out[-1] < top:
-        out.append(int(np.ceil(out[-1] * ratio)))
-    return out
-
+def cell_counts(plain: DataFrame, size: int) -> np.ndarray:
+    """How many distinct shingles of all documents fall into each of CELLS cells; a bounded table, whatever the input."""
 
-class Cutter:
-    """Keys of a set: the contents of the parts that it may share with a partner. percent: the least Jaccard index."""
-
-    def __init__(self, percent: int = 90):
-        self.percent, self.miss = percent, 100 - percent
-        # the first size at which a partner may differ in one element: size * miss // percent >= 1
-        self.borders = bands(-(-percent // self.miss) if self.miss else 2**31)
+    def run(batches: Iterator[pa.RecordBatch]):
+        shingler, counts = Shingler(size), np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                for text in batch.column(0).slice(at, 500).to_pylist():
+                    counts += np.bincount((shingler.shingles(text) % U(CELLS)).astype(np.intp), minlength=CELLS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["cell", "count"])
+
+    table = plain.select("text").mapInArrow(run, "cell long, count long").groupBy("cell").agg(F.sum("count").alias("count")).toPandas()
+    out = np.zeros(CELLS, np.int64)
+    out[table["cell"]] = table["count"]
+    return out
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        n = len(s)
-        if n < self.borders[0]:
-            return np.empty(0, np.uint64)
-        own = int(np.searchsorted(self.borders, n, side="right")) - 1
-        smallest_partner = -(-n * self.percent // 100)
-        below = own > 0 and smallest_partner < self.borders[own]
-        return np.concatenate([self.cut(s, b) for b in ([own, own - 1] if below else [own])])
 
-    def cut(self, s: np.ndarray, band: int) -> np.ndarray:
-        differing = (self.borders[band + 1] - 1) * self.miss // self.percent
-        out, seed = [], 0
-        while True:
-            usual = differing + 1
-            blank = usual * np.exp(-self.borders[band] / usual)
-            extra = int(np.ceil(blank + 4 * np.sqrt(blank) + 1)) * (seed + 1)
-            parts = usual + extra
-            place = mix(s ^ U(0xA0761D6478BD642F * (seed + 1) % 2**64)) % U(parts)
-            content = np.zeros(parts, np.uint64)
-            np.add.at(content, place.astype(np.intp), mix(s + U(0xE7037ED1A0B428DB)))
-            used = np.flatnonzero(np.bincount(place.astype(np.intp), minlength=parts))
-            label = (used + parts * 1024 + band * 2**40 + seed * 2**48).astype(np.uint64)
-            out.append(mix(content[used] + mix(label)))
-            if parts - len(used) <= extra:
-                return np.concatenate(out)
-            seed += 1
+def prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The elements of which any two sets that reach the threshold share one."""
+    n = len(s)
+    keep = n - -(-n * percent // 100) + 1 if n else 0
+    if keep >= n:
+        return s
+    order = np.lexsort((s, counts[(s % U(CELLS)).astype(np.intp)]))
+    return s[order[:keep]]
 
 
 class RTree:
@@ -166,9 +150,9 @@ class RTree:
 def family_links(ids: list[int], sides: list[int], sets: list[np.ndarray], same: bool, percent: int) -> list[tuple[int, int]]:
     """Links that connect what the threshold connects; same: within one block, else only across the two sides."""
     n = len(ids)
-    counts = np.zeros((n, GROUPS), np.int32)
+    counts = np.zeros((n, GROUPS), np.uint16 if max(map(len, sets)) < 1 << 16 else np.int64)
     for k, s in enumerate(sets):
-        counts[k] = np.bincount((s % U(GROUPS)).astype(np.intp), minlength=GROUPS)
+        counts[k] = np.bincount((mix(s) % U(GROUPS)).astype(np.intp), minlength=GROUPS)
     sizes = np.array([len(s) for s in sets])
     parent = list(range(n))
 
@@ -201,9 +185,10 @@ def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: st
     link as any two equal texts do. Other columns are not read; an empty table gives no rows.
     """
     plain = id_text(docs, id_col, text_col)
+    counts = cell_counts(plain, size)
 
     def sketch(batches: Iterator[pa.RecordBatch]):
-        shingler, cutter = Shingler(size), Cutter(percent)
+        shingler = Shingler(size)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -213,9 +198,9 @@ def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: st
                     n.append(len(s))
                     d1.append(mix(s ^ U(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64).astype(np.int64) if len(s) else 0)
                     d2.append(np.bitwise_xor.reduce(mix(s ^ U(0x589965CC75374CC3))).astype(np.int64) if len(s) else 0)
-                    keys.append(cutter.keys(s).astype(np.int64))
+                    keys.append(prefix(s, counts, percent).astype(np.int64))
                 offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], ["doc_id", "n", "d1", "d2", "keys"])
 
     rows = stash(plain.mapInArrow(sketch, "doc_id long, n long, d1 long, d2 long, keys array<long>"), "sketch")
@@ -223,7 +208,7 @@ def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: st
     reps = stash(known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "reps")
     members = known.join(reps, ["n", "d1", "d2"]).select("doc_id", "rep")
 
-    # families: every set that shares a part joins the smallest set with that part
+    # families: every set that shares a first element joins the smallest set with that element
     keyed = rows.where(F.size("keys") > 0).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
     stars = keyed.join(shared, "key").where("rep > first").select("rep", "first").distinct()
