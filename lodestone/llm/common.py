@@ -39,9 +39,11 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance rows so that a few large input files or row groups do not make a few long tasks."""
-    return df.hint("rebalance")
+def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most so many rows, those of the smallest hash of key; a threshold first keeps what each task sends small."""
+    total = df.count()
+    place = F.pmod(F.xxhash64(key), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    return df.withColumn("place", place).where(F.col("place") <= min(1.0, (1.5 * rows + 100) / max(1, total))).orderBy("place", key).limit(rows).drop("place")
 
 
-__all__ = ["F", "id_text", "shared_dir", "spread", "stash", "table"]
+__all__ = ["F", "hashed_sample", "id_text", "shared_dir", "stash", "table"]

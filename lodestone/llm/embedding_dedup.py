@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stash
+from lodestone.llm.common import hashed_sample, stash
 from lodestone.llm.components import components
 
 TREES = 6
@@ -148,7 +148,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, sample_rows: int = SA
 def _links(reps: DataFrame, length: int, least: float, sample_rows: int, leaf_rows: int, trees: int) -> DataFrame:
     """rep with a number of links, and rep with another linked rep, for vectors of one length."""
     total = reps.count()
-    sample = unit([r["x"] for r in reps.select("x", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(sample_rows).collect()])
+    sample = unit([r["x"] for r in hashed_sample(reps.select("rep", "x"), "rep", sample_rows).collect()])
     spill = SPILL * np.sqrt(2 - 2 * least) / np.sqrt(length)
     forest = Forest(sample, max(8.0, leaf_rows * len(sample) / total), spill, trees)
 
