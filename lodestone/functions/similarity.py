@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x: str | Column) -> Column:
@@ -57,7 +58,7 @@ def edit_similarity(a: str | Column, b: str | Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(_c(a), _c(b)) / longest)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio, which no built-in expression gives; call it on few candidates."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
