@@ -39,14 +39,14 @@ def rate_limit(events: DataFrame, key: str, ts: str, event_id: str, cap: int, se
                 allowed += ok
             yield pd.DataFrame({event_id: pdf[event_id], key: pdf[key], "allowed": allowed})
 
-    rows = events.selectExpr(event_id, key, f"unix_micros({ts}) / 1000000.0D AS __t").repartition(key).sortWithinPartitions(key, "__t", event_id)
+    rows = events.selectExpr(event_id, key, f"unix_micros(cast({ts} as timestamp)) / 1000000.0D AS __t").repartition(key).sortWithinPartitions(key, "__t", event_id)
     kinds = dict(rows.dtypes)
     return rows.mapInPandas(run, f"{event_id} {kinds[event_id]}, {key} {kinds[key]}, allowed boolean")
 
 
 def rate_limit_stream(events: DataFrame, key: str, ts: str, event_id: str, cap: int, seconds: float = 60.0) -> DataFrame:
     """The same for a streaming frame; the log of each key is its state, dropped after an idle window."""
-    rows = events.selectExpr(event_id, key, f"unix_micros({ts}) / 1000000.0D AS __t")
+    rows = events.selectExpr(event_id, key, f"unix_micros(cast({ts} as timestamp)) / 1000000.0D AS __t")
     kinds = dict(rows.dtypes)
 
     def step(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -37,7 +37,7 @@ def first_only(events: DataFrame, ts: str, keys: Sequence[str], late: str) -> Da
 
 def trailing_count(events: DataFrame, ts: str, by: Sequence[str], seconds: int) -> DataFrame:
     """Each event with the number of its key's events in the last so many seconds, itself included (batch)."""
-    w = Window.partitionBy(*by).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(*by).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("recent", F.count(F.lit(1)).over(w))
 
 
@@ -62,11 +62,11 @@ def follow_up(text: Column, has_history: Column, most_words: int = 5) -> Column:
 
 def due(last: Column, hours: Column, now: Column, enabled: Column) -> Column:
     """Whether a crawl is due: enabled, and never done or at least the interval ago."""
-    return enabled & (last.isNull() | (F.unix_seconds(now) - F.unix_seconds(last) >= hours * 3600))
+    return enabled & (last.isNull() | (F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(last.cast("timestamp")) >= hours * 3600))
 
 
 def next_run(last: Column, hours: Column) -> Column:
-    return F.timestamp_seconds(F.unix_seconds(last) + hours * 3600)
+    return F.timestamp_seconds(F.unix_seconds(last.cast("timestamp")) + hours * 3600)
 
 
 def nearest_rank(rows: DataFrame, by: Sequence[str], order: str, value: str, last: int = 120, share: float = 0.9) -> DataFrame:
@@ -79,7 +79,7 @@ def nearest_rank(rows: DataFrame, by: Sequence[str], order: str, value: str, las
 
 def retained(entries: DataFrame, last_access: str, now: Column, ttl_seconds: int, most: int, key: str) -> DataFrame:
     """Cache entries that are neither expired nor beyond the most recently used `most`."""
-    fresh = entries.where(F.unix_seconds(now) - F.unix_seconds(last_access) < ttl_seconds)
+    fresh = entries.where(F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col(last_access).cast("timestamp")) < ttl_seconds)
     return fresh.orderBy(F.col(last_access).desc(), key).limit(most)
 
 
