@@ -179,7 +179,7 @@ def passage_report(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     hits = anchored.join(recurring, "anchor").groupBy("doc_id", "digest").agg(F.collect_list("anchor").alias("hits"))
 
     # which of the rows of an id has the hits' words is seen by the digest in the shard, where texts are split anyway
-    texts = stash(plain.join(hits, "doc_id").select("doc_id", "text", "digest", "hits"), "texts")
+    texts = stash(plain.join(hits.hint("merge"), "doc_id").select("doc_id", "text", "digest", "hits"), "texts")
     windows = stash(candidate_windows(matching(texts), window, phrase), "windows")
     smallest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h1", "h2", "a")
     gone = windows.join(smallest, ["h1", "h2"]).where("doc_id > a").groupBy("doc_id", "digest").agg(F.collect_list("start").alias("starts"))
