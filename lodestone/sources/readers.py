@@ -82,14 +82,14 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Markdown without its marks."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    rows = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     t = F.regexp_replace("text", r"(?m)^#{1,6}\s*|^\s*>\s?", "")
     t = F.regexp_replace(t, r"\[([^\]]*)\]\([^)]*\)", "$1")
     return rows.select("path", F.regexp_replace(t, r"[*_`]{1,3}", "").alias("text"))
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.htm*").text(path)
+    rows = spark.read.option("pathGlobFilter", "*.htm*").text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), html_text("value").alias("text"))
 
 
