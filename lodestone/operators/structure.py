@@ -88,3 +88,24 @@ def content_class(text: str | Column, patterns: dict[str, str]) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     best = F.array_max(F.array(*(F.struct(F.regexp_count(t, F.lit(p)).alias("n"), F.lit(k).alias("type")) for k, p in patterns.items())))
     return F.struct(F.when(best["n"] > 0, best["type"]).otherwise("general").alias("type"), best["n"].alias("n"))
+
+
+def text_lines(boxes: DataFrame, page: str, share: float = 0.6, least: float = 8.0) -> DataFrame:
+    """Lines of OCR boxes (page, text, x1, y1, x2, y2): a box joins the line whose first box's centre is within a share of the
+    median height; boxes of a line run from right to left. One page's boxes fit a task by nature."""
+
+    def run(pdf):
+        pdf = pdf.assign(cy=(pdf.y1 + pdf.y2) / 2, cx=(pdf.x1 + pdf.x2) / 2).sort_values(["cy", "cx"])
+        near = max(least, share * float((pdf.y2 - pdf.y1).median()))
+        line, anchor, lines = -1, None, []
+        for cy in pdf.cy:
+            if anchor is None or cy - anchor > near:
+                line, anchor = line + 1, cy
+            lines.append(line)
+        pdf = pdf.assign(line=lines).sort_values(["line", "cx"], ascending=[True, False])
+        out = pdf.groupby("line").text.agg(lambda t: " ".join(x for x in t if x)).reset_index()
+        out.insert(0, page, pdf[page].iloc[0])
+        return out
+
+    kind = dict(boxes.dtypes)[page]
+    return boxes.select(page, "text", "x1", "y1", "x2", "y2").groupBy(page).applyInPandas(run, f"{page} {kind}, line int, text string")

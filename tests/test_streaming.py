@@ -42,3 +42,17 @@ def test_upsert_keeps_the_newest(spark, tmp_path):
     stateful.upsert(spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, t int, v string"), path, "k", "t")
     stateful.upsert(spark.createDataFrame([(1, 2, "c")], "k int, t int, v string"), path, "k", "t")
     assert {r["k"]: r["v"] for r in spark.read.parquet(path).collect()} == {1: "c", 2: "b"}
+
+
+def test_timed_cache(spark, tmp_path):
+    from lodestone.streaming import cache
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "request long, k string").coalesce(1).write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("request long, k string").parquet(str(tmp_path / "in"))
+        q = cache.cached(stream, "k").writeStream.format("memory").queryName("cached").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert sorted((r["k"], r["hit"]) for r in spark.table("cached").collect()) == [("a", False), ("a", True), ("b", False)]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
