@@ -22,6 +22,7 @@ SIGMA, RADIUS, LEVEL = 1.0, 2, 0.5
 BOILERPLATE_TAGS = frozenset(
     "nav footer aside form script style noscript template iframe svg button select textarea head title dialog menu object canvas audio video fieldset datalist map".split()
 )
+HEAD_TAGS = frozenset("base link meta noscript script style template title".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -66,6 +67,8 @@ class Lines(HTMLParser):
         if tag in BLOCK_TAGS or tag in BOILERPLATE_TAGS:
             self.end_line()
         self.tags += 1
+        if tag not in HEAD_TAGS and self.open and self.open[-1][0] == "head":
+            self.open.pop()  # anything else ends a head that was not closed
         if tag in VOID_TAGS:
             if tag == "br":
                 self.parts.append(" ")

@@ -208,6 +208,7 @@ def test_viterbi():
 @pytest.mark.parametrize(
     ("page", "wanted"),
     [
+        ("<head><title>t</title><body><article><p>x</article>", "x"),
         (None, ""), ("", ""), ("<nav>a</nav><footer>b</footer>", ""), ("plain", "plain"), ("<article><h1>T &amp; U</h1><p>a<br>b\n c<p>d</article><footer>f</footer>", "T & U\n\na b c\n\nd"),
         ("<div class='cookie-notice'>c</div><main><p>Long text of the page is here.</p><aside>s</aside><form>q</form><div id=comments><p>nice, what a page this is</p></div></main>", "Long text of the page is here."),
         ("<article><p>x</p><script>var a='</p>'</script><style>p{}</style><!-- n --></article>", "x"),
