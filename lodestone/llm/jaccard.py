@@ -27,6 +27,7 @@ from lodestone.llm.components import components
 GROUPS = 512
 CELLS = 1 << 16
 LEAF = 16
+ROUNDS = 2
 BLOCK = 3_000_000  # shingles of a family that one task holds from each of its two blocks
 WORDS = 400_000
 U = np.uint64
@@ -90,14 +91,20 @@ def cell_counts(plain: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The elements of which any two sets that reach the threshold share one."""
+def prefix(s: np.ndarray, counts: np.ndarray, percent: int, slack: int = 0) -> tuple[np.ndarray, int]:
+    """The first elements of a set, and how many of them any partner shares.
+
+    Sets that reach the threshold share `least` of their first n - ceil(threshold * n) + least elements. least grows with slack
+    percent of the size, that of the smallest possible partner for the number that must be shared.
+    """
     n = len(s)
-    keep = n - -(-n * percent // 100) + 1 if n else 0
-    if keep >= n:
-        return s
+    smallest = -(-n * percent // 100)
+    keep = n - smallest + 1 + n * slack // 100
+    least = 1 + smallest * slack // 100
+    if not n or keep >= n:
+        return s, min(least, 1)
     order = np.lexsort((s, counts[(s % U(CELLS)).astype(np.intp)]))
-    return s[order[:keep]]
+    return s[order[:keep]], least
 
 
 class RTree:
@@ -178,7 +185,13 @@ def family_links(ids: list[int], sides: list[int], sets: list[np.ndarray], same:
     return out
 
 
-def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """Rows whose key occurs in two sets, with the smallest set that has it."""
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
+    return keyed.join(shared, "key")
+
+
+def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90, slack: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of every document.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows repeated with one id keep one row each and
@@ -192,26 +205,34 @@ def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: st
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                n, d1, d2, keys = [], [], [], []
+                n, d1, d2, keys, least = [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingler.shingles(text)
                     n.append(len(s))
                     d1.append(mix(s ^ U(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64).astype(np.int64) if len(s) else 0)
                     d2.append(np.bitwise_xor.reduce(mix(s ^ U(0x589965CC75374CC3))).astype(np.int64) if len(s) else 0)
-                    keys.append(prefix(s, counts, percent).astype(np.int64))
+                    first, needed = prefix(s, counts, percent, slack)
+                    keys.append(first.astype(np.int64))
+                    least.append(needed)
                 offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], ["doc_id", "n", "d1", "d2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(least, pa.int32()), lists], ["doc_id", "n", "d1", "d2", "least", "keys"])
 
-    rows = stash(plain.mapInArrow(sketch, "doc_id long, n long, d1 long, d2 long, keys array<long>"), "sketch")
+    rows = stash(plain.mapInArrow(sketch, "doc_id long, n long, d1 long, d2 long, least int, keys array<long>"), "sketch")
     known = rows.where("n > 0").select("doc_id", "n", "d1", "d2")
     reps = stash(known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "reps")
     members = known.join(reps, ["n", "d1", "d2"]).select("doc_id", "rep")
 
+    # copies are few next to all rows, and their written size decides how they are left out
+    copies = stash(members.where("doc_id > rep").select("doc_id"), "copies")
+    keyed = rows.where(F.size("keys") > 0).join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "least", F.explode("keys").alias("key"))
+    hits = stash(shared_keys(keyed), "hits") if slack else shared_keys(keyed)
+    for _ in range(ROUNDS if slack else 0):
+        # a set with too few shared elements has no partner; without it, others may have too few
+        live = hits.groupBy("rep").agg(F.count_distinct("key").alias("n"), F.max("least").alias("least")).where("n >= least").select("rep")
+        hits = stash(shared_keys(hits.select("rep", "least", "key").join(live, "rep", "left_semi")), "hits")
     # families: every set that shares a first element joins the smallest set with that element
-    keyed = rows.where(F.size("keys") > 0).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
-    stars = keyed.join(shared, "key").where("rep > first").select("rep", "first").distinct()
+    stars = hits.where("rep > first").select("rep", "first").distinct()
     family = components(stars).select(F.col("id").alias("rep"), F.col("component_id").alias("family"))
     sized = family.join(reps.select("rep", "n"), "rep")
     blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
@@ -224,7 +245,7 @@ def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: st
                 part = batch.slice(at, 200)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([shingler.shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["rep", "family", "blocks", "shingles"])
 
-    texts = plain.join(active, "doc_id").mapInArrow(sets, "rep long, family long, blocks int, shingles binary")
+    texts = plain.join(active.hint("merge"), "doc_id").mapInArrow(sets, "rep long, family long, blocks int, shingles binary")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     paired = texts.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "shingles")
