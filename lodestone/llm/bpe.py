@@ -29,7 +29,7 @@ PRETOKEN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 STOPS = frozenset(".,;:!?")  # they always stand as a pretoken of their own after a word
-MEMO = 800_000
+MEMO = 400_000
 GAP = "Ā"  # stands between words in the automaton's input, where bytes are characters below it
 
 

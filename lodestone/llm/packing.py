@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.bpe import Encoder, packed, text_batches
 from lodestone.llm.common import id_text, stash
 
+#: Fixed: how the public byte-level vocabulary splits a text into pretokens.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CAPACITY = 1024
 END_ID = 2
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 6, 3, 4, 6
@@ -37,16 +39,22 @@ Genome = list[tuple[tuple[int, ...], int]]
 
 
 class LibraryEncoder(Encoder):
-    """The same ids with misses split by the tiktoken library over the vocabulary's own ranks; packing needs only ids."""
+    """The same ids, with what the memo lacks encoded by the tiktoken library over the vocabulary's own ranks: packing needs ids
+    only, however they are found."""
 
     def __init__(self, path: str):
         super().__init__(path)
         ranks = {t: k for k, t in enumerate(self.token) if t and k not in self.special.values()}
-        self.library = tiktoken.Encoding("own", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})
+        self.library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def pretokens(self, texts: list[str]) -> list[bytes]:
-        split = self.library._encode_single_piece
-        return [packed(split(t.encode())) for t in texts]
+    def split(self, text: str) -> list[bytes]:
+        return [packed(self.library.encode_ordinary(text))]
+
+    def learn(self, chunks: list[str]) -> None:
+        if len(self.memo) + len(chunks) > self.limit:
+            self.memo.clear()
+        encode = self.library.encode_ordinary
+        self.memo.update((c, None if not c or c.isspace() else packed(encode(" " + c))) for c in chunks)
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
