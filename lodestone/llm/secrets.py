@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import text_batches
-from lodestone.llm.common import id_text
+from lodestone.llm.common import hashed_sample, id_text
 
 #: Fixed: the patterns that define base spans.
 ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -223,8 +223,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> li
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
     """Train on at most sample_rows texts, the first by hash of text and id; they alone come to the driver."""
-    chosen = id_text(docs).where(F.length("text") > 0).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text")
-    rows = chosen.orderBy("h", "doc_id", "text").limit(sample_rows).collect()
+    rows = hashed_sample(id_text(docs).where(F.length("text") > 0), "doc_id", sample_rows).collect()
     examples = labelled([r["text"] for r in rows])
     return train(examples or labelled([" "] * 50))
 
