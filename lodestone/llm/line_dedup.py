@@ -1,16 +1,17 @@
 """Repeated runs of lines by a suffix array over line ids, built by distributed prefix doubling.
 
-A line's id is a pair of 64-bit hashes of its text. Only suffixes that share their first lines with another are ranked:
-round j joins each suffix with the one 2^j lines further on and ranks the pairs by a range-partitioned sort, so that ranks
-follow the order of the suffixes; a suffix whose pair is unique has left every longest-common-prefix interval of that
-depth and is dropped. Doubling ends once ranks stand for `least` lines: the intervals with a common prefix of `least` lines
-or more are then the groups of equal ranks, and deeper ranks would not change which lines they cover. The first suffix of an
-interval stays; the lines of the others are deleted. Overlapping windows make up the maximal runs.
+A line's id is a pair of 64-bit hashes of its text; suffixes run over the non-blank lines of a document. Only suffixes that
+share their first lines with another are ranked: round j joins each suffix with the one 2^j lines further on and ranks the
+pairs by a range-partitioned sort, so that ranks follow the order of the suffixes; a suffix whose pair is unique has left
+every longest-common-prefix interval of that depth and is dropped. Doubling ends once ranks stand for `least` lines: the
+intervals with a common prefix of `least` lines or more are then the groups of equal ranks, and deeper ranks would not change
+which lines they cover. The first suffix of an interval stays; the lines of the others are deleted. Overlapping windows make
+up the maximal runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stash
@@ -27,55 +28,74 @@ def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def suffix_ranks(lines: DataFrame, least: int) -> DataFrame:
-    """doc_id, text_hash, line and the rank of every suffix that shares its first `least` lines with another."""
-    level = stash(ranked(lines, ["h1", "h2"]).select("doc_id", "text_hash", "line", "rank"), "suffixes")
+    """doc_id, text_hash, nth and the rank of every suffix that shares its first `least` non-blank lines with another."""
+    level = stash(ranked(lines, ["h1", "h2"]).select("doc_id", "text_hash", "nth", "rank"), "suffixes")
     depth = 1
     while depth < least:
         step = min(depth, least - depth)  # the last step may overlap: two ranks then stand for fewer lines than twice the depth
-        later = level.select("doc_id", "text_hash", (F.col("line") - step).alias("line"), F.col("rank").alias("next"))
-        paired = level.join(later, ["doc_id", "text_hash", "line"]).withColumnRenamed("rank", "own")
-        level = stash(ranked(paired, ["own", "next"]).select("doc_id", "text_hash", "line", "rank"), "suffixes")
+        later = level.select("doc_id", "text_hash", (F.col("nth") - step).alias("nth"), F.col("rank").alias("next"))
+        paired = level.join(later, ["doc_id", "text_hash", "nth"]).withColumnRenamed("rank", "own")
+        level = stash(ranked(paired, ["own", "next"]).select("doc_id", "text_hash", "nth", "rank"), "suffixes")
         depth += step
     return level
 
 
+def filled(text: Column) -> Column:
+    """The numbers (from 0) and words of the non-blank lines."""
+    numbered = F.transform(F.split(text, "\n"), lambda x, k: F.struct(k.alias("line"), x.alias("words")))
+    return F.filter(numbered, lambda x: F.trim(x["words"]) != "")
+
+
 def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, text_hash and the sorted numbers (from 0) of the lines to delete, for documents that have any."""
+    """doc_id, text_hash and the sorted places among the non-blank lines (from 0) to delete, for documents that have any."""
     text = docs["text"].cast("string")
-    split = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line", "words"))
-    lines = split.where(F.trim("words") != "").select("doc_id", "text_hash", "line", F.xxhash64("words").alias("h1"), F.xxhash64(F.reverse("words")).alias("h2")).dropDuplicates(["doc_id", "text_hash", "line"])
+    split = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(filled(text)).alias("nth", "x"))
+    lines = split.select("doc_id", "text_hash", "nth", F.xxhash64("x.words").alias("h1"), F.xxhash64(F.reverse("x.words")).alias("h2")).dropDuplicates(["doc_id", "text_hash", "nth"])
     level = suffix_ranks(lines, least)
-    place = F.struct("doc_id", "text_hash", "line")
+    place = F.struct("doc_id", "text_hash", "nth")
     # three numbers as fixed-width aggregates would not keep their order together; the groups are few and small enough to sort
     first = level.groupBy("rank").agg(F.min(place).alias("first"))
     later = level.join(first, "rank").where(place > F.col("first"))
-    return later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("line"), F.col("line") + least - 1))))).alias("gone"))
+    return later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("nth"), F.col("nth") + least - 1))))).alias("gone"))
+
+
+def with_places(docs: DataFrame, least: int) -> DataFrame:
+    """docs with the places to delete in __gone, null where there are none."""
+    gone = stash(repeated_lines(docs, least), "gone").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__gone"))
+    # the table of lines to delete grows with the corpus: merged at every size, never broadcast
+    return docs.join(gone.hint("merge"), (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hash")), "left").drop("__id", "__hash")
+
+
+def without_places(joined: DataFrame, columns: list[str]) -> DataFrame:
+    """columns, with the lines at __gone taken out of text, and their numbers in `gone`."""
+    placed = F.transform(filled(F.col("text").cast("string")), lambda x, k: F.struct(x["line"].alias("line"), k.alias("nth")))
+    lines = F.transform(F.filter(placed, lambda x: F.array_contains(F.col("__gone"), x["nth"])), lambda x: x["line"])
+    found = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines))
+    kept = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains(F.col("__lines"), k)), "\n"))
+    return found.select(*(kept.alias(c) if c == "text" else F.col(c) for c in columns), F.coalesce("__lines", F.array().cast("array<int>")).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs with all columns, text without the later copies of repeated runs of `least` and more lines, and array `gone`.
 
-    Lines end at \\n and are compared exactly; a blank line is part of no run and stays. The first copy is the one with the
+    Lines end at \\n and are compared exactly; a blank line stays, and neither breaks a run nor counts in it. The first copy is the one with the
     smallest doc_id (then hash of the text, then line). Rows that repeat both id and text count once and lose the same lines.
     Null and empty texts stay as they are. An empty table gives no rows. Runs may overlap themselves: of three equal lines in
     a row the first stays.
     """
-    gone = stash(repeated_lines(docs, least), "gone").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__gone"))
-    # the table of lines to delete grows with the corpus: merged at every size, never broadcast
-    joined = docs.join(gone.hint("merge"), (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hash")), "left")
-    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains(F.col("__gone"), k)), "\n"))
-    return joined.select(*(kept.alias(c) if c == "text" else F.col(c) for c in docs.columns), F.coalesce("__gone", F.array().cast("array<int>")).alias("gone"))
+    return without_places(with_places(docs, least), docs.columns)
 
 
 def line_report(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_lines (non-blank), n_removed, n_runs (maximal runs deleted) and kept_sha256 of each document."""
     rows = docs.select("doc_id", "text", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("n_lines"))
-    starts = F.filter("gone", lambda x: ~F.array_contains(F.col("gone"), x - 1))
-    return line_dedup(rows, least).select(
+    starts = F.filter("__gone", lambda x: ~F.array_contains(F.col("__gone"), x - 1))
+    found = with_places(rows, least).withColumn("n_runs", F.coalesce(F.size(starts), F.lit(0)))
+    return without_places(found, [*rows.columns, "n_runs"]).select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_removed"),
-        F.size(starts).cast("long").alias("n_runs"),
+        F.col("n_runs").cast("long").alias("n_runs"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
 

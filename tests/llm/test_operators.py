@@ -370,6 +370,17 @@ def test_lines(docs, empty, least):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_blank_lines_do_not_break_runs(spark):
+    shared = "\n\n".join(f"paragraph {k} of ten that two documents share" for k in range(10))
+    docs = documents(spark, [shared, f"own start\n \n{shared}\nown end", "own start\nand no more"])
+    got = by_id(line_dedup.line_dedup(docs).select("doc_id", "text", "gone"))
+    assert list(got.loc[0, "gone"]) == list(got.loc[2, "gone"]) == [] and got.loc[0, "text"] == shared
+    assert list(got.loc[1, "gone"]) == list(range(2, 21, 2))
+    assert got.loc[1, "text"].split() == "own start own end".split()
+    report = by_id(line_dedup.line_report(docs))
+    assert tuple(report.loc[1, ["n_lines", "n_removed", "n_runs"]]) == (12, 10, 1)
+
+
 # 2
 
 
