@@ -56,15 +56,15 @@ def resolve(names: DataFrame, name: str, alias_table: DataFrame, wrong: str, rig
     return names.join(a, F.lower(F.col(name)) == F.lower("__w"), "left").withColumn("resolved", F.coalesce("__r", name)).drop("__w", "__r")
 
 
-def typos(words: DataFrame, word: str, vocab: DataFrame, term: str, freq: str, least: float = 0.4, gap: int = 3) -> DataFrame:
+def typos(words: DataFrame, word: str, vocab: DataFrame, term: str, freq: str, least: float = 0.4, gap: int = 3, blocks: int = 16) -> DataFrame:
     """Unknown words with the vocabulary's best suggestion: similarity times 1 + .1 min(freq, 10).
 
-    Words meet on one of their first or last two letters, so neither side is compared with the whole other.
+    Every unknown word is compared with every term of a length gap of at most `gap`: both meet on the length, words in blocks by hash.
     """
-    ends = lambda c: F.explode(F.array_distinct(F.array(F.concat(F.lit("^"), F.substring(c, 1, 2)), F.concat(F.lit("$"), F.substring(c, -2, 2)))))
-    unknown = words.select(word).distinct().join(vocab, F.col(word) == F.col(term), "left_anti").withColumn("__k", ends(F.col(word)))
-    known = vocab.select(term, freq).withColumn("__k", ends(F.col(term)))
-    pairs = unknown.join(known, "__k").where(F.abs(F.length(word) - F.length(term)) <= gap).select(word, term, freq).distinct()
+    unknown = words.select(word).distinct().join(vocab, F.col(word) == F.col(term), "left_anti").withColumn("__n", F.length(word)).withColumn("__b", F.pmod(F.xxhash64(word), F.lit(blocks)).cast("int"))
+    lengths = F.explode(F.sequence(F.length(term) - gap, F.length(term) + gap))
+    known = vocab.select(term, freq).withColumn("__n", lengths).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = unknown.join(known, ["__n", "__b"]).select(word, term, freq)
     sim = pairs.withColumn("similarity", edit_similarity(word, term)).where(F.col("similarity") >= least)
     score = F.col("similarity") * (1 + 0.1 * F.least(F.col(freq), F.lit(10)))
     return sim.withColumn("score", score).groupBy(word).agg(F.min_by(F.struct(term, "score"), F.struct(-F.col("score"), F.col(term))).alias("b")).select(word, F.col(f"b.{term}").alias("suggestion"), F.col("b.score").alias("score"))

@@ -122,3 +122,29 @@ def test_typos(spark):
     words = spark.createDataFrame([("budgte",), ("budget",)], "w string")
     out = entities.typos(words, "w", vocab, "term", "freq").collect()
     assert [(r["w"], r["suggestion"]) for r in out] == [("budgte", "budget")]
+
+
+def test_typos_compares_all_terms(spark):
+    import random
+
+    rng = random.Random(5)
+    drawn = lambda n: sorted({"".join(rng.choices("aderstu", k=rng.randint(3, 9))) for _ in range(n)})
+    terms = {t: rng.randint(1, 12) for t in [*drawn(60), "eroues", "des", "ndes"]}
+    unknown = [w for w in [*drawn(80), "therouou", "ndhesh"] if w not in terms]
+    vocab = spark.createDataFrame(list(terms.items()), "term string, freq int")
+    got = {r["w"]: (r["suggestion"], round(r["score"], 9)) for r in entities.typos(spark.createDataFrame([(w,) for w in unknown], "w string"), "w", vocab, "term", "freq").collect()}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            above, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    wanted = {}
+    for w in unknown:
+        scored = [(-s * (1 + 0.1 * min(f, 10)), t) for t, f in terms.items() if abs(len(w) - len(t)) <= 3 and (s := 1 - edits(w, t) / max(len(w), len(t))) >= 0.4]
+        if scored:
+            wanted[w] = (min(scored)[1], round(-min(scored)[0], 9))
+    assert got == wanted and "therouou" in got
