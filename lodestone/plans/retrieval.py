@@ -131,11 +131,11 @@ def score_fallback(spark, d):
 @query(f"""WITH q AS (SELECT item_id, list_distinct({SQL_W}) AS t FROM benchmark), x AS (SELECT conv_id, turn, list_distinct({SQL_W}) AS t FROM conversations WHERE role = 'user' AND turn = 0)
            SELECT item_id, conv_id, round(0.7 * len(list_intersect(q.t, x.t)) / len(q.t) + 0.3 * contains(lower((SELECT text FROM conversations c WHERE c.conv_id = x.conv_id AND c.turn = 0)), 'the')::INTEGER, 6) AS score FROM q, x WHERE item_id < 3""")
 def lexical_rerank(spark, d):
-    q = table(spark, d, "benchmark").where("item_id < 3").select("item_id", F.array_distinct(_words()).alias("t"))
-    x = table(spark, d, "conversations").where("role = 'user' AND turn = 0").select("conv_id", "text", F.array_distinct(_words()).alias("w"))
-    # three stated questions are broadcast against all rows
+    q = table(spark, d, "benchmark").select("item_id", F.array_distinct(_words()).alias("t"))
+    x = table(spark, d, "conversations").select("conv_id", "turn", "text", F.array_distinct(_words()).alias("w")).repartition("conv_id", "turn")
+    # every question is scored against every turn; without a hint the product is cut into blocks once both tables are large
     score = search.fallback_rerank(F.col("t"), F.col("w"), F.lower("text").contains("the"))
-    return x.join(F.broadcast(q), F.lit(True)).select("item_id", "conv_id", F.round(score, 6).alias("score"))
+    return x.crossJoin(q).select("item_id", "conv_id", "turn", F.round(score, 6).alias("score"))
 
 
 @query("""WITH n AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS w FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),

@@ -148,3 +148,21 @@ def test_typos_compares_all_terms(spark):
         if scored:
             wanted[w] = (min(scored)[1], round(-min(scored)[0], 9))
     assert got == wanted and "therouou" in got
+
+
+def words_of(text):
+    import re
+
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def test_lexical_rerank_scores_all_items_and_turns(spark, tmp_path):
+    from lodestone.plans.catalogue import QUERIES
+
+    items = [(k, f"item{k} word{k % 3} common") for k in range(7)]
+    turns = [(c, t, r, f"{'The' if c % 2 else 'A'} common word{t} item{c}") for c in range(4) for t, r in enumerate(["user", "assistant", "user"])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["item_id"], r["conv_id"], r["turn"]): r["score"] for r in QUERIES["lexical_rerank"](spark, str(tmp_path)).collect()}
+    wanted = {(i, c, t): round(0.7 * len(set(words_of(q)) & set(words_of(x))) / len(set(words_of(q))) + 0.3 * ("the" in x.lower()), 6) for i, q in items for c, t, _, x in turns}
+    assert got == wanted
