@@ -51,8 +51,15 @@ def idf_vocab(spark, d):
 def ngram_keywords(spark, d):
     from lodestone.functions.text import ngrams
 
-    grams = table(spark, d, "documents").where("source = 'src1'").select(F.explode(ngrams(_words(), 2)).alias("gram"))
-    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("freq")).where("freq >= 2").orderBy(F.desc("freq"), "gram").limit(50)
+    words = table(spark, d, "documents").select(_words().alias("w"))
+
+    def most_common(n, top):
+        grams = words.select(F.explode(ngrams("w", n)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
+        return grams.where("freq >= 2").orderBy(F.desc("freq"), "gram").limit(top).withColumn("n", F.lit(n))
+
+    # longer grams come first and take at most a quarter and a half of the list
+    lists = most_common(3, 12).unionAll(most_common(2, 25)).unionAll(most_common(1, 50))
+    return lists.orderBy(F.desc("n"), F.desc("freq"), "gram").limit(50).select("gram", "freq")
 
 
 @query(f"WITH {BM25} SELECT doc, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc LIMIT 20")

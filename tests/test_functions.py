@@ -166,3 +166,18 @@ def test_lexical_rerank_scores_all_items_and_turns(spark, tmp_path):
     got = {(r["item_id"], r["conv_id"], r["turn"]): r["score"] for r in QUERIES["lexical_rerank"](spark, str(tmp_path)).collect()}
     wanted = {(i, c, t): round(0.7 * len(set(words_of(q)) & set(words_of(x))) / len(set(words_of(q))) + 0.3 * ("the" in x.lower()), 6) for i, q in items for c, t, _, x in turns}
     assert got == wanted
+
+
+def test_ngram_keywords_of_all_sources(spark, tmp_path):
+    from collections import Counter
+
+    from lodestone.plans.catalogue import QUERIES
+
+    texts = ["a b c d e", "a b c d", "x y z", "x y z w", "one", "one two", "", None, *(f"k{i} m{i} n{i} p{i}" for i in range(30) for _ in range(2 + i % 3))]
+    spark.createDataFrame([(k, t, f"src{k % 4}") for k, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["ngram_keywords"](spark, str(tmp_path)).collect()]
+    wanted = []
+    for n, top in ((3, 12), (2, 25), (1, 50)):
+        counts = Counter(" ".join(w[i : i + n]) for t in texts if t for w in [words_of(t)] for i in range(len(w) - n + 1))
+        wanted += sorted(((g, f) for g, f in counts.items() if f >= 2), key=lambda x: (-x[1], x[0]))[:top]
+    assert got == wanted[:50]
