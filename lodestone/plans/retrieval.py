@@ -193,8 +193,7 @@ def retrieval_gate(spark, d):
 def number_consistency(spark, d):
     c = table(spark, d, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    rows = c.join(nxt, ["conv_id", "turn"]).where(~F.concat("text", "answer").rlike("[0-9][.,][0-9]"))
-    return rows.select("conv_id", "turn", quality.number_consistency("answer", "text").alias("consistency"))
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", quality.number_consistency("answer", "text").alias("consistency"))
 
 
 @query("SELECT event_type, least(0.4 * least(avg(value) / 100, 1) + 0.2 * least(count(DISTINCT user_id) / 5, 1.0) + 0.2 * least(count(*) / 10, 1.0), 1.0) > 0.5 AS sure, round(greatest(0.7, 0.4 * least(avg(value) / 100, 1) + 0.2 * least(count(DISTINCT user_id) / 5, 1.0) + 0.2 * least(count(*) / 10, 1.0)), 6) AS confidence FROM events GROUP BY 1")

@@ -181,3 +181,12 @@ def test_ngram_keywords_of_all_sources(spark, tmp_path):
         counts = Counter(" ".join(w[i : i + n]) for t in texts if t for w in [words_of(t)] for i in range(len(w) - n + 1))
         wanted += sorted(((g, f) for g, f in counts.items() if f >= 2), key=lambda x: (-x[1], x[0]))[:top]
     assert got == wanted[:50]
+
+
+def test_number_consistency_keeps_separated_numbers(spark, tmp_path):
+    from lodestone.plans.catalogue import QUERIES
+
+    turns = [(1, 0, "costs 1,250 and 3.5"), (1, 1, "it is 1250 and 3.50"), (1, 2, "it is 1,251"), (2, 0, "of 7"), (2, 1, "7")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): r["consistency"] for r in QUERIES["number_consistency"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): 1.0, (1, 1): 0.5, (2, 0): 1.0}
