@@ -1,9 +1,8 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field over tokens for what they miss.
 
-Tokens are tagged begin, inside or outside of a secret. Features are the token's shape and length, the words and marks
-before and after it, and facts about the whole text. Only a token of eight or more characters with a letter and a digit
-may be tagged as secret; every other token is outside by definition, so Viterbi decoding of each run of eligible tokens
-gives the same tags as decoding the whole text would.
+Every token is tagged begin, inside or outside of a secret. Features are the token's shape and length, the words and marks
+before and after it, and facts about the whole text. Scores are sums over a memo of tokens. Viterbi decoding is only run where
+a bound on the gain of any span leaves room for one, which gives the same tags as decoding the whole text.
 
 The field is trained by maximum likelihood on a bounded sample of texts, with the fixed patterns' matches and generated
 secrets set into those texts as labels. The patterns' spans always stay; the field adds spans that touch none of them.
@@ -11,6 +10,7 @@ secrets set into those texts as labels. The patterns' spans always stay; the fie
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 import zlib
@@ -31,9 +31,12 @@ KINDS = ("assign", "access", "hex", "crf")
 CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 SAMPLE_ROWS = 1500
+NEAR = 4  # tokens before a token in which a cue counts
+STRETCH = 120  # tokens of a text that training sees
+MEMO = 200_000  # tokens whose scores are kept
 MARGIN = 2.0  # log-odds that an added span needs over staying outside
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|[^\sA-Za-z0-9+/_.=-]")
-CHUNK = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+PIECE = re.compile(TOKEN.pattern.replace("+|", "+\\s?|") + "\\s?")
 CUE_WORD = re.compile(r"(?i)pass(?:word|wd|phrase)?|pwd|secret|token|api|key|auth|bearer|credential|private|signature")
 IS_HEX = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
 DIGIT = re.compile(r"[0-9]")
@@ -64,24 +67,46 @@ def shape(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1+", re.sub(r"[^ULD]", "-", re.sub(r"[0-9]", "D", re.sub(r"[a-z]", "L", re.sub(r"[A-Z]", "U", token.replace("U", "A").replace("L", "A").replace("D", "A"))))))
 
 
-def features(text: str, start: int, end: int, facts: str) -> list[int]:
-    """Hashed features of the token at start:end."""
-    token = text[start:end]
-    before = TOKEN.findall(text[max(0, start - 60) : start])[-4:]
-    after = TOKEN.findall(text[end : end + 30])[:2]
+def sized(token: str) -> int:
+    return min(len(token) // 4, 12)
+
+
+def side(token: str) -> str:
+    return token if len(token) == 1 else "word"
+
+
+def own_names(token: str) -> tuple[str, ...]:
+    """The features of a token alone."""
     turns = sum(1 for a, b in zip(token, token[1:]) if a.isdigit() != b.isdigit())
-    cue = next((str(k) for k, w in enumerate(reversed(before)) if CUE_WORD.search(w)), "none")
-    sized = min(len(token) // 4, 12)
+    cases = sum(1 for a, b in zip(token, token[1:]) if a.islower() and b.isupper())
     marks = "".join(sorted({c for c in token if not c.isalnum()}))
     kinds = "".join(k for k, p in (("U", r"[A-Z]"), ("L", r"[a-z]"), ("D", r"[0-9]")) if re.search(p, token))
-    named = (
-        f"size {sized}", f"kinds {kinds} {marks}", f"kinds size {kinds} {sized}", f"turns {min(turns, 12)} {sized}",
-        f"cue {cue}", f"cue size {cue != 'none'} {sized}", f"last {before[-1] if before and len(before[-1]) == 1 else 'word' if before else 'start'}",
-        f"joined {start > 0 and not text[start - 1].isspace()} {end < len(text) and not text[end].isspace()}",
-        f"next {after[0] if after and len(after[0]) == 1 else 'word' if after else 'end'}", f"shape {shape(token)[:12]}",
-        f"hex {not re.search(r'[^0-9a-fA-F]', token)} {sized}", f"letters {sum(c.isalpha() for c in token) * 4 // len(token)} {sized}", f"file {facts}", "bias",
+    n = sized(token)
+    return (
+        f"size {n}", f"kinds {kinds} {marks}", f"kinds size {kinds} {n}", f"turns {min(turns, 12)} {n}", f"cases {min(cases, 6)} {n}", f"shape {shape(token)[:12]}",
+        f"hex {not re.search(r'[^0-9a-fA-F]', token)} {n}", f"letters {sum(c.isalpha() for c in token) * 4 // len(token)} {n}", f"mixed {eligible(token)}", "bias",
     )
-    return [zlib.crc32(n.encode()) % BUCKETS for n in named]
+
+
+def bucket(name: str) -> int:
+    return zlib.crc32(name.encode()) % BUCKETS
+
+
+def features(text: str, spans: list[tuple[int, int]], facts: str, first: int = 0, end: int | None = None) -> list[list[int]]:
+    """Hashed features of the tokens of the text from first to end."""
+    words, rows, own = [text[s:e] for s, e in spans], [], {}
+    for i in range(first, len(spans) if end is None else min(end, len(spans))):
+        w, (s, e) = words[i], spans[i]
+        cue = next((k for k in range(NEAR) if i > k and CUE_WORD.search(words[i - 1 - k])), NEAR)
+        last = side(words[i - 1]) if i else "start"
+        named = (
+            f"cue {cue}", f"cue size {cue < NEAR} {sized(w)}", f"last {last}", f"lead {cue < NEAR} {last}", f"joined {s > 0 and not text[s - 1].isspace()} {e < len(text) and not text[e].isspace()}",
+            f"next {side(words[i + 1]) if i + 1 < len(words) else 'end'}", f"file {facts}",
+        )
+        if w not in own:
+            own[w] = [bucket(n) for n in own_names(w)]
+        rows.append(own[w] + [bucket(n) for n in named])
+    return rows
 
 
 def file_facts(text: str) -> str:
@@ -89,26 +114,85 @@ def file_facts(text: str) -> str:
     return f"{any(c in lower for c in CUES)} {'://' in text} {'@' in text}"
 
 
-def runs(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of eligible tokens that nothing but marks or spaces stands between."""
-    if not DIGIT.search(text):
-        return []
-    found: list[list[tuple[int, int]]] = []
-    for m in CHUNK.finditer(text):
-        if eligible(m[0]):
-            near = found and m.start() - found[-1][-1][1] <= 3 and not re.search(r"[A-Za-z0-9]", text[found[-1][-1][1] : m.start()])
-            if near:
-                found[-1].append(m.span())
-            else:
-                found.append([m.span()])
-    return found
+def token_spans(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in TOKEN.finditer(text)]
 
 
 class Field:
-    """Weights of a linear-chain conditional random field with three tags; runs start and end outside."""
+    """Weights of a linear-chain conditional random field with three tags; texts start and end outside."""
 
     def __init__(self, emit: np.ndarray, move: np.ndarray):
         self.emit, self.move = emit, move
+        self.forget()
+
+        self.forget()
+        self.cue_scores = np.array([self.of(f"cue {k}") for k in range(NEAR + 1)])
+        self.size_scores = np.array([[self.of(f"cue size {x} {n}") for n in range(13)] for x in (False, True)])
+        self.joined_scores = np.array([[self.of(f"joined {a} {b}") for b in (False, True)] for a in (False, True)])
+        self.start, self.end = self.of("last start") + self.of("lead False start"), self.of("next end")
+
+    def forget(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.table, self.sizes, self.cues, self.spaced = np.zeros((1024, 15)), np.zeros(1024, int), np.zeros(1024, bool), np.zeros(1024, int)
+
+    def __getstate__(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.emit, self.move
+
+    def __setstate__(self, state: tuple[np.ndarray, np.ndarray]) -> None:
+        self.__init__(*state)
+
+    def of(self, name: str) -> np.ndarray:
+        return self.emit[bucket(name) % len(self.emit)]
+
+    def learn(self, piece: str) -> int:
+        """Put a token's scores into the memo: alone, as the one before, as the one after, and as the one before without and with a cue."""
+        k = self.ids[piece] = len(self.ids)
+        if k == len(self.table):
+            self.table, self.sizes, self.cues, self.spaced = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.sizes, self.cues, self.spaced))
+        word = piece[:-1] if piece[-1].isspace() else piece
+        at = side(word)
+        self.table[k] = np.concatenate([sum(self.of(n) for n in own_names(word)), self.of(f"last {at}"), self.of(f"next {at}"), self.of(f"lead False {at}"), self.of(f"lead True {at}")])
+        self.sizes[k], self.cues[k], self.spaced[k] = sized(word), bool(CUE_WORD.search(word)), word != piece
+        return k
+
+    def text_scores(self, text: str) -> np.ndarray:
+        """What scores(features(...)) gives for all tokens of a text that has any, from the memo."""
+        if len(self.ids) > MEMO:
+            self.forget()
+        pieces = PIECE.findall(text)
+        ids = list(map(self.ids.get, pieces))
+        if None in ids:
+            ids = [self.ids[p] if p in self.ids else self.learn(p) for p in pieces]
+        found = np.array(ids)
+        rows, flags = self.table[found], self.cues[found]
+        cue = np.full(len(found), NEAR)
+        if flags.any():
+            for k in range(NEAR - 1, -1, -1):
+                cue[k + 1 :][flags[: max(0, len(flags) - k - 1)]] = k
+        near = (cue < NEAR).astype(int)
+        out = rows[:, :3] + self.of(f"file {file_facts(text)}") + self.cue_scores[cue] + self.size_scores[near, self.sizes[found]]
+        out[1:] += rows[:-1, 3:6] + np.where(near[1:, None] > 0, rows[:-1, 12:15], rows[:-1, 9:12])
+        out[0] += self.start
+        out[:-1] += rows[1:, 6:9]
+        out[-1] += self.end
+        after = 1 - self.spaced[found]  # only spaces are between tokens
+        before = np.concatenate([[0], after[:-1]])
+        after[-1] = 0
+        return out + self.joined_scores[before, after]
+
+    def islands(self, scores: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches of tokens outside of which no span can gain anything over staying outside."""
+        steps = self.move - self.move[OUT, OUT]
+        room = max(0.0, float(steps.max()))
+        gain = scores.max(axis=1) - scores[:, OUT] + room
+        if gain.max() + room <= 0:
+            return []
+        total = np.concatenate([[0.0], gain.cumsum()])
+        to = total[1:] - np.minimum.accumulate(total[:-1])
+        on = np.maximum.accumulate(total[:0:-1])[::-1] - total[:-1]
+        open_ = np.concatenate([[False], to + on - gain + room > -1e-9, [False]])
+        edges = np.flatnonzero(open_[1:] != open_[:-1])
+        return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
     def scores(self, feats: list[list[int]]) -> np.ndarray:
         return self.emit[np.array(feats)].sum(axis=1)
@@ -131,14 +215,14 @@ class Field:
 
 
 def train(examples: list[tuple[list[list[int]], list[int]]], rounds: int = 60, rate: float = 0.3, decay: float = 1e-3) -> Field:
-    """Maximum likelihood by forward-backward gradients with Adagrad steps; examples are runs of features and their tags."""
+    """Maximum likelihood by forward-backward gradients with Adagrad steps; examples are stretches of features and their tags."""
     emit, move = np.zeros((BUCKETS, 3)), np.zeros((3, 3))
     move[OUT, INSIDE] = -8.0
     squares = [np.full_like(emit, 1e-6), np.full_like(move, 1e-6)]
     by_size: dict[int, list] = {}
     for x, y in examples:
         by_size.setdefault(len(x), []).append((x, y))
-    groups = [(np.array([x for x, _ in g]), np.array([y for _, y in g])) for g in by_size.values()]
+    groups = [(np.array([x for x, _ in h]), np.array([y for _, y in h])) for g in by_size.values() for k in range(0, len(g), 200) for h in [g[k : k + 200]]]
     for _ in range(rounds):
         grads = [-decay * emit * len(examples), -decay * move]
         for x, y in groups:
@@ -153,7 +237,8 @@ def train(examples: list[tuple[list[list[int]], list[int]]], rounds: int = 60, r
                 behind[:, k] = np.logaddexp.reduce(move + (s[:, k + 1] + behind[:, k + 1])[:, None, :], axis=2)
             total = np.logaddexp.reduce(ahead[:, -1] + behind[:, -1], axis=1)
             expected = np.eye(3)[y] - np.exp(ahead + behind - total[:, None, None])
-            np.add.at(grads[0], x.reshape(-1), np.repeat(expected.reshape(-1, 3), x.shape[2], axis=0))
+            for tag in range(3):
+                grads[0][:, tag] += np.bincount(x.reshape(-1), np.repeat(expected[:, :, tag].reshape(-1), x.shape[2]), BUCKETS)
             framed = np.concatenate([np.zeros((n, 1), int), y, np.zeros((n, 1), int)], axis=1)
             np.add.at(grads[1], (framed[:, :-1].ravel(), framed[:, 1:].ravel()), 1)
             grads[1][OUT] -= np.exp(move[OUT] + s[:, 0] + behind[:, 0] - total[:, None]).sum(axis=0)
@@ -170,54 +255,60 @@ def train(examples: list[tuple[list[list[int]], list[int]]], rounds: int = 60, r
 def generated(rng: random.Random) -> tuple[str, int, int]:
     """A made-up secret in a line of its kind: the text and the secret's place in it."""
     low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    alphabet, size = rng.choice([(low[:6] + digits, rng.choice([24, 32, 40, 64])), (up + digits, rng.choice([16, 20, 24])), (low + up + digits, rng.choice([24, 32, 40])), (low + up + digits + "+/", 40), (low + up + digits + "_-", 36)])
-    body = "".join(rng.choices(alphabet, k=size - 2)) + rng.choice(digits) + rng.choice(alphabet[:6])
-    value = rng.choice(["", "", "AKIA", "sk_live_", "ghp_", "xoxb-", "eyJ"]) + body
-    lead = rng.choice(['token = "', "password: ", "secret=", 'api_key = "', "apikey: '", "Authorization: Bearer ", "auth_key=", "private key ", "credential: ", "", ""])
+    leads = ['token = "', "password: ", "secret=", 'api_key = "', "apikey: '", "Authorization: Bearer ", "auth_key=", "private key ", "credential: ", "pwd: ", "passphrase: ", "Bearer ", "authorization: bearer ", "Authorization: Bearer "]
+    if rng.random() < 0.5:  # of letters or digits only, where the neighbours tell
+        alphabet, size = rng.choice([(low, rng.randint(12, 28)), (low, rng.randint(12, 24)), (low + up, rng.randint(12, 32)), (up, rng.randint(12, 24)), (digits, rng.randint(10, 24))])
+        value, lead = "".join(rng.choices(alphabet, k=size)), rng.choice(leads)
+    else:
+        alphabet, size = rng.choice([(low[:6] + digits, rng.choice([24, 32, 40, 64])), (up + digits, rng.choice([16, 20, 24])), (low + up + digits, rng.choice([24, 32, 40])), (low + up + digits + "+/", 40), (low + up + digits + "_-", 36)])
+        body = "".join(rng.choices(alphabet, k=size - 2)) + rng.choice(digits) + rng.choice(alphabet[:6])
+        value, lead = rng.choice(["", "", "AKIA", "sk_live_", "ghp_", "xoxb-", "eyJ"]) + body, rng.choice([*leads, "", "", ""])
     return lead + value + rng.choice(['"', "", "'", ""]), len(lead), len(lead) + len(value)
 
 
 def labelled(texts: list[str], seed: int = 0) -> list[tuple[list[list[int]], list[int]]]:
-    """Runs of the texts, tagged by the fixed patterns; into two of three texts a generated secret is set at a word border."""
+    """A stretch of tokens of each text, tagged by the fixed patterns; into two of three texts a generated secret is set at a
+    word border, into the others a cue word before what stands there."""
     rng, out = random.Random(seed), []
     for k, text in enumerate(texts):
-        planted = []
-        if k % 3:
-            line, a, b = generated(rng)
-            at = text.find(" ", rng.randrange(max(1, len(text))))
-            at = len(text) if at < 0 else at
-            text = f"{text[:at]} {line} {text[at:]}"
-            planted = [(at + 1 + a, at + 1 + b)]
-        spans = planted + [(s, e) for s, _, e in base_spans(text)]
-        facts = file_facts(text)
-        for run in runs(text):
-            tags = [OUT] * len(run)
-            for i, (s, e) in enumerate(run):
-                hit = next((x for x in spans if x[0] < e and s < x[1]), None)
-                if hit:
-                    tags[i] = INSIDE if i and tags[i - 1] != OUT and hit[0] < run[i - 1][1] else BEGIN
-            out.append(([features(text, s, e, facts) for s, e in run], tags))
-    return out
+        at = text.find(" ", rng.randrange(max(1, len(text))))
+        at = len(text) if at < 0 else at
+        line, a, b = generated(rng) if k % 3 else (rng.choice(["the secret", "a token of", "token", "key", "pass", "signature:", "keys:", "credential"]), 0, 0)
+        text = f"{text[:at]} {line} {text[at:]}"
+        spans = [(s, e) for s, _, e in base_spans(text)] + ([(at + 1 + a, at + 1 + b)] if b else [])
+        places = token_spans(text)
+        middle = bisect.bisect_left(places, (at + 1, 0))
+        first = max(0, min(middle - rng.randrange(STRETCH), len(places) - STRETCH))
+        tags = [OUT] * len(places)
+        for i, (s, e) in enumerate(places):
+            hit = next((x for x in spans if x[0] < e and s < x[1] and not CUE_WORD.fullmatch(text[s:e]) and (e - s > 1 or text[s].isalnum())), None)
+            if hit:
+                tags[i] = INSIDE if i and tags[i - 1] != OUT and hit[0] < places[i - 1][1] else BEGIN
+        out.append((features(text, places, file_facts(text), first, first + STRETCH), tags[first : first + STRETCH]))
+    return [x for x in out if x[1]]
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
-    """Spans that the field tags and no base span touches."""
-    found, facts = [], None
-    for run in runs(text):
-        if all(any(s < e2 and s2 < e for s2, _, e2 in base) for s, e in run):
-            continue
-        facts = facts or file_facts(text)
-        tags, gain = field.viterbi(field.scores([features(text, s, e, facts) for s, e in run]))
-        if gain < MARGIN:
-            continue
+    """Spans that the field tags and no base span touches; each gains more than the margin over staying outside."""
+    if not text or text.isspace():
+        return []
+    scores, found, places = field.text_scores(text), [], None
+    for a, b in field.islands(scores):
+        places = places or token_spans(text)
+        tags, _ = field.viterbi(scores[a:b])
         spans: list[list[int]] = []
-        for (s, e), tag in zip(run, tags, strict=True):
-            e = s + len(text[s:e].rstrip(".=-") or text[s:e])
+        for k, tag in enumerate(tags):
             if tag == INSIDE and spans:
-                spans[-1][1] = e
+                spans[-1][1] = a + k + 1
             elif tag != OUT:
-                spans.append([s, e])
-        found += [(s, 3, e) for s, e in spans if not any(s < e2 and s2 < e for s2, _, e2 in base)]
+                spans.append([a + k, a + k + 1])
+        for i, j in spans:
+            if field.viterbi(scores[i:j])[1] < MARGIN:
+                continue
+            s, e = places[i][0], places[j - 1][1]
+            e = s + len(text[s:e].rstrip(".=-") or text[s:e])
+            if not any(s < e2 and s2 < e for s2, _, e2 in base):
+                found.append((s, 3, e))
     return found
 
 

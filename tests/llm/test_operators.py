@@ -182,6 +182,29 @@ def test_field_adds_what_patterns_miss(spark):
     assert secrets.added_spans(hidden, secrets.base_spans(hidden), field)
 
 
+@pytest.mark.parametrize(("lead", "secret"), [("Authorization: Bearer ", "qXvTzKpLmWnRbYcDsGhJ"), ("pwd: ", "correcthorsebattery"), ("pwd: ", "830274619352")])
+def test_field_tags_tokens_of_letters_or_digits_only(trained, lead, secret):
+    text = f"we send {lead}{secret} with it"
+    assert [text[s:e] for s, _, e in secrets.added_spans(text, secrets.base_spans(text), trained)] == [secret]
+
+
+def test_memo_and_islands_change_nothing(trained):
+    texts = [t for t in odd_texts() if t and not t.isspace()] + ["a  b:c\n", "日本 token:x\u3000y", " pwd: a. ", "pwd: correcthorsebattery, token of it"]
+    for text in texts:
+        spans = secrets.token_spans(text)
+        scores = trained.text_scores(text)
+        assert np.allclose(scores, trained.scores(secrets.features(text, spans, secrets.file_facts(text))))
+        tags = np.zeros(len(spans), int)
+        for a, b in trained.islands(scores):
+            tags[a:b] = trained.viterbi(scores[a:b])[0]
+        assert tags.tolist() == trained.viterbi(scores)[0]
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    return secrets.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
 def test_redaction_covers_every_span(spark, docs):
     out = by_id(secrets.redact(docs, secrets.fit(docs)).select("doc_id", "text"))
     assert "0123456789abcdef" not in out.loc[16, "text"] and out.loc[5, "text"] == odd_texts()[5] and out.loc[0, "text"] is None
