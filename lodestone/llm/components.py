@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stash
+from lodestone.llm.common import release, stash
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,7 +23,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stash(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        shorter = stash(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        release(edges)
+        edges = shorter
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())

@@ -18,17 +18,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import id_text, stash
+from lodestone.llm.common import id_text, release, stash
 from lodestone.llm.components import components
 
 GROUPS = 512
-CELLS = 1 << 16
+CELLS = 1 << 16, 1 << 20  # least and most cells of the table of counts, which grows with the documents in between
+CELL_BLOCK = 1 << 12
 LEAF = 16
 ROUNDS = 2
-BLOCK = 3_000_000  # shingles of a family that one task holds from each of its two blocks
+BLOCK = 3_000_000  # weight of a family that one task holds from each of its two blocks
+POINT = 256  # weight of a document's point, besides one for each shingle
 WORDS = 400_000
 U = np.uint64
 
@@ -74,20 +77,36 @@ class Shingler:
 
 
 def cell_counts(plain: DataFrame, size: int) -> np.ndarray:
-    """How many distinct shingles of all documents fall into each of CELLS cells; a bounded table, whatever the input."""
+    """How many distinct shingles of all documents fall into each cell of a table of bounded size.
+
+    Every task sends its sums as blocks of cells; blocks are added up in groups of tasks and then over the groups, so no task
+    takes more than the square root of the tasks' blocks.
+    """
+    wanted = plain.count() + 1
+    cells = min(CELLS[1], max(CELLS[0], 1 << wanted.bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        shingler, counts = Shingler(size), np.zeros(CELLS, np.int64)
+        shingler, counts = Shingler(size), np.zeros(cells, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                for text in batch.column(0).slice(at, 500).to_pylist():
-                    counts += np.bincount((shingler.shingles(text) % U(CELLS)).astype(np.intp), minlength=CELLS)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["cell", "count"])
-
-    table = plain.select("text").mapInArrow(run, "cell long, count long").groupBy("cell").agg(F.sum("count").alias("count")).toPandas()
-    out = np.zeros(CELLS, np.int64)
-    out[table["cell"]] = table["count"]
+                found = [shingler.shingles(text) % U(cells) for text in batch.column(0).slice(at, 500).to_pylist()]
+                counts += np.bincount(np.concatenate(found).astype(np.intp), minlength=cells)
+        sums = [counts[k : k + CELL_BLOCK].astype("<i8").tobytes() for k in range(0, cells, CELL_BLOCK)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(np.full(len(sums), TaskContext.get().partitionId() % 64), pa.int32()), pa.array(sums, pa.binary())], ["block", "part", "sums"])
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, block, part = np.zeros(CELL_BLOCK, np.int64), None, None
+        for batch in parts:
+            for block, part, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total += np.frombuffer(sums, "<i8")
+        if block is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "part", "sums"])
+
+    schema = "block int, part int, sums binary"
+    found = plain.select("text").mapInArrow(run, schema).groupBy("block", "part").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
+    out = np.zeros(cells, np.int64)
+    for row in found.collect():  # cells / CELL_BLOCK rows
+        out[row["block"] * CELL_BLOCK : (row["block"] + 1) * CELL_BLOCK] = np.frombuffer(row["sums"], "<i8")
     return out
 
 
@@ -103,7 +122,7 @@ def prefix(s: np.ndarray, counts: np.ndarray, percent: int, slack: int = 0) -> t
     least = 1 + smallest * slack // 100
     if not n or keep >= n:
         return s, min(least, 1)
-    order = np.lexsort((s, counts[(s % U(CELLS)).astype(np.intp)]))
+    order = np.lexsort((s, counts[(s % U(len(counts))).astype(np.intp)]))
     return s[order[:keep]], least
 
 
@@ -185,76 +204,131 @@ def family_links(ids: list[int], sides: list[int], sets: list[np.ndarray], same:
     return out
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """Rows whose key occurs in two sets, with the smallest set that has it."""
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
-    return keyed.join(shared, "key")
-
+def set_digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart, as two signed numbers."""
+    if not len(s):
+        return 0, 0
+    return int(mix(s ^ U(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(s ^ U(0x589965CC75374CC3))).astype(np.int64))
 
-def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90, slack: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of every document.
 
-    Null, empty and blank texts have no shingles and link with nothing. Rows repeated with one id keep one row each and
-    link as any two equal texts do. Other columns are not read; an empty table gives no rows.
-    """
-    plain = id_text(docs, id_col, text_col)
+def sketch(plain: DataFrame, size: int, percent: int, slack: int) -> DataFrame:
+    """row (a number of its own for every row), doc_id, text_hash, n, d1, d2 (digest of the set), least and keys (its first elements)."""
     counts = cell_counts(plain, size)
 
-    def sketch(batches: Iterator[pa.RecordBatch]):
-        shingler = Shingler(size)
+    def run(batches: Iterator[pa.RecordBatch]):
+        shingler, number = Shingler(size), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                n, d1, d2, keys, least = [], [], [], [], []
+                n, digests, keys, least = [], [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingler.shingles(text)
                     n.append(len(s))
-                    d1.append(mix(s ^ U(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64).astype(np.int64) if len(s) else 0)
-                    d2.append(np.bitwise_xor.reduce(mix(s ^ U(0x589965CC75374CC3))).astype(np.int64) if len(s) else 0)
+                    digests.append(set_digest(s))
                     first, needed = prefix(s, counts, percent, slack)
                     keys.append(first.astype(np.int64))
                     least.append(needed)
                 offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(least, pa.int32()), lists], ["doc_id", "n", "d1", "d2", "least", "keys"])
+                rows = pa.array(np.arange(number, number + part.num_rows), pa.int64())
+                number += part.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [rows, part.column(0), part.column(2), pa.array(n, pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), pa.array(least, pa.int32()), lists],
+                    ["row", "doc_id", "text_hash", "n", "d1", "d2", "least", "keys"],
+                )
 
-    rows = stash(plain.mapInArrow(sketch, "doc_id long, n long, d1 long, d2 long, least int, keys array<long>"), "sketch")
-    known = rows.where("n > 0").select("doc_id", "n", "d1", "d2")
-    reps = stash(known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "reps")
-    members = known.join(reps, ["n", "d1", "d2"]).select("doc_id", "rep")
+    hashed = plain.select("doc_id", "text", F.xxhash64("text"))
+    return hashed.mapInArrow(run, "row long, doc_id long, text_hash long, n long, d1 long, d2 long, least int, keys array<long>")
 
-    # copies are few next to all rows, and their written size decides how they are left out
-    copies = stash(members.where("doc_id > rep").select("doc_id"), "copies")
-    keyed = rows.where(F.size("keys") > 0).join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "least", F.explode("keys").alias("key"))
-    hits = stash(shared_keys(keyed), "hits") if slack else shared_keys(keyed)
-    for _ in range(ROUNDS if slack else 0):
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """Rows whose key occurs in two sets, with the smallest set that has it."""
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
+    return keyed.join(shared, "key")
+
+
+def families(keyed: DataFrame, pruned: bool) -> DataFrame:
+    """id and component_id of the sets (rep, least, key) that share elements, over any number of steps."""
+    hits = stash(shared_keys(keyed), "hits")
+    for _ in range(ROUNDS if pruned else 0):
         # a set with too few shared elements has no partner; without it, others may have too few
-        live = hits.groupBy("rep").agg(F.count_distinct("key").alias("n"), F.max("least").alias("least")).where("n >= least").select("rep")
-        hits = stash(shared_keys(hits.select("rep", "least", "key").join(live, "rep", "left_semi")), "hits")
-    # families: every set that shares a first element joins the smallest set with that element
-    stars = hits.where("rep > first").select("rep", "first").distinct()
-    family = components(stars).select(F.col("id").alias("rep"), F.col("component_id").alias("family"))
-    sized = family.join(reps.select("rep", "n"), "rep")
-    blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    active = stash(sized.join(blocks, "family").select(F.col("rep").alias("doc_id"), "family", "blocks"), "families")
-
-    def sets(batches: Iterator[pa.RecordBatch]):
-        shingler = Shingler(size)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([shingler.shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["rep", "family", "blocks", "shingles"])
+        live = hits.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("n >= least").select("rep")
+        fewer = stash(shared_keys(hits.select("rep", "least", "key").join(live, "rep", "left_semi")), "hits")
+        release(hits)
+        hits = fewer
+    # every set that shares a first element joins the smallest set with that element
+    stars = stash(hits.where("rep > first").select("rep", "first").distinct(), "stars")
+    release(hits)
+    out = components(stars)
+    release(stars)
+    return out
 
-    texts = plain.join(active.hint("merge"), "doc_id").mapInArrow(sets, "rep long, family long, blocks int, shingles binary")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    paired = texts.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "shingles")
+
+def jaccard_rows(docs: DataFrame, size: int = 3, percent: int = 90, slack: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row, doc_id, text_hash, n_shingles, component_id and component (a number of the component) of every row of docs.
+
+    The rules are those of jaccard_groups; a row without shingles or without an id is a component of its own.
+    """
+    plain = id_text(docs, id_col, text_col)
+    rows = stash(sketch(plain, size, percent, slack), "sketch")
+    known = rows.where("n > 0 and doc_id is not null")
+    # sets that are equal are one representative from here on; only it brings its first elements
+    reps = stash(known.groupBy("n", "d1", "d2").agg(F.min("row").alias("rep")), "reps")
+    members = known.select("row", "n", "d1", "d2").join(reps, ["n", "d1", "d2"]).select("row", "rep")
+    # copies are few next to all rows, and their written size decides how they are left out
+    copies = stash(members.where("row > rep"), "copies")
+    keyed = known.join(copies.select("row"), "row", "left_anti").select(F.col("row").alias("rep"), "least", F.explode("keys").alias("key"))
+    family = families(keyed, bool(slack)).select(F.col("id").alias("row"), F.col("component_id").alias("family"))
+    sized = family.join(known.select("row", "doc_id", "n", "d1", "d2"), "row")
+    blocks = sized.groupBy("family").agg(F.ceil(F.sum(F.col("n") + POINT) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    active = stash(sized.join(blocks, "family").select("row", "doc_id", "d1", "d2", "family", "blocks"), "families")
+    block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    texts = plain.join(active.hint("merge"), "doc_id").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = texts.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "row", "d1", "d2", "text")
 
     def links(table: pa.Table) -> pa.Table:
-        ids, sides = table.column("rep").to_pylist(), table.column("block").to_pylist()
-        found = family_links(ids, sides, [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()], table.column("low")[0] == table.column("high")[0], percent)
+        shingler, ids, sides, sets = Shingler(size), [], [], []
+        for batch in table.select(["block", "row", "d1", "d2", "text"]).to_batches(max_chunksize=500):
+            for side, row, d1, d2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = shingler.shingles(text)
+                if set_digest(s) == (d1, d2):  # an id may repeat with another text
+                    ids.append(row)
+                    sides.append(side)
+                    sets.append(s)
+        found = family_links(ids, sides, sets, table.column("low")[0] == table.column("high")[0], percent) if ids else []
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-    linked = components(paired.groupBy("family", "low", "high").applyInArrow(links, "a long, b long"))
-    placed = members.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles")).join(placed.distinct(), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = components(paired.groupBy("family", "low", "high").applyInArrow(links, "a long, b long")).select(F.col("id").alias("rep"), F.col("component_id").alias("component"))
+    # what is not in a copy's or a link's row stands for itself
+    node = rows.select("row", "doc_id", "text_hash", F.col("n").alias("n_shingles")).join(copies, "row", "left").withColumn("rep", F.coalesce("rep", "row"))
+    placed = node.join(linked, "rep", "left").select("row", "doc_id", "text_hash", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(smallest, "component").select("row", "doc_id", "text_hash", "n_shingles", "component_id", "component")
+
+
+def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90, slack: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of every row of docs.
+
+    Null, empty and blank texts have no shingles and link with nothing, nor does a row without an id, whose component_id is
+    null. Rows repeated with one id keep one row each and link by their own texts. Other columns are not read; an empty table
+    gives no rows.
+    """
+    return jaccard_rows(docs, size, percent, slack, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def distinct_rows(docs: DataFrame, size: int = 5, percent: int = 80, slack: int = 5) -> DataFrame:
+    """Of each group of rows linked by their shingles the one with the smallest doc_id, all columns of docs.
+
+    Rows with null, empty or blank texts, or without an id, stay. Of rows that repeat both id and text one stays; rows of one
+    id with texts that do not link all stay.
+    """
+    found = jaccard_rows(docs, size, percent, slack)
+    first = found.where("n_shingles > 0 and doc_id is not null").groupBy("component").agg(F.min(F.struct("doc_id", "row", "text_hash")).alias("x"))
+    kept = first.groupBy(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash")).agg(F.count(F.lit(1)).alias("__n"))
+    blank = F.size(F.array_remove(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), "")) == 0
+    same = (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hash"))
+    aside = docs["doc_id"].isNull() | blank
+    chosen = docs.where(~aside).join(kept.hint("merge"), same, "left_semi")
+    # rows that repeat id and text are one component, of which one row stays
+    numbered = Window.partitionBy(chosen["doc_id"], F.xxhash64(chosen["text"].cast("string"))).orderBy(F.lit(0))
+    return chosen.withColumn("__nth", F.row_number().over(numbered)).where("__nth = 1").select(*docs.columns).union(docs.where(aside))
