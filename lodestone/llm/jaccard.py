@@ -1,11 +1,12 @@
 """Similarity join of documents by the Jaccard index of their word shingles, with an R-tree over count vectors.
 
 1. Each document becomes the set of its hashed shingles. Documents with equal sets are one representative from then on.
-2. Families. Elements are ordered, rare ones first, by how often their cell of a count table of fixed size occurs in the
-   whole corpus. Two sets that reach the threshold share one of their first n - ceil(threshold * n) + 1 elements, whatever the
-   order; with this one, elements that many documents share are hardly ever among them. Sets that share such an element
-   are joined into families; no link crosses families.
-3. Within a family, elements are hashed into groups; the group counts of a set are a point, points are kept in an R-tree
+2. Families. Two sets that reach the threshold differ in at most `tau` elements, a number that their size bounds. Elements are
+   hashed into more than tau groups; as each differing element spoils one group, all but tau of the groups with elements hold
+   the same elements in both sets. A set that shares fewer of its groups with others has no partner and is dropped; sets that
+   then share a group's whole content are joined into families, and no link crosses families. The number of groups depends
+   on a band of sizes, and a set also takes part in the band of its largest possible partner.
+3. Within a family, elements are hashed into coordinates; the group counts of a set are a point, points are kept in an R-tree
    whose boxes hold the largest count of each group. The sum of coordinate minima bounds the overlap from above, for boxes
    as for points; pairs that survive are verified on the sets. Only pairs that are not connected yet need verifying.
 4. Families too large for one task are cut into blocks, and each pair of blocks is a task.
@@ -13,6 +14,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +27,13 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import id_text, release, stash
 from lodestone.llm.components import components
 
-GROUPS = 512
-CELLS = 1 << 16, 1 << 20  # least and most cells of the table of counts, which grows with the documents in between
-CELL_BLOCK = 1 << 12
+COORDINATES = 32, 512  # least and most coordinates of a point
 LEAF = 16
-ROUNDS = 2
 BLOCK = 3_000_000  # weight of a family that one task holds from each of its two blocks
 POINT = 256  # weight of a document's point, besides one for each shingle
+GROWTH = 1.5  # of the size bands
+ROUNDS = 2  # of dropping sets without a partner; more of them would only make families smaller
+SEEDS = 8  # ways of grouping that are tried for sets with too many empty groups
 WORDS = 400_000
 U = np.uint64
 
@@ -63,67 +65,88 @@ class Shingler:
             found = [memo[w] for w in words]
         return np.array(found, dtype=np.uint64)
 
-    def shingles(self, text: str | None) -> np.ndarray:
-        """Sorted distinct shingles; a text with fewer words than a shingle has its whole sequence as one."""
-        w = self.word_hashes(text or "")
-        if not len(w):
-            return w
-        k = min(self.size, len(w))
-        n = len(w) - k + 1
-        x = np.full(n, k, dtype=np.uint64)
-        for j in range(k):
-            x = mix(x * U(0x9E3779B97F4A7C15) + w[j : j + n])
-        return np.unique(x)
-
-
-def cell_counts(plain: DataFrame, size: int) -> np.ndarray:
-    """How many distinct shingles of all documents fall into each cell of a table of bounded size.
-
-    Every task sends its sums as blocks of cells; blocks are added up in groups of tasks and then over the groups, so no task
-    takes more than the square root of the tasks' blocks.
-    """
-    wanted = plain.count() + 1
-    cells = min(CELLS[1], max(CELLS[0], 1 << wanted.bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        shingler, counts = Shingler(size), np.zeros(cells, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                found = [shingler.shingles(text) % U(cells) for text in batch.column(0).slice(at, 500).to_pylist()]
-                counts += np.bincount(np.concatenate(found).astype(np.intp), minlength=cells)
-        sums = [counts[k : k + CELL_BLOCK].astype("<i8").tobytes() for k in range(0, cells, CELL_BLOCK)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(np.full(len(sums), TaskContext.get().partitionId() % 64), pa.int32()), pa.array(sums, pa.binary())], ["block", "part", "sums"])
-
-    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, block, part = np.zeros(CELL_BLOCK, np.int64), None, None
-        for batch in parts:
-            for block, part, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                total += np.frombuffer(sums, "<i8")
-        if block is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "part", "sums"])
-
-    schema = "block int, part int, sums binary"
-    found = plain.select("text").mapInArrow(run, schema).groupBy("block", "part").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
-    out = np.zeros(cells, np.int64)
-    for row in found.collect():  # cells / CELL_BLOCK rows
-        out[row["block"] * CELL_BLOCK : (row["block"] + 1) * CELL_BLOCK] = np.frombuffer(row["sums"], "<i8")
-    return out
-
+    def sets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles of each text, sorted, one after the other, and where each text's begin.
+
+        A text with fewer words than a shingle has its whole sequence as one.
+        """
+        words = [self.word_hashes(t or "") for t in texts]
+        lengths = np.array([*map(len, words)], np.int64)
+        w = np.concatenate([*words, np.zeros(self.size, np.uint64)])
+        k = np.minimum(self.size, lengths)
+        counts = np.where(lengths > 0, lengths - k + 1, 0)
+        ends = np.cumsum(counts)
+        # the place of each shingle's first word
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(np.cumsum(lengths) - lengths - (ends - counts), counts)
+        size = np.repeat(k, counts)
+        x = size.astype(np.uint64)
+        for j in range(self.size):
+            y = mix(x * U(0x9E3779B97F4A7C15) + w[at + j])
+            x = np.where(j < size, y, x)
+        for a, b in zip(ends - counts, ends, strict=True):
+            x[a:b].sort()
+        fresh = np.ones(len(x), bool)
+        fresh[1:] = x[1:] != x[:-1]
+        fresh[(ends - counts)[counts > 0]] = True
+        return x[fresh], np.concatenate([[0], np.concatenate([[0], np.cumsum(fresh)])[ends]]).astype(np.int64)
 
-def prefix(s: np.ndarray, counts: np.ndarray, percent: int, slack: int = 0) -> tuple[np.ndarray, int]:
-    """The first elements of a set, and how many of them any partner shares.
-
-    Sets that reach the threshold share `least` of their first n - ceil(threshold * n) + least elements. least grows with slack
-    percent of the size, that of the smallest possible partner for the number that must be shared.
-    """
-    n = len(s)
-    smallest = -(-n * percent // 100)
-    keep = n - smallest + 1 + n * slack // 100
-    least = 1 + smallest * slack // 100
-    if not n or keep >= n:
-        return s, min(least, 1)
-    order = np.lexsort((s, counts[(s % U(len(counts))).astype(np.intp)]))
-    return s[order[:keep]], least
+    def shingles(self, text: str | None) -> np.ndarray:
+        return self.sets([text])[0]
+
+
+class Bands:
+    """Size bands, and into how many groups the elements of sets of a band are hashed."""
+
+    def __init__(self, percent: int):
+        self.percent, self.first, self.groups, self.tau = percent, [1], [], []
+
+    def of(self, n: int) -> int:
+        while self.first[-1] <= n:
+            low = self.first[-1]
+            high = max(low + 1, int(low * GROWTH))
+            tau = (100 - self.percent) * 2 * (high - 1) // (100 + self.percent)
+            smallest, groups = max(1, low * self.percent // 100), tau + 1
+            # some groups will be empty: as many more as leave tau + 1 with elements
+            while tau and groups < smallest and groups * (1 - np.exp(-smallest / groups)) < 1.03 * (tau + 1):
+                groups += max(1, groups // 50)
+            self.first.append(high)
+            self.groups.append(groups)
+            self.tau.append(tau)
+        return bisect.bisect_right(self.first, n) - 1
+
+    def keys(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Keys of the groups of all sets; of each key the set, the way of grouping, and how many keys of it any partner shares."""
+        sizes = np.diff(starts)
+        jobs = [(k, b) for k, n in enumerate(sizes.tolist()) if n for b in range(self.of(n), self.of(100 * n // self.percent) + 1)]
+        out = []
+        for seed in range(SEEDS):
+            if not jobs:
+                break
+            who, band = (np.array(c) for c in zip(*jobs, strict=True))
+            groups, lengths = np.array(self.groups)[band], sizes[who]
+            ends = np.cumsum(lengths)
+            elements = x[np.arange(ends[-1]) + np.repeat(starts[who] - (ends - lengths), lengths)]
+            way = band * SEEDS + seed
+            salt = mix((way.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15))
+            hashed = mix(elements ^ np.repeat(salt, lengths))
+            base = np.cumsum(groups) - groups
+            place = (hashed % np.repeat(groups, lengths).astype(np.uint64)).astype(np.int64) + np.repeat(base, lengths)
+            total = int(groups.sum())
+            # exact sums of both halves of a second hash tell contents apart
+            spread = mix(hashed + U(0xD1B54A32D192ED03))
+            high, low = (np.bincount(place, weights=(h & U(0xFFFFFFFF)).astype(np.float64), minlength=total).astype(np.uint64) for h in (spread >> U(32), spread))
+            held = np.bincount(place, minlength=total) > 0
+            own = np.repeat(np.arange(len(jobs)), groups)
+            # at most tau of the groups with elements differ from those of a partner
+            least = np.bincount(own[held], minlength=len(jobs)) - np.array(self.tau)[band]
+            if seed + 1 == SEEDS:
+                held |= (least < 1)[own]  # empty groups count, too, where nothing else can
+            number = (np.arange(total) - np.repeat(base, groups)).astype(np.uint64)
+            found = mix(mix(high * U(0x9E3779B97F4A7C15) + low) ^ mix(np.repeat(salt, groups) + number))
+            out.append((found[held], who[own][held], way[own][held], np.maximum(least, 1)[own][held]))
+            jobs = [j for j, n in zip(jobs, least, strict=True) if n < 1]
+        empty = np.empty(0, np.int64)
+        return tuple(np.concatenate(c) for c in zip((empty.astype(np.uint64), empty, empty, empty), *out, strict=True))
 
 
 class RTree:
@@ -173,33 +196,32 @@ class RTree:
         return self.order[nodes[bound * (100 + percent) >= percent * (size + self.sizes[nodes])]]
 
 
-def family_links(ids: list[int], sides: list[int], sets: list[np.ndarray], same: bool, percent: int) -> list[tuple[int, int]]:
+def family_links(ids: list[int], sides: np.ndarray, sets: list[np.ndarray], same: bool, percent: int) -> list[tuple[int, int]]:
     """Links that connect what the threshold connects; same: within one block, else only across the two sides."""
     n = len(ids)
-    counts = np.zeros((n, GROUPS), np.uint16 if max(map(len, sets)) < 1 << 16 else np.int64)
-    for k, s in enumerate(sets):
-        counts[k] = np.bincount((mix(s) % U(GROUPS)).astype(np.intp), minlength=GROUPS)
     sizes = np.array([len(s) for s in sets])
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    groups = min(COORDINATES[1], max(COORDINATES[0], 1 << (int(np.median(sizes)) // 4).bit_length()))
+    counts = np.zeros((n, groups), np.uint16 if sizes.max() < 1 << 16 else np.int64)
+    for k, s in enumerate(sets):
+        counts[k] = np.bincount((mix(s) % U(groups)).astype(np.intp), minlength=groups)
+    label = np.arange(n)
+    members = {k: [k] for k in range(n)}
     tree, out = RTree(counts, sizes), []
     for k in range(n):
-        for j in tree.search(counts[k], int(sizes[k]), percent):
-            j = int(j)
-            if j >= k or not same and sides[j] == sides[k]:
-                continue
-            a, b = root(j), root(k)
+        if len(members) == 1:
+            break
+        near = tree.search(counts[k], int(sizes[k]), percent)
+        near = near[(near < k) & (label[near] != label[k]) & (same | (sides[near] != sides[k]))]
+        for j in near.tolist():
+            a, b = int(label[j]), int(label[k])
             if a == b:
                 continue
             shared = len(np.intersect1d(sets[j], sets[k], assume_unique=True))
             if 100 * shared >= percent * (sizes[j] + sizes[k] - shared):
-                parent[a] = b
+                if len(members[a]) > len(members[b]):
+                    a, b = b, a
+                label[members[a]] = b
+                members[b] += members.pop(a)
                 out.append((ids[j], ids[k]))
     return out
 
@@ -211,34 +233,37 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s ^ U(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(s ^ U(0x589965CC75374CC3))).astype(np.int64))
 
 
-def sketch(plain: DataFrame, size: int, percent: int, slack: int) -> DataFrame:
-    """row (a number of its own for every row), doc_id, text_hash, n, d1, d2 (digest of the set), least and keys (its first elements)."""
-    counts = cell_counts(plain, size)
+def sketch(plain: DataFrame, size: int, percent: int) -> DataFrame:
+    """row (a number of its own for every row), doc_id, text_hash, n, d1, d2 (digest of the set) and the keys of its groups.
+
+    The keys are in lists by way of grouping; its tag holds its number and, in the lower half, how many keys any partner shares.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        shingler, number = Shingler(size), TaskContext.get().partitionId() << 40
+        shingler, bands, number = Shingler(size), Bands(percent), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                n, digests, keys, least = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    s = shingler.shingles(text)
-                    n.append(len(s))
-                    digests.append(set_digest(s))
-                    first, needed = prefix(s, counts, percent, slack)
-                    keys.append(first.astype(np.int64))
-                    least.append(needed)
-                offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
+                x, starts = shingler.sets(part.column(1).to_pylist())
+                digests = [set_digest(x[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                keys, owners, ways, least = bands.keys(x, starts)
+                order = np.lexsort((ways, owners))
+                keys, owners, tags = keys[order], owners[order], ((ways << 32) + least)[order]
+                first = np.ones(len(keys), bool)
+                first[1:] = (owners[1:] != owners[:-1]) | (tags[1:] != tags[:-1])
+                at_key = np.flatnonzero(first)
+                inner = pa.ListArray.from_arrays(pa.array(np.append(at_key, len(keys)).astype(np.int32)), pa.array(keys.astype(np.int64)))
+                outer = np.concatenate([[0], np.cumsum(np.bincount(owners[at_key], minlength=part.num_rows))]).astype(np.int32)
+                groups = pa.ListArray.from_arrays(pa.array(outer), pa.StructArray.from_arrays([pa.array(tags[at_key]), inner], ["tag", "keys"]))
                 rows = pa.array(np.arange(number, number + part.num_rows), pa.int64())
                 number += part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [rows, part.column(0), part.column(2), pa.array(n, pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), pa.array(least, pa.int32()), lists],
-                    ["row", "doc_id", "text_hash", "n", "d1", "d2", "least", "keys"],
+                    [rows, part.column(0), part.column(2), pa.array(np.diff(starts), pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), groups],
+                    ["row", "doc_id", "text_hash", "n", "d1", "d2", "groups"],
                 )
 
     hashed = plain.select("doc_id", "text", F.xxhash64("text"))
-    return hashed.mapInArrow(run, "row long, doc_id long, text_hash long, n long, d1 long, d2 long, least int, keys array<long>")
+    return hashed.mapInArrow(run, "row long, doc_id long, text_hash long, n long, d1 long, d2 long, groups array<struct<tag: bigint, keys: array<bigint>>>")
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
@@ -247,16 +272,16 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     return keyed.join(shared, "key")
 
 
-def families(keyed: DataFrame, pruned: bool) -> DataFrame:
-    """id and component_id of the sets (rep, least, key) that share elements, over any number of steps."""
+def families(keyed: DataFrame) -> DataFrame:
+    """id and component_id of the sets (rep, tag, key) that may have a partner, by shared keys over any number of steps."""
     hits = stash(shared_keys(keyed), "hits")
-    for _ in range(ROUNDS if pruned else 0):
-        # a set with too few shared elements has no partner; without it, others may have too few
-        live = hits.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("n >= least").select("rep")
-        fewer = stash(shared_keys(hits.select("rep", "least", "key").join(live, "rep", "left_semi")), "hits")
+    for _ in range(ROUNDS):
+        # a set with too few shared keys has no partner; without it, others may have too few
+        live = hits.groupBy("rep", "tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF))).select("rep", "tag")
+        fewer = stash(shared_keys(hits.select("rep", "tag", "key").join(live, ["rep", "tag"], "left_semi")), "hits")
         release(hits)
         hits = fewer
-    # every set that shares a first element joins the smallest set with that element
+    # every set joins the smallest set with a key of its own
     stars = stash(hits.where("rep > first").select("rep", "first").distinct(), "stars")
     release(hits)
     out = components(stars)
@@ -264,21 +289,22 @@ def families(keyed: DataFrame, pruned: bool) -> DataFrame:
     return out
 
 
-def jaccard_rows(docs: DataFrame, size: int = 3, percent: int = 90, slack: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_rows(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, text_hash, n_shingles, component_id and component (a number of the component) of every row of docs.
 
     The rules are those of jaccard_groups; a row without shingles or without an id is a component of its own.
     """
     plain = id_text(docs, id_col, text_col)
-    rows = stash(sketch(plain, size, percent, slack), "sketch")
+    rows = stash(sketch(plain, size, percent), "sketch")
     known = rows.where("n > 0 and doc_id is not null")
-    # sets that are equal are one representative from here on; only it brings its first elements
+    # sets that are equal are one representative from here on; only it brings keys
     reps = stash(known.groupBy("n", "d1", "d2").agg(F.min("row").alias("rep")), "reps")
     members = known.select("row", "n", "d1", "d2").join(reps, ["n", "d1", "d2"]).select("row", "rep")
     # copies are few next to all rows, and their written size decides how they are left out
     copies = stash(members.where("row > rep"), "copies")
-    keyed = known.join(copies.select("row"), "row", "left_anti").select(F.col("row").alias("rep"), "least", F.explode("keys").alias("key"))
-    family = families(keyed, bool(slack)).select(F.col("id").alias("row"), F.col("component_id").alias("family"))
+    keyed = known.join(copies.select("row"), "row", "left_anti").select(F.col("row").alias("rep"), F.explode("groups").alias("g"))
+    keyed = keyed.select("rep", "g.tag", F.explode("g.keys").alias("key"))
+    family = families(keyed).select(F.col("id").alias("row"), F.col("component_id").alias("family"))
     sized = family.join(known.select("row", "doc_id", "n", "d1", "d2"), "row")
     blocks = sized.groupBy("family").agg(F.ceil(F.sum(F.col("n") + POINT) / F.lit(BLOCK)).cast("int").alias("blocks"))
     active = stash(sized.join(blocks, "family").select("row", "doc_id", "d1", "d2", "family", "blocks"), "families")
@@ -289,13 +315,15 @@ def jaccard_rows(docs: DataFrame, size: int = 3, percent: int = 90, slack: int =
     def links(table: pa.Table) -> pa.Table:
         shingler, ids, sides, sets = Shingler(size), [], [], []
         for batch in table.select(["block", "row", "d1", "d2", "text"]).to_batches(max_chunksize=500):
-            for side, row, d1, d2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = shingler.shingles(text)
-                if set_digest(s) == (d1, d2):  # an id may repeat with another text
-                    ids.append(row)
-                    sides.append(side)
+            block, row, d1, d2, text = (c.to_pylist() for c in batch.columns)
+            x, starts = shingler.sets(text)
+            for k in range(batch.num_rows):
+                s = x[starts[k] : starts[k + 1]]
+                if set_digest(s) == (d1[k], d2[k]):  # an id may repeat with another text
+                    ids.append(row[k])
+                    sides.append(block[k])
                     sets.append(s)
-        found = family_links(ids, sides, sets, table.column("low")[0] == table.column("high")[0], percent) if ids else []
+        found = family_links(ids, np.array(sides), sets, table.column("low")[0] == table.column("high")[0], percent) if ids else []
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     linked = components(paired.groupBy("family", "low", "high").applyInArrow(links, "a long, b long")).select(F.col("id").alias("rep"), F.col("component_id").alias("component"))
@@ -306,23 +334,23 @@ def jaccard_rows(docs: DataFrame, size: int = 3, percent: int = 90, slack: int =
     return placed.join(smallest, "component").select("row", "doc_id", "text_hash", "n_shingles", "component_id", "component")
 
 
-def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90, slack: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of every row of docs.
 
     Null, empty and blank texts have no shingles and link with nothing, nor does a row without an id, whose component_id is
     null. Rows repeated with one id keep one row each and link by their own texts. Other columns are not read; an empty table
     gives no rows.
     """
-    return jaccard_rows(docs, size, percent, slack, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+    return jaccard_rows(docs, size, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
 
-def distinct_rows(docs: DataFrame, size: int = 5, percent: int = 80, slack: int = 5) -> DataFrame:
+def distinct_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Of each group of rows linked by their shingles the one with the smallest doc_id, all columns of docs.
 
     Rows with null, empty or blank texts, or without an id, stay. Of rows that repeat both id and text one stays; rows of one
     id with texts that do not link all stay.
     """
-    found = jaccard_rows(docs, size, percent, slack)
+    found = jaccard_rows(docs, size, percent)
     first = found.where("n_shingles > 0 and doc_id is not null").groupBy("component").agg(F.min(F.struct("doc_id", "row", "text_hash")).alias("x"))
     kept = first.groupBy(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash")).agg(F.count(F.lit(1)).alias("__n"))
     blank = F.size(F.array_remove(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), "")) == 0

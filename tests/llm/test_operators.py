@@ -314,11 +314,11 @@ def noisy_copies():
     return texts
 
 
-@pytest.mark.parametrize(("k", "percent", "slack"), [(3, 90, 3), (5, 80, 5), (3, 90, 0)])
-def test_jaccard(spark, monkeypatch, k, percent, slack):
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 60)])
+def test_jaccard(spark, monkeypatch, k, percent):
     monkeypatch.setattr(jaccard, "BLOCK", 500)  # large families are cut into blocks
     texts = noisy_copies()
-    got = by_id(jaccard.jaccard_groups(documents(spark, texts), k, percent, slack))
+    got = by_id(jaccard.jaccard_groups(documents(spark, texts), k, percent))
     sets = shingle_sets(texts, k)
     assert [got.loc[i, "n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
     assert [got.loc[i, "component_id"] for i in range(len(texts))] == groups_by_force(sets, percent)
@@ -330,6 +330,33 @@ def test_jaccard_of_nothing(spark, empty):
     assert sorted(repeated["component_id"]) == [4, 4, 5]
 
 
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    docs = documents(spark, ["a b c d e f g h", "q w e r t y u i", "q w e r t y u i", "A b c d e f g h", None, " ", "a b c d e f g h"], [1, 1, 1, 2, 3, 4, None])
+    kept = corpus_pipeline.near_duplicates(spark, docs, FOLDER).toPandas()
+    assert sorted(kept["text"].fillna("null")) == [" ", "a b c d e f g h", "a b c d e f g h", "null", "q w e r t y u i"]
+    assert list(kept["digest"]) == ["clash"] * 5
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_linked_sets_share_a_group(percent):
+    rng, bands = random.Random(2), jaccard.Bands(percent)
+    for n in [*range(1, 60), 150, 400, 1000]:
+        for _ in range(20):
+            a = rng.sample(range(10**9), n)
+            b = list(a)
+            while True:  # as many changes as the threshold allows
+                c = b[1:] + ([rng.randrange(10**9)] if rng.random() < 0.7 else [])
+                if not c or 100 * len(set(a) & set(c)) < percent * len(set(a) | set(c)):
+                    break
+                b = c
+            x = [jaccard.mix(np.array(sorted(set(s)), np.uint64)) for s in (a, b)]
+            keys, owners, ways, least = bands.keys(np.concatenate(x), np.array([0, len(x[0]), len(x[0]) + len(x[1])]))
+            held = [set(zip(ways[owners == k].tolist(), least[owners == k].tolist(), keys[owners == k].tolist(), strict=True)) for k in (0, 1)]
+            keys_of = [{(w, key) for w, _, key in h} for h in held]
+            # in some way of grouping both share as many keys as either needs
+            assert any(len({key for key in keys_of[0] & keys_of[1] if key[0] == w}) >= max(n for h in held for v, n, _ in h if v == w) for w in {w for w, _ in keys_of[0] & keys_of[1]})
+
+
 def test_tree_finds_all_that_the_bound_allows():
     rng = np.random.default_rng(1)
     points = rng.poisson(2, (200, 16)).astype(np.uint16)
