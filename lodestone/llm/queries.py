@@ -92,22 +92,31 @@ def oracle_sql() -> dict[str, str]:
         """,
         "op8_line_dedup": r"""
             WITH l AS (
-                SELECT doc_id, unnest(string_split(text, chr(10))) AS words, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
+                SELECT doc_id, unnest(string_split(text, chr(10))) AS words, generate_subscripts(string_split(text, chr(10)), 1) AS line
                 FROM documents),
-            p AS (
-                SELECT doc_id, line, words, lead(words) OVER (PARTITION BY doc_id ORDER BY line) AS follows
-                FROM l),
-            w AS (
-                SELECT doc_id, line, row_number() OVER (PARTITION BY words, follows ORDER BY doc_id, line) AS copy
-                FROM p WHERE trim(words) <> '' AND trim(follows) <> ''),
-            gone AS (SELECT DISTINCT doc_id, line + d AS line FROM w, (VALUES (0), (1)) AS s(d) WHERE copy > 1),
+            f AS (
+                SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS nth,
+                       len(regexp_extract_all(words, '[^\x20\x09-\x0D]+')) >= 50 AS wordy
+                FROM l WHERE regexp_matches(words, '[^\x20\x09-\x0D]')),
+            p AS (SELECT *, lead(words) OVER (PARTITION BY doc_id ORDER BY nth) AS follows FROM f),
+            b AS (
+                SELECT doc_id, nth, 2 AS size, row_number() OVER (PARTITION BY words, follows ORDER BY doc_id, nth) AS copy
+                FROM p WHERE follows IS NOT NULL
+                UNION ALL
+                SELECT doc_id, nth, 1, row_number() OVER (PARTITION BY words ORDER BY doc_id, nth) FROM f WHERE wordy),
+            gone AS (SELECT DISTINCT doc_id, nth + d AS nth FROM b, (VALUES (0), (1)) AS s(d) WHERE copy > 1 AND d < size),
             j AS (
-                SELECT l.doc_id, l.line, l.words, gone.line IS NOT NULL AS removed,
-                       gone.line IS NOT NULL AND lag(gone.line) OVER (PARTITION BY l.doc_id ORDER BY l.line) IS NULL AS starts
-                FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.line = l.line)
-            SELECT d.doc_id, count(*) FILTER (WHERE trim(j.words) <> '') AS n_lines,
-                   count(*) FILTER (WHERE j.removed) AS n_removed, count(*) FILTER (WHERE j.starts) AS n_runs,
-                   sha256(coalesce(string_agg(j.words, chr(10) ORDER BY j.line) FILTER (WHERE NOT j.removed), '')) AS kept_sha256
-            FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id GROUP BY d.doc_id
+                SELECT gone.doc_id, gone.nth, b.nth IS NULL AS opens
+                FROM gone LEFT JOIN b ON b.doc_id = gone.doc_id AND b.nth = gone.nth - 1 AND b.size = 2 AND b.copy > 1),
+            r AS (SELECT doc_id, nth, sum(opens::int) OVER (PARTITION BY doc_id ORDER BY nth) AS run FROM j),
+            t AS (SELECT doc_id, count(*) AS lines FROM r GROUP BY doc_id, run),
+            m AS (SELECT doc_id, sum(lines) AS n_removed, count(*) AS n_runs, max(lines) AS longest_run FROM t GROUP BY doc_id),
+            k AS (
+                SELECT l.doc_id, count(f.nth) AS n_lines, string_agg(l.words, chr(10) ORDER BY l.line) FILTER (WHERE r.nth IS NULL) AS kept
+                FROM l LEFT JOIN f ON f.doc_id = l.doc_id AND f.line = l.line LEFT JOIN r ON r.doc_id = f.doc_id AND r.nth = f.nth
+                GROUP BY l.doc_id)
+            SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(m.n_removed, 0)::bigint AS n_removed, coalesce(m.n_runs, 0) AS n_runs,
+                   coalesce(m.longest_run, 0) AS longest_run, sha256(coalesce(k.kept, '')) AS kept_sha256
+            FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
         """,
     }

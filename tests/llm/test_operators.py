@@ -402,22 +402,66 @@ def test_passages(spark, docs, empty):
 # 8
 
 
+def runs_by_force(texts, least, words=50):
+    """Of each text the maximal runs (start, length over the non-blank lines) that repeat an earlier place."""
+    lines = [[x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\f\r")] for t in texts]
+    found = []
+    for i, own in enumerate(lines):
+        reach = []
+        for k in range(len(own)):
+            best = 0
+            for j in range(i + 1):
+                for m in range(len(lines[j]) if j < i else k):
+                    n = 0
+                    while k + n < len(own) and m + n < len(lines[j]) and own[k + n] == lines[j][m + n]:
+                        n += 1
+                    best = max(best, n)
+            reach.append(k + best if best >= least or best and len(own[k].split()) >= words else k)
+            if least > best > 1 and len(own[k].split()) >= words:
+                reach[-1] = k + 1
+        runs, end = [], -1
+        for k, to in enumerate(reach):
+            if to > k and k < end:
+                end = max(end, to)
+                runs[-1][1] = end - runs[-1][0]
+            elif to > k:
+                runs.append([k, to - k])
+                end = to
+        found.append([tuple(r) for r in runs])
+    return found
+
+
 @pytest.mark.parametrize("least", [1, 2, 3])
-def test_lines(docs, empty, least):
-    got = by_id(line_dedup.line_dedup(docs, least).select("doc_id", "text", "gone"))
-    texts, seen = odd_texts(), set()
+def test_lines(spark, empty, least):
+    rng = random.Random(least)
+    short = [f"line {k}" for k in range(8)] + ["  ", "\t", " ".join(f"w{k}" for k in range(60))]
+    texts = [t for t in odd_texts() if not t or len(t) < 10_000] + ["\n".join(rng.choices(short, k=rng.randint(1, 14))) for _ in range(60)]
+    texts += [texts[-1], texts[-2], "\n".join(["same"] * 9), "\n".join(["same"] * 5), None]
+    docs = documents(spark, texts).withColumnRenamed("keys", "gone")
+    runs = by_id(line_dedup.repeated_runs(docs, least))
+    wanted = runs_by_force(texts, least)
+    got = [[(r["start"], r["length"]) for r in runs.loc[i, "runs"]] if i in runs.index else [] for i in range(len(texts))]
+    assert got == wanted
+    out = by_id(line_dedup.line_dedup(docs, least, gone="cut").select("doc_id", "text", "cut", "gone"))
     for i, t in enumerate(texts):
-        lines = [] if t is None else t.split("\n")
-        gone = set()
-        for k in range(len(lines) - least + 1):
-            run = tuple(lines[k : k + least])
-            if all(x.strip(" ") for x in run):
-                if run in seen:
-                    gone |= set(range(k, k + least))
-                seen.add(run)
-        assert sorted(got.loc[i, "gone"]) == sorted(gone)
-        assert got.loc[i, "text"] == (None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone))
-    assert line_dedup.line_dedup(empty).count() == 0
+        split = [] if t is None else t.split("\n")
+        places = [k for k, x in enumerate(split) if x.strip(" \t\n\x0b\f\r")]
+        gone = [places[k] for s, n in wanted[i] for k in range(s, s + n)]
+        assert list(out.loc[i, "cut"]) == gone and out.loc[i, "gone"] == "clash"
+        assert out.loc[i, "text"] == (None if t is None else "\n".join(x for k, x in enumerate(split) if k not in gone))
+    for i, r in runs.iterrows():  # a run's source holds the same lines
+        for x in r["runs"]:
+            mine, theirs = ([y for y in texts[d].split("\n") if y.strip(" \t\n\x0b\f\r")] for d in (i, x["source"]))
+            assert mine[x["start"]] == theirs[x["source_start"]] and (x["source"], x["source_start"]) < (i, x["start"])
+    assert line_dedup.line_dedup(empty).count() == 0 and line_dedup.keep_distinct_lines(docs, least).columns == docs.columns
+    with pytest.raises(ValueError, match="gone"):
+        line_dedup.line_dedup(docs, least)
+
+
+def test_lines_of_rows_without_id_or_with_repeated_ids(spark):
+    shared = "one of two\ntwo of two"
+    out = line_dedup.line_dedup(documents(spark, [shared, shared, shared, f"{shared}\nend"], [5, 5, None, 6]).where("true")).toPandas()
+    assert sorted(out["text"]) == ["end", shared, shared, shared]
 
 
 def test_blank_lines_do_not_break_runs(spark):
