@@ -378,11 +378,9 @@ def test_components(spark):
 # 7
 
 
-def test_passages(spark, docs, empty):
-    texts = odd_texts()
-    got = by_id(substring_dedup.passage_report(docs))
+def passages_by_force(texts):
     words = [(t or "").encode().split() for t in texts]
-    first = {}
+    first, out = {}, []
     for i, w in enumerate(words):
         for k in range(len(w) - 49):
             first.setdefault(tuple(w[k : k + 50]), i)
@@ -392,13 +390,50 @@ def test_passages(spark, docs, empty):
             if first[tuple(w[k : k + 50])] < i:
                 gone[k : k + 50] = True
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
-        assert tuple(got.loc[i, ["n_words", "n_removed", "kept_sha256"]]) == (len(w), gone.sum(), hashlib.sha256(kept).hexdigest())
+        out.append((len(w), gone.sum(), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def many_passages():
+    rng = random.Random(11)
+    words = lambda n: rng.choices(["".join(rng.choices("abcdefg", k=3)) for _ in range(300)], k=n)
+    passages, texts = [words(rng.randint(45, 200)) for _ in range(6)], []
+    for _ in range(60):
+        text = words(rng.randint(0, 80))
+        for _ in range(rng.randint(0, 4)):
+            p = rng.choice(passages)
+            a = rng.randrange(len(p) // 3)
+            text += p[a : len(p) - rng.randrange(len(p) // 3)] + words(rng.randint(0, 30))
+        texts.append(" ".join(text))
+    base = words(400)
+    for _ in range(20):
+        near = list(base)
+        near[rng.randrange(400)] = "changed"
+        texts.append(" ".join(near))
+    return texts + [" ".join(["same"] * 120), " ".join(["same"] * 60), texts[-1]]
+
+
+@pytest.mark.parametrize(("phrases", "salt"), [(10_000, 2_000_000), (5, 700)])
+def test_passages(spark, docs, empty, monkeypatch, phrases, salt):
+    monkeypatch.setattr(substring_dedup, "SHARD_PHRASES", phrases)
+    monkeypatch.setattr(substring_dedup, "SALT_WORDS", salt)
+    texts = odd_texts() + many_passages()
+    got = by_id(substring_dedup.passage_report(documents(spark, texts)))
+    for i, wanted in enumerate(passages_by_force(texts)):
+        assert tuple(got.loc[i, ["n_words", "n_removed", "kept_sha256"]]) == wanted
     assert got.loc[12, "n_removed"] >= 70
     assert substring_dedup.passage_report(empty).count() == 0
     repeated = substring_dedup.passage_report(documents(spark, [texts[5], texts[5], texts[9]], [3, 3, 3])).toPandas()
     assert (repeated["n_removed"] == 0).all() and len(repeated) == 3
 
 
+def test_without_automata_only_copies_of_whole_texts_go(spark, docs, monkeypatch):
+    wanted = sum(n for _, n, _ in passages_by_force(odd_texts()))
+    assert substring_dedup.passage_report(docs).agg({"n_removed": "sum"}).first()[0] == wanted > 600
+    monkeypatch.setattr(substring_dedup, "spaced", lambda words: "")
+    assert substring_dedup.passage_report(docs).agg({"n_removed": "sum"}).first()[0] == 600
+
+
 # 8
 
 
