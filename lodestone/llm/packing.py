@@ -8,7 +8,8 @@ tasks; after each epoch the driver moves every island's elite to its neighbour.
 best-fit pass uses up at least one length.
 
 The bins are then dealt to documents without a shuffle of texts: each task ranks its own pieces by length while it
-tokenises, and the ranks are offset by the counts of the tasks before it.
+tokenises, and the ranks are offset by the counts of the tasks before it. A piece that fills a sequence alone needs no dealing:
+its sequence has a negative number made of its task and its place there.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from lodestone.llm.common import id_text, stash
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CAPACITY = 1024
 END_ID = 2
+TASK_PIECES = 1 << 36  # more full pieces than a task can have
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 6, 3, 4, 6
 
 Genome = list[tuple[tuple[int, ...], int]]
@@ -207,19 +209,15 @@ def best_fit_pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
     """
     spark = docs.sparkSession
     rows = stash(tokenise(docs, vocabulary, capacity), "tokens")
-    per_part = rows.groupBy("part", "rest").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.floor(F.col("n") / capacity)).alias("full_pieces"))
-    per_part = stash(per_part, "lengths")
-    counts = {r["rest"]: r["pieces"] for r in per_part.where("rest > 0").groupBy("rest").agg(F.sum("pieces").alias("pieces")).collect()}
+    per_part = stash(rows.where("rest > 0").groupBy("part", "rest").agg(F.count(F.lit(1)).alias("pieces")), "lengths")
+    counts = {r["rest"]: r["pieces"] for r in per_part.groupBy("rest").agg(F.sum("pieces").alias("pieces")).collect()}  # a row for each length
     genome = pack_lengths(spark, counts, capacity)
-    bins = sum(m for _, m in genome)
     before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     rank_base = per_part.select("part", "rest", F.coalesce(F.sum("pieces").over(before), F.lit(0)).alias("rank_base"))
-    # one row for each task of the tokenising pass, not for each document
-    by_part = per_part.groupBy("part").agg(F.sum("full_pieces").alias("full_pieces"))
-    full_base = by_part.select("part", (F.coalesce(F.sum("full_pieces").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + bins).alias("full_base"))
-    # bounded: a row for each length and pattern of the genome
+    # a row for each length and pattern of the genome: best fit makes at most one pattern a length, a crossover adds as many
     places = spark.createDataFrame(slots(genome), "rest long, low long, high long, sequence long, offset long")
-    ranked = rows.join(rank_base, ["part", "rest"]).join(full_base, "part").withColumn("rank", F.col("rank") + F.col("rank_base"))
+    # the counts of tasks grow with the input: merged at every size, never broadcast
+    ranked = rows.join(rank_base.hint("merge"), ["part", "rest"], "left").withColumn("rank", F.col("rank") + F.col("rank_base"))
     placed = ranked.join(F.broadcast(places), (ranked["rest"] == places["rest"]) & (ranked["rank"] >= places["low"]) & (ranked["rank"] < places["high"]), "left").drop(places["rest"])
     pieces = placed.select("*", F.posexplode("crcs").alias("piece", "ids_crc32"))
     first = (F.col("piece") == 0) & (F.col("rest") > 0)
@@ -230,6 +228,6 @@ def best_fit_pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
         F.when(first, F.lit(0)).otherwise(F.col("rest") + whole * capacity).cast("long").alias("start"),
         F.when(first, F.col("rest")).otherwise(F.lit(capacity)).cast("long").alias("length"),
         "ids_crc32",
-        F.when(first, F.col("sequence") + F.col("rank") - F.col("low")).otherwise(F.col("full_base") + F.col("full") + whole).cast("long").alias("sequence_id"),
+        F.when(first, F.col("sequence") + F.col("rank") - F.col("low")).otherwise(-1 - (F.col("part") * F.lit(TASK_PIECES) + F.col("full") + whole)).cast("long").alias("sequence_id"),
         F.when(first, F.col("offset")).otherwise(F.lit(0)).cast("long").alias("offset"),
     )
