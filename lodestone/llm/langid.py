@@ -28,7 +28,14 @@ STEPS, BATCH, RATE = 500, 128, 0.01
 HELD_OUT = 5
 UNKNOWN = "und"
 REJECT_BELOW = 0.35
-LETTER = re.compile(r"[^\W\d_]")
+LANGUAGES = 200  # the most languages that the network learns, those of the most rows
+CROP = 4096  # characters of a text that training may draw from
+WORD_MARK = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; numbers such as fractions, which patterns take for word marks, are none."""
+    return any(m.group().isalpha() for m in WORD_MARK.finditer(text))
 
 
 class ByteNet:
@@ -117,7 +124,7 @@ class ByteNet:
 
         count = 0
         for row, text in enumerate(texts):
-            if self.languages and LETTER.search(text):
+            if self.languages and has_letter(text):
                 data = np.frombuffer(text.encode("utf-8", "replace").lower(), "uint8")
                 n = max(1, -(-(len(data) - 3) // (WINDOW - 3)))  # windows share three bytes, so that no filter misses a place
                 padded = np.zeros(n * (WINDOW - 3) + 3, "uint8")
@@ -143,23 +150,35 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def held_out(id_col: str = "doc_id"):
-    return (F.crc32(F.col(id_col).cast("string")) % HELD_OUT) == 0
+    """Whether a row may not be learnt from; false for a row without an id, which is never learnt from either."""
+    return F.coalesce((F.crc32(F.col(id_col).cast("string")) % HELD_OUT) == 0, F.lit(False))
+
 
+def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, languages: int = LANGUAGES) -> ByteNet:
+    """Train on a sample of labelled rows, never on held-out ones, nor on rows without an id, a text with a letter or a lang.
 
-def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> ByteNet:
-    """Train on at most 2 * rows_per_lang rows of each language, never on held-out ones; they alone come to the driver."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages = sorted(counts)
-    if not languages:
+    The bounds: the `languages` most frequent languages, 2 * rows_per_lang rows of each on average, chosen by a hash of the id,
+    and of each text CROP characters from a place that the hash chooses. They alone come to the driver. Without any such row
+    the network knows no language.
+    """
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
+    known = sorted(counts)
+    if not known:
+        return ByteNet([])
+    share = F.create_map(*(F.lit(v) for lang in known for v in (lang, min(1.0, 1.5 * rows_per_lang / counts[lang]))))
+    hashed = F.xxhash64("doc_id")
+    place = F.pmod(hashed, F.lit(1_000_003)) / F.lit(1_000_003.0) / share[F.col("lang")]
+    start = F.pmod(F.shiftright(hashed, 20), F.greatest(F.length("text") - CROP, F.lit(0)) + 1) + 1
+    chosen = rows.withColumn("place", place).where("place < 1").orderBy("place", "doc_id").limit(2 * rows_per_lang * len(known))
+    chosen = chosen.select(F.substring("text", start.cast("int"), F.lit(CROP)).alias("text"), "lang").collect()
+    kept = [(r["text"].encode("utf-8", "replace").lower(), known.index(r["lang"])) for r in chosen if r["text"].strip()]
+    if not kept:
         return ByteNet([])
-    share = F.create_map(*(F.lit(v) for lang in languages for v in (lang, min(1.0, 1.5 * rows_per_lang / counts[lang]))))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0) / share[F.col("lang")]
-    chosen = rows.withColumn("place", place).where("place < 1").orderBy("place", "doc_id").limit(2 * rows_per_lang * len(languages)).collect()
-    net = ByteNet(languages)
-    kept = [(r["text"].encode("utf-8", "replace").lower(), languages.index(r["lang"])) for r in chosen if r["text"].strip()]
-    if kept:
-        net.train([t for t, _ in kept], np.array([k for _, k in kept]))
+    net = ByteNet(known)
+    net.train([t for t, _ in kept], np.array([k for _, k in kept]))
     net.fold()
     return net
 
@@ -167,8 +186,8 @@ def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> ByteNet:
 def identify(docs: DataFrame, net: ByteNet | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every whole text; lang, source and ids play no part in a prediction.
 
-    A null text, or one without a letter, is UNKNOWN with score 0; so is every text if no row is labelled. Repeated rows
-    are handled each; other columns are not read; an empty table gives no rows.
+    A null text, or one without a letter, is UNKNOWN with score 0; so is every text if no row with a letter is labelled. A row
+    without an id is not held out. Repeated rows are handled each; other columns are not read; an empty table gives no rows.
     """
     net = net or fit(docs)
 

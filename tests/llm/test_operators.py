@@ -264,6 +264,17 @@ def test_language_of_odd_texts(spark, docs, empty):
     assert set(langid.identify(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).toPandas()["lang_pred"]) == {"und"}
 
 
+def test_language_of_marks_and_rows_without_ids(spark):
+    docs = documents(spark, ["½", "12 ٣ ²", "Ⅷ", "word", "mot"], [1, 2, 3, None, 5])
+    net = langid.fit(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    got = langid.identify(docs, net).orderBy("doc_id").toPandas()
+    assert list(got.doc_id.fillna(-1)) == [-1, 1, 2, 3, 5] and list(got.lang_pred[1:4]) == ["und"] * 3 and got.lang_pred[0] != "und"
+    assert got.held_out.notna().all() and not got.held_out[0]
+    blank = langid.identify(documents(spark, ["", None, " 12 "], [1, 2, 3])).toPandas()
+    assert set(blank.lang_pred) == {"und"} and (blank.score == 0).all()
+    assert len(langid.fit(docs.selectExpr("doc_id", "text", "cast(uuid() as string) as lang"), languages=2).languages) <= 2
+
+
 def test_folded_network_is_the_network():
     net = langid.ByteNet(["a", "b"], seed=2)
     net.fold()
