@@ -1,7 +1,9 @@
 """Near-duplicate vectors by a forest of random-projection trees with spill.
 
 Trees are grown on a bounded sample: a node splits at the median of a random direction, and vectors within SPILL of the
-split go to both sides. All vectors then run down all trees; vectors of one label in one leaf are compared exactly. A
+split go to both sides. Where the sample is too small to fill the leaves that the input needs, its leaves are split further at
+their centre along directions that a tree has for each depth, so leaves stay small however many vectors there are. All
+vectors then run down all trees; vectors of one label in one leaf are compared exactly. A
 pair that shares several leaves is counted in the first of them only, so numbers of links need no table of pairs: each
 leaf returns counts and a spanning forest of its links.
 
@@ -25,29 +27,51 @@ LEAF_ROWS = 256
 SPILL = 0.4  # of the projection's standard deviation between vectors at the threshold
 LEAST = 0.98
 BLOCK = 1500
+SMALLEST = 8  # rows of the sample that a node needs for a split at their median
 
 
 class Forest:
-    """Per tree: directions, split values and children of the nodes; a negative child is a leaf's number."""
+    """Per tree: directions, split values and children of the nodes; a negative child is a leaf of the sample.
 
-    def __init__(self, sample: np.ndarray, leaf_rows: float, spill: float, trees: int = TREES, seed: int = 0):
+    total is how many vectors there are to index. A leaf of the sample has a first number, and a centre for each further split.
+    """
+
+    def __init__(self, sample: np.ndarray, total: int, leaf_rows: int, spill: float, trees: int = TREES, seed: int = 0):
         rng = np.random.default_rng(seed)
-        self.spill, self.trees, self.leaves = spill, [], 0
+        share = max(1.0, total / len(sample))  # vectors that a row of the sample stands for
+        self.spill, self.trees = spill, []
+        self.first, self.centres = [0], [np.empty(0)]
+        number = 0
         for _ in range(trees):
             directions, splits, children = [], [], []
+            deeper = rng.normal(size=(max(0, int(np.ceil(np.log2(total / leaf_rows)))), sample.shape[1]))
+            deeper /= np.linalg.norm(deeper, axis=1, keepdims=True)
+
+            def leaf(rows: np.ndarray, splittable: bool) -> int:
+                nonlocal number
+                centres = []
+                for d in deeper if splittable else ():
+                    if len(rows) * share / 2 ** len(centres) <= leaf_rows:
+                        break
+                    p = sample[rows] @ d
+                    if (np.abs(p - p.mean()) <= spill).mean() > 0.5:  # too dense for the spill
+                        break
+                    centres.append(p.mean())
+                self.first.append(number)
+                self.centres.append(np.array(centres))
+                number += 2 ** len(centres)
+                return -(len(self.first) - 1)
 
             def grow(rows: np.ndarray) -> int:
-                if len(rows) <= leaf_rows:
-                    self.leaves += 1
-                    return -self.leaves
+                if len(rows) * share <= leaf_rows or len(rows) <= SMALLEST:
+                    return leaf(rows, True)
                 d = rng.normal(size=sample.shape[1])
                 d /= np.linalg.norm(d)
                 p = sample[rows] @ d
                 cut = float(np.median(p))
                 left, right = rows[p <= cut + spill], rows[p > cut - spill]
                 if max(len(left), len(right)) > 0.95 * len(rows):  # too dense for the spill
-                    self.leaves += 1
-                    return -self.leaves
+                    return leaf(rows, False)
                 at = len(splits)
                 directions.append(d)
                 splits.append(cut)
@@ -55,29 +79,31 @@ class Forest:
                 children[at] = [grow(left), grow(right)]
                 return at
 
-            first = grow(np.arange(len(sample)))
-            self.trees.append((first, np.array(directions, np.float32).reshape(-1, sample.shape[1]), np.array(splits), np.array(children).reshape(-1, 2)))
+            top = grow(np.arange(len(sample)))
+            self.trees.append((top, np.array(directions, np.float32).reshape(-1, sample.shape[1]), np.array(splits), np.array(children).reshape(-1, 2), deeper.astype(np.float32)))
 
     def leaves_of(self, x: np.ndarray) -> list[list[int]]:
         """The leaf numbers of each row, in order."""
         out: list[list[int]] = [[] for _ in range(len(x))]
-        for first, directions, splits, children in self.trees:
-            todo = [(first, np.arange(len(x)))]
+        for top, directions, splits, children, deeper in self.trees:
+            todo = [(top, 0, 0, np.arange(len(x)))]  # node, depth and path below a leaf of the sample, rows
             while todo:
-                node, rows = todo.pop()
-                if node < 0:
+                node, depth, path, rows = todo.pop()
+                if node < 0 and depth == len(self.centres[-node]):
                     for r in rows:
-                        out[r].append(-node)
+                        out[r].append(self.first[-node] + path)
                     continue
-                p = x[rows] @ directions[node]
-                for side, inside in ((0, p <= splits[node] + self.spill), (1, p > splits[node] - self.spill)):
+                p, cut = (x[rows] @ deeper[depth], self.centres[-node][depth]) if node < 0 else (x[rows] @ directions[node], splits[node])
+                for side, inside in ((0, p <= cut + self.spill), (1, p > cut - self.spill)):
                     if inside.any():
-                        todo.append((int(children[node][side]), rows[inside]))
+                        todo.append((node, depth + 1, 2 * path + side, rows[inside]) if node < 0 else (int(children[node][side]), 0, 0, rows[inside]))
         return [sorted(o) for o in out]
 
 
-def unit(vectors: list) -> np.ndarray:
+def unit(vectors: list | np.ndarray) -> np.ndarray:
+    """Rows of length one in double precision; the largest component is taken out first, so that squares stay in range."""
     x = np.array(vectors, dtype=np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -121,17 +147,13 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, sample_rows: int = SA
     their own. The forest is fitted on at most sample_rows rows, the first by a hash; all rows are indexed. Other columns
     are not read; an empty table gives no rows.
     """
-    rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("x"), vectors["label"].cast("string").alias("label"))
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<float>" if single else "array<double>").alias("x"), vectors["label"].cast("string").alias("label"))
     sound = F.col("label").isNotNull() & F.coalesce(~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(False))
-    scale = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
-    usable = rows.where(sound & (F.size("x") > 0)).where((scale > 0) & (scale < float("inf")))
+    usable = rows.where(sound & (F.size("x") > 0)).where(F.exists("x", lambda v: v != 0))
     reps = stash(usable.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "vectors")
     members = usable.join(reps.withColumnRenamed("label", "l").withColumnRenamed("x", "y"), (F.col("label") == F.col("l")) & (F.col("x") == F.col("y"))).select("vec_id", "rep", "weight")
-    lengths = [r[0] for r in reps.select(F.size("x")).distinct().collect()]
-    found = None
-    for length in lengths:
-        part = _links(reps.where(F.size("x") == length), length, least, sample_rows, leaf_rows, trees)
-        found = part if found is None else found.union(part)
+    found = None if reps.isEmpty() else _links(reps, "<f4" if single else "<f8", least, sample_rows, leaf_rows, trees)
     everyone = rows.select("vec_id")
     if found is None:
         return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -145,29 +167,41 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, sample_rows: int = SA
     return result.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _links(reps: DataFrame, length: int, least: float, sample_rows: int, leaf_rows: int, trees: int) -> DataFrame:
-    """rep with a number of links, and rep with another linked rep, for vectors of one length."""
+def _links(reps: DataFrame, kind: str, least: float, sample_rows: int, leaf_rows: int, trees: int) -> DataFrame:
+    """rep with a number of links, and rep with another linked rep; vectors travel as they came, in single or double precision."""
     total = reps.count()
-    sample = unit([r["x"] for r in hashed_sample(reps.select("rep", "x"), "rep", sample_rows).collect()])
-    spill = SPILL * np.sqrt(2 - 2 * least) / np.sqrt(length)
-    forest = Forest(sample, max(8.0, leaf_rows * len(sample) / total), spill, trees)
+    by_length: dict[int, list] = {}
+    sampled = hashed_sample(reps.select("rep", "x"), "rep", sample_rows).collect()
+    for r in sampled:
+        by_length.setdefault(len(r["x"]), []).append(r["x"])
+    # a length that the sample lacks is rare: its vectors are one leaf
+    forests = {n: Forest(unit(x), -(-len(x) * total // len(sampled)), leaf_rows, SPILL * np.sqrt(2 - 2 * least) / np.sqrt(n), trees) for n, x in by_length.items()}
 
     def place(batches):
         for batch in batches:
-            if batch.num_rows:
-                x = unit(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.astype("<f8").tobytes() for v in x], pa.binary()), batch.column(2), batch.column(3), pa.array(forest.leaves_of(x), pa.list_(pa.int32()))], ["rep", "x", "label", "weight", "leaves"])
-
-    placed = reps.select("rep", "x", "label", "weight").mapInArrow(place, "rep long, x binary, label string, weight long, leaves array<int>")
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                vectors = part.column(1).to_pylist()
+                lengths = np.array([*map(len, vectors)])
+                leaves: list[list[int]] = [[0] for _ in vectors]
+                for n in set(lengths.tolist()) & forests.keys():
+                    own = np.flatnonzero(lengths == n)
+                    for k, found in zip(own.tolist(), forests[n].leaves_of(unit([vectors[k] for k in own])), strict=True):
+                        leaves[k] = found
+                raw = pa.array([np.array(v, kind).tobytes() for v in vectors], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), raw, part.column(2), part.column(3), pa.array(lengths, pa.int32()), pa.array(leaves, pa.list_(pa.int64()))], ["rep", "x", "label", "weight", "length", "leaves"])
+
+    placed = reps.select("rep", "x", "label", "weight").mapInArrow(place, "rep long, x binary, label string, weight long, length int, leaves array<long>")
     spread = stash(placed, "placed").withColumn("leaf", F.explode("leaves"))
-    sizes = spread.groupBy("leaf", "label").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    group = ["length", "leaf", "label"]
+    sizes = spread.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    cut = spread.join(sizes, ["leaf", "label"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("leaf", "label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "weight", "x", "leaves")
+    cut = spread.join(sizes, group).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select(*group, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "weight", "x", "leaves")
 
     def compare(table: pa.Table) -> pa.Table:
         ids = table.column("rep").to_numpy()
-        x = np.stack([np.frombuffer(b, "<f8") for b in table.column("x").to_pylist()])
+        x = unit(np.stack([np.frombuffer(b, kind) for b in table.column("x").to_pylist()]))
         sides = table.column("block").to_numpy()
         counts, links = leaf_pairs(table.column("leaf")[0].as_py(), ids, sides, table.column("weight").to_numpy(), x, table.column("leaves").to_pylist(), table.column("low")[0] == table.column("high")[0], least)
         some = np.flatnonzero(counts)
@@ -177,4 +211,4 @@ def _links(reps: DataFrame, length: int, least: float, sample_rows: int, leaf_ro
             "other": pa.array([*([None] * len(some)), *(b for _, b in links)], pa.int64()),
         })
 
-    return cut.groupBy("leaf", "label", "low", "high").applyInArrow(compare, "rep long, links long, other long")
+    return cut.groupBy(*group, "low", "high").applyInArrow(compare, "rep long, links long, other long")

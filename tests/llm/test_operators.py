@@ -544,6 +544,26 @@ def test_vectors(spark):
     assert embedding_dedup.near_vectors(frame.where("false")).count() == 0
 
 
+def test_leaves_stay_small_beyond_the_sample():
+    rng = np.random.default_rng(4)
+    x = embedding_dedup.unit(rng.normal(size=(20_000, 16)))
+    near = embedding_dedup.unit(x[:500] + rng.normal(0, 0.02, (500, 16)))
+    spill = embedding_dedup.SPILL * np.sqrt(0.04) / 4
+    forest = embedding_dedup.Forest(x[::100], len(x), 50, spill)
+    assert any(len(c) for c in forest.centres)
+    own, other = forest.leaves_of(x), forest.leaves_of(near)
+    sizes = Counter(k for leaves in own for k in leaves)
+    assert np.mean([sizes[k] for leaves in own for k in leaves]) < 8 * 50
+    close = [k for k in range(500) if x[k] @ near[k] >= 0.98]
+    assert np.mean([bool(set(own[k]) & set(other[k])) for k in close]) >= 0.97
+
+
+def test_vectors_out_of_range_and_of_many_lengths(spark):
+    data = [(1, [1e200, 1e200], 1), (2, [1e200, 1.0001e200], 1), (3, [1e-200, 1e-200], 1), (4, [1.0, 2.0, 3.0], 1), (5, [2.0, 4.0, 6.0], 1), (6, [2.0, 4.0, 6.0], 2)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).toPandas().set_index("vec_id")
+    assert list(got.n_links[[1, 2, 3, 4, 5, 6]]) == [2, 2, 2, 1, 1, 0] and list(got.component_id[[1, 2, 3, 4, 5, 6]]) == [1, 1, 1, 4, 4, 6]
+
+
 # pipeline
 
 
