@@ -241,6 +241,40 @@ def test_main_text(page, wanted):
     assert html_extract.main_text(page) == wanted
 
 
+LONG = "A paragraph of some length that says what the page is about, in full sentences, as articles do."
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        (f"<body><div><p>{LONG}</p><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li><li><a href=4>Four</a></li></ul><p>{LONG}</p><p>Short.</p></div></body>", [LONG, LONG, "Short."]),
+        (f"<article><section class='share-economy'><p>{LONG}</p></section><div class='share-buttons'><p>Send it to your friends</p></div></article>", [LONG]),
+        (f"<article><div class='post-header'><h1>Title</h1><p>by someone</p></div><p>{LONG}</p><p>{LONG}</p></article>", ["Title", LONG, LONG]),
+        (f"<div class='sidebar-layout'><div class='header'><p>Site</p></div><div class='notice'><p>{LONG}</p><p>{LONG}</p></div></div>", [LONG, LONG]),
+        (f"<p>{LONG}</p><section id='comments'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section>", [LONG]),
+        (f"<article><p>{LONG}</p></article><article class='teaser'><p>{LONG}</p></article><article><a href=1>Next one</a></article>", [LONG]),
+        (f"<article><p><a href=1>{LONG}</a> and {LONG} and {LONG}</p><p>ok</p></article>", [f"{LONG} and {LONG} and {LONG}", "ok"]),
+    ],
+)
+def test_regions(page, wanted):
+    assert html_extract.main_text(page) == "\n\n".join(wanted)
+
+
+def test_the_ratio_decides(monkeypatch):
+    page = f"<body><div><p>{LONG}</p><p>{LONG}</p></div>" + "<div><b><i><u>x</u></i></b></div>" * 40 + "</body>"
+    assert html_extract.main_text(page) == f"{LONG}\n\n{LONG}"
+    monkeypatch.setattr(html_extract, "LEVEL", 0.0)
+    assert html_extract.main_text(page).endswith("x\n\nx")
+
+
+def test_long_empty_and_repeated_pages(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    assert html_extract.extract_pages(spark.createDataFrame([], schema)).count() == 0
+    long = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
+    out = html_extract.extract_pages(spark.createDataFrame([(1, "u", long, "x", "y"), (1, "u", long, "x", "y"), (None, None, "<p>a", "x", "y")], schema)).toPandas()
+    assert sorted(out["n_chars"]) == [1, *[20_000 * (len(LONG) + 2) - 2] * 2]
+
+
 def test_pages(spark):
     out = html_extract.extract_pages(spark.createDataFrame([(1, "u", None, "x"), (2, None, "<p>é</p>", "y")], "page_id long, url string, html string, text string")).toPandas()
     assert list(out["text"]) == ["", "é"] and list(out["n_chars"]) == [0, 1]
