@@ -261,7 +261,7 @@ def test_regions(page, wanted):
 
 
 def test_the_ratio_decides(monkeypatch):
-    page = f"<body><div><p>{LONG}</p><p>{LONG}</p></div>" + "<div><b><i><u>x</u></i></b></div>" * 40 + "</body>"
+    page = f"<body><div><p>{LONG}</p><p>{LONG}</p></div>" + "<div><b><i><u>x</u></i></b></div>" * 80 + "</body>"
     assert html_extract.main_text(page) == f"{LONG}\n\n{LONG}"
     monkeypatch.setattr(html_extract, "LEVEL", 0.0)
     assert html_extract.main_text(page).endswith("x\n\nx")
