@@ -68,6 +68,18 @@ def _delete_all() -> None:
             _delete(path)
 
 
+def hot_join(rows: DataFrame, lookup: DataFrame, keys: list[str], copies: str, share: int = 1000) -> DataFrame:
+    """rows with the columns of lookup, which has one row a key and in `copies` how many rows have it.
+
+    A key of one in `share` rows or more is looked up by broadcast, since there are at most `share` of them; the others are
+    merged. So no task gets all rows of a hot key, whatever adaptive execution makes of it.
+    """
+    limit = max(1, rows.count() // share)
+    hot, rest = lookup.where(F.col(copies) >= limit).drop(copies), lookup.where(F.col(copies) < limit).drop(copies)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names, so that other columns of docs can bear any name."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
@@ -80,4 +92,4 @@ def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.withColumn("place", place).where(F.col("place") <= min(1.0, (1.5 * rows + 100) / max(1, total))).orderBy("place", key).limit(rows).drop("place")
 
 
-__all__ = ["F", "hashed_sample", "id_text", "release", "shared_dir", "stash", "table"]
+__all__ = ["F", "hashed_sample", "hot_join", "id_text", "release", "shared_dir", "stash", "table"]

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import release, stash
+from lodestone.llm.common import hot_join, release, stash
 
 LEAST = 2  # lines of a run
 WORDS = 50  # words of a line that is a run of its own
@@ -26,18 +26,18 @@ KEY = ["doc_id", "text_hash"]
 
 def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows in groups of two and more by keys, with the group's rank in the order of keys."""
-    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(*keys)
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     # the ids follow partition and row, so after a sort by range they are in order; the written copy keeps them fixed
     order = stash(groups.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), "ranks")
-    out = stash(rows.join(order, keys).drop(*keys), "suffixes")
+    out = stash(hot_join(rows, order, keys, "copies").drop(*keys), "suffixes")
     release(order)
     return out
 
 
 def later_copies(level: DataFrame, depth: int) -> DataFrame:
     """The suffixes that are not the first of their interval, as blocks of `depth` lines, with the first's place."""
-    first = level.groupBy("rank").agg(F.min(F.struct(*KEY, "nth")).alias("first"))
-    found = level.join(first, "rank").where(F.struct(*KEY, "nth") > F.col("first"))
+    first = stash(level.groupBy("rank").agg(F.min(F.struct(*KEY, "nth")).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
+    found = hot_join(level, first, ["rank"], "copies").where(F.struct(*KEY, "nth") > F.col("first"))
     return found.select(*KEY, "nth", F.lit(depth).alias("size"), F.col("first.doc_id").alias("source"), F.col("first.nth").alias("source_nth"))
 
 
