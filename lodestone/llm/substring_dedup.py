@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import id_text, stash
+from lodestone.llm.common import hot_join, id_text, stash
 from lodestone.llm.jaccard import U, mix
 
 WINDOW, PHRASE = 50, 10
@@ -237,8 +237,8 @@ def passage_report(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     found = stash(located(phrases, streamed, window, phrase), "stretches")
 
     stretch = ["c1", "c2", "n"]
-    firsts = found.groupBy(*stretch).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select(*stretch, "a")
-    whole = found.join(firsts, stretch).where("doc_id > a").select("doc_id", "digest", "start", F.col("n").alias("count"))
+    firsts = found.groupBy(*stretch).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("copies")).where("a < b").select(*stretch, "a", "copies")
+    whole = hot_join(found.select(*stretch, "doc_id", "digest", "start"), stash(firsts, "firsts"), stretch, "copies").where("doc_id > a").select("doc_id", "digest", "start", F.col("n").alias("count"))
     windows = found.where("w1 is not null").select(*stretch, "doc_id", F.posexplode(F.arrays_zip("w1", "w2")).alias("at", "w")).select(*stretch, "doc_id", "at", "w.w1", "w.w2")
     smallest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("w1", "w2", "a")
     parts = windows.join(smallest, ["w1", "w2"]).where("doc_id > a").select(*stretch, "doc_id", "at").distinct()
