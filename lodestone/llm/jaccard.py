@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import id_text, release, stash
+from lodestone.llm.common import hot_join, id_text, release, stash
 from lodestone.llm.components import components
 
 COORDINATES = 32, 512  # least and most coordinates of a point
@@ -330,8 +330,9 @@ def jaccard_rows(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str
     # what is not in a copy's or a link's row stands for itself
     node = rows.select("row", "doc_id", "text_hash", F.col("n").alias("n_shingles")).join(copies, "row", "left").withColumn("rep", F.coalesce("rep", "row"))
     placed = node.join(linked, "rep", "left").select("row", "doc_id", "text_hash", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(smallest, "component").select("row", "doc_id", "text_hash", "n_shingles", "component_id", "component")
+    placed = stash(placed, "placed")
+    smallest = stash(placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("copies")), "smallest")
+    return hot_join(placed, smallest, ["component"], "copies").select("row", "doc_id", "text_hash", "n_shingles", "component_id", "component")
 
 
 def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
