@@ -7,15 +7,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import stash
 
-def knn_graph(vectors: DataFrame, vec_id: str, vector: str, k: int = 5, least: float = 0.5, blocks: int = 16) -> DataFrame:
+
+def knn_graph(vectors: DataFrame, vec_id: str, vector: str, k: int = 5, least: float = 0.5, block_rows: int = 2000) -> DataFrame:
     """Directed edges from every vector to its k nearest others with cosine above `least`: src, dst, weight.
 
     Vectors fall into hash blocks, and each pair of blocks is one task that keeps only k candidates a row, so what is
-    shuffled is blocks * rows vectors and blocks * k edges a row; raise blocks with the number of rows. Exact.
+    shuffled is blocks * rows vectors and blocks * k edges a row. There are as many blocks as make about block_rows rows each.
+    Exact.
     """
+    blocks = max(1, -(-vectors.count() // block_rows))
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    pairs = rows.withColumn("other", F.explode(F.array(*(F.lit(i) for i in range(blocks)))))
+    pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     sent = pairs.select(F.col("block").alias("src_block"), F.col("other").alias("dst_block"), F.lit(True).alias("is_src"), "id", "x").unionAll(
         pairs.select(F.col("other").alias("src_block"), F.col("block").alias("dst_block"), F.lit(False).alias("is_src"), "id", "x")
     )
@@ -34,11 +38,12 @@ def knn_graph(vectors: DataFrame, vec_id: str, vector: str, k: int = 5, least: f
             sims = np.round(x[part] @ x[b].T, 9)
             sims[ids[part][:, None] == ids[b][None, :]] = -2
             for r, row in zip(part, sims, strict=True):
-                for j in np.argsort(-row, kind="stable")[:k]:
-                    if row[j] > least:
-                        src.append(ids[r])
-                        dst.append(ids[b[j]])
-                        weight.append(row[j])
+                # all that tie with the k-th stay until the order by id decides
+                near = np.flatnonzero((row > least) & (row >= (np.partition(row, -k)[-k] if len(row) > k else -2)))
+                for j in near[np.argsort(-row[near], kind="stable")][:k]:
+                    src.append(ids[r])
+                    dst.append(ids[b[j]])
+                    weight.append(row[j])
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "weight": pa.array(weight, pa.float64())})
 
     found = sent.groupBy("src_block", "dst_block").applyInArrow(near, "src long, dst long, weight double")
@@ -47,7 +52,8 @@ def knn_graph(vectors: DataFrame, vec_id: str, vector: str, k: int = 5, least: f
 
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
-    """id and the hop (0 for a seed) at which each node is first reached along edges."""
+    """id and the hop (0 for a seed) at which each node is first reached along edges, which are written once."""
+    edges = stash(edges, "edges")
     reached = seeds.select(F.col(seeds.columns[0]).alias("id")).distinct().withColumn("hop", F.lit(0))
     front = reached
     for h in range(1, hops + 1):

@@ -23,25 +23,39 @@ def postings(docs: DataFrame, doc_id: str, words: Column) -> DataFrame:
     return rows.groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(posts: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """term, df and idf = ln(N / df) + 1; n_docs is one row with column n."""
-    return posts.groupBy("term").agg(F.count_distinct("doc").alias("df")).join(F.broadcast(n_docs), F.lit(True)).select("term", "df", (F.log(F.col("n") / F.col("df")) + 1).alias("idf"))
+def document_frequencies(docs: DataFrame, words: Column) -> DataFrame:
+    """term and df of the distinct words of docs, from one pass; the words never travel with their documents."""
+    return docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(posts: DataFrame, docs: DataFrame, query: Sequence[str], words: Column) -> DataFrame:
+def vocabulary(docs: DataFrame, words: Column) -> DataFrame:
+    """term, df and idf = ln(N / df) + 1."""
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
+    return document_frequencies(docs, words).join(F.broadcast(n_docs), F.lit(True)).select("term", "df", (F.log(F.col("n") / F.col("df")) + 1).alias("idf"))
+
+
+def bm25(docs: DataFrame, doc_id: str, query: Sequence[str], words: Column) -> DataFrame:
     """doc and score of every document that has a query term; repeated query terms count again.
 
-    A negative idf is replaced by EPSILON times the mean idf over the whole vocabulary.
+    A negative idf is replaced by EPSILON times the mean idf over the whole vocabulary. One pass over the texts gives the
+    vocabulary's frequencies, of which one row is kept; a second one scores each document where it stands, without a shuffle.
     """
-    spark = posts.sparkSession
-    stats = docs.select(F.size(words).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(F.broadcast(stats), F.lit(True)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    terms = spark.createDataFrame([(t, query.count(t)) for t in dict.fromkeys(query)], "term string, times int")
-    idf = raw.join(F.broadcast(terms), "term").join(F.broadcast(mean), F.lit(True)).select("term", "times", "mean_length", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    part = F.col("idf") * F.col("times") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return posts.join(F.broadcast(idf), "term").groupBy("doc").agg(F.sum(part).alias("score"))
+    terms = list(dict.fromkeys(query))
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
+    # a document also brings one row without a term, which carries its length
+    marked = F.concat(F.transform(F.array_distinct(words), lambda t: F.struct(t.alias("term"), F.lit(0).alias("length"))), F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size(words).alias("length"))))
+    counted = docs.select(F.explode(marked).alias("x")).groupBy("x.term").agg(F.count(F.lit(1)).alias("df"), F.sum("x.length").alias("length"))
+    raw = F.when(F.col("term").isNotNull(), F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    rated = counted.join(F.broadcast(n_docs), F.lit(True)).select("term", "n", "length", raw.alias("raw"))
+    own = [F.max(F.when(F.col("term") == t, F.col("raw"))).alias(f"__idf{k}") for k, t in enumerate(terms)]
+    facts = rated.agg(F.avg("raw").alias("__mean_idf"), (F.sum("length") / F.max("n")).alias("__mean_length"), *own)
+    rows = docs.select(F.col(doc_id).alias("doc"), words.alias("__w")).select("doc", F.size("__w").alias("__n"), F.filter("__w", lambda w: w.isin(terms)).alias("__w")).where(F.size("__w") > 0)
+    score = F.lit(0.0)
+    for k, t in enumerate(terms):
+        tf, idf = F.size("__w") - F.size(F.array_remove("__w", t)), F.col(f"__idf{k}")
+        part = F.when(idf < 0, EPSILON * F.col("__mean_idf")).otherwise(idf) * query.count(t) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__n") / F.col("__mean_length")))
+        score = score + F.coalesce(F.when(tf > 0, part), F.lit(0.0))
+    return rows.join(F.broadcast(facts), F.lit(True)).select("doc", score.alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", key: str = "doc") -> DataFrame:
@@ -73,17 +87,25 @@ def hybrid(dense: DataFrame, lexical: DataFrame, weight: float = 0.7) -> DataFra
     return both.select("doc", (weight * F.coalesce("dense", F.lit(0.0)) + (1 - weight) * F.coalesce("lexical", F.lit(0.0))).alias("score"))
 
 
-def reciprocal_rank_fusion(lists: DataFrame, source: str, doc: str, score: str, k: int = RRF_K) -> DataFrame:
-    """Sum of 1 / (k + rank) over the sources that rank a document."""
+def reciprocal_rank_fusion(lists: DataFrame, source: str, doc: str, score: str, k: int = RRF_K, depth: int = 1000) -> DataFrame:
+    """Sum of 1 / (k + rank) over the sources that rank a document among their first `depth`.
+
+    The limit lets every task drop all but its own first rows of a source before any meet.
+    """
     rank = F.row_number().over(Window.partitionBy(source).orderBy(F.col(score).desc(), doc))
-    return lists.select(doc, source, rank.alias("rank")).groupBy(doc).agg(F.sum(1 / (k + F.col("rank"))).alias("rrf"), F.count_distinct(source).alias("sources"))
+    return lists.select(doc, source, rank.alias("rank")).where(F.col("rank") <= depth).groupBy(doc).agg(F.sum(1 / (k + F.col("rank"))).alias("rrf"), F.count_distinct(source).alias("sources"))
 
 
 def rerank_fusion(rows: DataFrame, rerank: str, original: str, alpha: float = 0.65, by: Sequence[str] = ()) -> DataFrame:
     """alpha times the min-max scaled rerank score and the rest original; null where all rerank scores are equal."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    low, high = F.min(rerank).over(w), F.max(rerank).over(w)
-    return rows.withColumn("final_score", F.when(high > low, alpha * (F.col(rerank) - low) / (high - low) + (1 - alpha) * F.col(original)))
+    if by:
+        w = Window.partitionBy(*by)
+        rows = rows.withColumn("__low", F.min(rerank).over(w)).withColumn("__high", F.max(rerank).over(w))
+    else:
+        # one row
+        rows = rows.join(F.broadcast(rows.agg(F.min(rerank).alias("__low"), F.max(rerank).alias("__high"))), F.lit(True))
+    low, high = F.col("__low"), F.col("__high")
+    return rows.withColumn("final_score", F.when(high > low, alpha * (F.col(rerank) - low) / (high - low) + (1 - alpha) * F.col(original))).drop("__low", "__high")
 
 
 def fallback_rerank(query: Column, words: Column, phrase: Column) -> Column:
@@ -135,13 +157,16 @@ def keyword_score(text: Column, title: Column, weights: dict[str, float]) -> Col
     return score + F.when(covered == 1, 12).when(covered >= 0.5, 6).otherwise(0)
 
 
-def similar_texts(left: DataFrame, right: DataFrame, left_id: str, right_id: str, terms: str, least: float) -> DataFrame:
+def similar_texts(left: DataFrame, right: DataFrame, left_id: str, right_id: str, terms: str, least: float, most: int = 20_000) -> DataFrame:
     """Pairs of token sets of at least the Jaccard index, by a join on shared terms.
 
-    Sizes travel with the terms, and partial counts are made before the shuffle; pairs without a common term never arise.
-    Use it where one side is a small question set.
+    A left side of at most `most` sets is counted and broadcast, so that the right one's terms stay where they are; a larger one
+    is merged. Sets whose sizes rule the index out never meet, counts are made before the shuffle, and pairs without a common
+    term never arise.
     """
     a = left.select(F.col(left_id).alias("a"), F.size(terms).alias("na"), F.explode(terms).alias("term"))
     b = right.select(F.col(right_id).alias("b"), F.size(terms).alias("nb"), F.explode(terms).alias("term"))
-    common = a.join(b, "term").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
+    a = F.broadcast(a) if left.count() <= most else a.hint("merge")
+    sized = (F.least("na", "nb") >= least * F.greatest("na", "nb")) & (a["term"] == b["term"])
+    common = b.join(a, sized).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
     return common.withColumn("jaccard", F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).where(F.col("jaccard") >= least)

@@ -13,6 +13,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import stash
+
 
 def amount(col: str | Column) -> Column:
     """A number from a cell of text, without thousands separators; null if it isn't one."""
@@ -147,22 +149,36 @@ def organisation_totals(df: DataFrame, names: DataFrame, name: str, columns: Seq
     return names.select(name).distinct().join(sums, name, "left").withColumn("missing", F.col("total").isNull())
 
 
-def tree_rollup(nodes: DataFrame, node: str, parent: str, value: str, depth: int = 8) -> DataFrame:
-    """Every node with the sum of the values at and below it, by walking each leaf up at most `depth` levels.
+def tree_rollup(nodes: DataFrame, node: str, parent: str, value: str, depth: int = 1000) -> DataFrame:
+    """Every node with the sum of the values at and below it, by walking the sums up level by level until none has a parent.
 
-    Each step joins on the parent of what is left, so a deep tree costs rounds, not a product; values meet at most once
-    per ancestor.
+    Each level is written once, so a step reads the one before it and not all of them. A tree of more than `depth` levels, which
+    a circle of parents looks like, raises ValueError; nothing is left out.
     """
-    links = nodes.select(F.col(node).alias("__n"), F.col(parent).alias("__p"))
-    step = nodes.select(F.col(node).alias("__at"), F.col(value).alias("__v")).groupBy("__at").agg(F.sum("__v").alias("__v"))
-    levels = [step]
-    for _ in range(depth):
-        step = step.join(links, step["__at"] == links["__n"]).where("__p is not null").groupBy(F.col("__p").alias("__at")).agg(F.sum("__v").alias("__v"))
-        levels.append(step)
+    links = stash(nodes.select(F.col(node).alias("__n"), F.col(parent).alias("__p")).where("__p is not null"), "links")
+    levels = [stash(nodes.select(F.col(node).alias("__at"), F.col(value).alias("__v")).groupBy("__at").agg(F.sum("__v").alias("__v")), "level")]
+    while not levels[-1].isEmpty():
+        if len(levels) > depth:
+            raise ValueError(f"more than {depth} levels, or a circle of parents")
+        step = levels[-1].join(links, F.col("__at") == F.col("__n")).groupBy(F.col("__p").alias("__at")).agg(F.sum("__v").alias("__v"))
+        levels.append(stash(step, "level"))
     return reduce(DataFrame.unionAll, levels).groupBy(F.col("__at").alias(node)).agg(F.sum("__v").alias(value))
 
 
 def neighbours(df: DataFrame, code: str, by: Sequence[str] = ()) -> DataFrame:
-    """Every distinct code with the one before and after it."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(code)
-    return df.select(*by, code).distinct().select(*by, code, F.lag(code).over(w).alias("previous"), F.lead(code).over(w).alias("next"))
+    """Every distinct code with the one before and after it, within `by` where that is given.
+
+    Codes are sorted by range and looked up within their partition; only the ends of partitions, a row each, meet in one place.
+    """
+    rows = df.select(*by, code).distinct().repartitionByRange(*by, code).sortWithinPartitions(*by, code)
+    rows = stash(rows.withColumn("__part", F.spark_partition_id()), "codes")
+    inner = Window.partitionBy("__part").orderBy(*by, code)
+    beside = F.struct(*by, code)
+    rows = rows.withColumn("__before", F.lag(beside).over(inner)).withColumn("__after", F.lead(beside).over(inner))
+    ends = rows.groupBy("__part").agg(F.min(beside).alias("low"), F.max(beside).alias("high"))
+    across = Window.orderBy("__part")
+    ends = ends.select("__part", F.lag("high").over(across).alias("__low"), F.lead("low").over(across).alias("__high"))
+    rows = rows.join(F.broadcast(ends), "__part")
+    before, after = F.coalesce("__before", "__low"), F.coalesce("__after", "__high")
+    same = lambda x: reduce(lambda a, b: a & b, (x[c].eqNullSafe(F.col(c)) for c in by), F.lit(True))
+    return rows.select(*by, code, F.when(same(before), before[code]).alias("previous"), F.when(same(after), after[code]).alias("next"))

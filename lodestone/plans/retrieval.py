@@ -28,12 +28,8 @@ BM25 = f"""{POSTS}, s AS (SELECT count(*) AS n, avg(len(k)) AS mean_length FROM
 DENSE = f"v AS (SELECT vec_id AS doc, list_cosine_similarity(embedding::DOUBLE[], {SQL_Q}) AS dense FROM embeddings)"
 
 
-def _posts(spark, d):
-    return search.postings(table(spark, d, "documents"), "doc_id", _words())
-
-
 def _bm25(spark, d):
-    return search.bm25(_posts(spark, d), table(spark, d, "documents"), TERMS, _words())
+    return search.bm25(table(spark, d, "documents"), "doc_id", TERMS, _words())
 
 
 def _dense(spark, d):
@@ -42,12 +38,15 @@ def _dense(spark, d):
 
 @query(f"WITH {POSTS} SELECT term, count(*) AS df, round(ln((SELECT count(*) FROM documents) / count(*)) + 1, 6) AS idf FROM p GROUP BY term")
 def idf_vocab(spark, d):
-    n = table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n"))
-    return search.vocabulary(_posts(spark, d), n).withColumn("idf", F.round("idf", 6))
+    return search.vocabulary(table(spark, d, "documents"), _words()).withColumn("idf", F.round("idf", 6))
 
 
-@query(f"""WITH w AS (SELECT {SQL_W} AS k FROM documents WHERE source = 'src1'), g AS (SELECT unnest(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) AS gram FROM w WHERE len(k) >= 2)
-           SELECT gram, count(*) AS freq FROM g GROUP BY gram HAVING count(*) >= 2 ORDER BY freq DESC, gram LIMIT 50""")
+@query(f"""WITH w AS (SELECT {SQL_W} AS k FROM documents),
+           g AS (SELECT 3 AS n, unnest(list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2])) AS gram FROM w WHERE len(k) >= 3
+                 UNION ALL SELECT 2, unnest(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) FROM w WHERE len(k) >= 2 UNION ALL SELECT 1, unnest(k) FROM w),
+           c AS (SELECT n, gram, count(*) AS freq FROM g GROUP BY n, gram HAVING count(*) >= 2),
+           r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY freq DESC, gram) AS r FROM c)
+           SELECT gram, freq FROM r WHERE r <= CASE n WHEN 3 THEN 12 WHEN 2 THEN 25 ELSE 50 END ORDER BY n DESC, freq DESC, gram LIMIT 50""")
 def ngram_keywords(spark, d):
     from lodestone.functions.text import ngrams
 
@@ -96,7 +95,7 @@ def hybrid_scores(spark, d):
 
 
 @query(f"""WITH {BM25}, {DENSE}, u AS (SELECT 'b' AS src, doc, round(score, 9) AS score FROM b UNION ALL SELECT 'v', doc, round(dense, 9) FROM v), k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, doc) AS r FROM u)
-           SELECT doc, round(sum(1 / (60 + r)), 9) AS rrf, count(DISTINCT src) AS sources FROM k GROUP BY doc""")
+           SELECT doc, round(sum(1 / (60 + r)), 9) AS rrf, count(DISTINCT src) AS sources FROM k WHERE r <= 1000 GROUP BY doc""")
 def rrf_fuse(spark, d):
     lists = _bm25(spark, d).select(F.lit("b").alias("src"), "doc", F.round("score", 9).alias("score")).unionAll(_dense(spark, d).select(F.lit("v"), "doc", F.round("dense", 9)))
     return search.reciprocal_rank_fusion(lists, "src", "doc", "score").withColumn("rrf", F.round("rrf", 9))
@@ -135,8 +134,8 @@ def score_fallback(spark, d):
     return rows.select("event_id", search.first_score("a", "b").alias("score"))
 
 
-@query(f"""WITH q AS (SELECT item_id, list_distinct({SQL_W}) AS t FROM benchmark), x AS (SELECT conv_id, turn, list_distinct({SQL_W}) AS t FROM conversations WHERE role = 'user' AND turn = 0)
-           SELECT item_id, conv_id, round(0.7 * len(list_intersect(q.t, x.t)) / len(q.t) + 0.3 * contains(lower((SELECT text FROM conversations c WHERE c.conv_id = x.conv_id AND c.turn = 0)), 'the')::INTEGER, 6) AS score FROM q, x WHERE item_id < 3""")
+@query(f"""WITH q AS (SELECT item_id, list_distinct({SQL_W}) AS t FROM benchmark), x AS (SELECT conv_id, turn, text, list_distinct({SQL_W}) AS t FROM conversations)
+           SELECT item_id, conv_id, turn, round(0.7 * len(list_intersect(q.t, x.t)) / len(q.t) + 0.3 * contains(lower(text), 'the')::INTEGER, 6) AS score FROM q, x""")
 def lexical_rerank(spark, d):
     q = table(spark, d, "benchmark").select("item_id", F.array_distinct(_words()).alias("t"))
     x = table(spark, d, "conversations").select("conv_id", "turn", "text", F.array_distinct(_words()).alias("w")).repartition("conv_id", "turn")
@@ -148,7 +147,7 @@ def lexical_rerank(spark, d):
 @query("""WITH n AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS w FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
           r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS r FROM n WHERE w > 0.2) SELECT src, dst, round(w, 6) AS weight FROM r WHERE r <= 5""")
 def knn_graph(spark, d):
-    return graph.knn_graph(table(spark, d, "embeddings"), "vec_id", "embedding", 5, 0.2, blocks=4).withColumn("weight", F.round("weight", 6))
+    return graph.knn_graph(table(spark, d, "embeddings"), "vec_id", "embedding", 5, 0.2).withColumn("weight", F.round("weight", 6))
 
 
 @query("""WITH n AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS w FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
@@ -157,7 +156,7 @@ def knn_graph(spark, d):
           SELECT id, 0 AS hop, 1.0 AS score, 'seed' AS source FROM s UNION ALL SELECT id, 1, 0.5, 'graph' FROM h1 UNION ALL SELECT id, 2, 0.5, 'graph' FROM h2""")
 def graph_expand_2hop(spark, d):
     v = table(spark, d, "embeddings")
-    edges = graph.knn_graph(v, "vec_id", "embedding", 5, 0.2, blocks=4)
+    edges = graph.knn_graph(v, "vec_id", "embedding", 5, 0.2)
     seeds = v.select("vec_id").orderBy("vec_id").limit(5)
     return graph.graph_results(graph.expand(edges, seeds, 2), seeds.select(F.col("vec_id").alias("id"), F.lit(1.0).alias("score")))
 
@@ -188,8 +187,8 @@ def retrieval_gate(spark, d):
     return rows.select("user_id", quality.score_gate("v").alias("passed"))
 
 
-@query(r"""WITH p AS (SELECT a.conv_id, a.turn, list_distinct(regexp_extract_all(b.text, '[0-9]+')) AS ans, regexp_extract_all(a.text, '[0-9]+') AS ctx FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE NOT regexp_matches(a.text || b.text, '[0-9][.,][0-9]'))
-          SELECT conv_id, turn, CASE WHEN len(list_filter(list_transform(ans, lambda x: x::DOUBLE), lambda x: NOT list_contains(list_transform(ctx, lambda y: y::DOUBLE), x))) > 0 THEN 0.5 ELSE 1.0 END AS consistency FROM p""")
+@query(r"""WITH n AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)'), lambda x: replace(x, ',', '')::DOUBLE) AS n FROM conversations)
+           SELECT a.conv_id, a.turn, CASE WHEN len(list_filter(b.n, lambda x: NOT list_contains(a.n, x))) > 0 THEN 0.5 ELSE 1.0 END AS consistency FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def number_consistency(spark, d):
     c = table(spark, d, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))

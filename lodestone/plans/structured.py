@@ -173,7 +173,7 @@ def tree_rollup(spark, d):
     nodes = c.select(named("c", "c_custkey").alias("node"), named("n", "c_nationkey").alias("parent"), F.col("c_acctbal").alias("v"))
     nodes = nodes.unionByName(n.select(named("n", "n_nationkey").alias("node"), named("r", "n_regionkey").alias("parent"), F.lit(0.0).alias("v")))
     nodes = nodes.unionByName(r.select(named("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0.0).alias("v")))
-    return structured.tree_rollup(nodes, "node", "parent", "v", depth=3).withColumn("v", F.round("v", 2))
+    return structured.tree_rollup(nodes, "node", "parent", "v").withColumn("v", F.round("v", 2))
 
 
 @query("SELECT DISTINCT p_size, lag(p_size) OVER (ORDER BY p_size) AS previous, lead(p_size) OVER (ORDER BY p_size) AS next FROM (SELECT DISTINCT p_size FROM part)")

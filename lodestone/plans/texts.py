@@ -159,10 +159,10 @@ def content_class(spark, d):
 
 @query("""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS t FROM benchmark), p AS (
             SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)) AS u FROM q a JOIN q b ON a.item_id < b.item_id)
-          SELECT a, b, round(i / u, 6) AS jaccard FROM p WHERE i / u >= 0.2""")
+          SELECT a, b, round(i / u, 6) AS jaccard FROM p WHERE i / u >= 0.05""")
 def jaccard_pairs(spark, d):
     q = table(spark, d, "benchmark").select("item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"))).alias("t"))
-    out = search.similar_texts(q, q, "item_id", "item_id", "t", 0.2).where("a < b")
+    out = search.similar_texts(q, q, "item_id", "item_id", "t", 0.05).where("a < b")
     return out.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -204,7 +204,7 @@ def disambiguate(spark, d):
 
 @query("""WITH v AS (SELECT w AS term, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) GROUP BY w HAVING count(*) >= 3),
           q AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations WHERE lower(role) = 'user') WHERE length(w) >= 4 AND w NOT IN (SELECT term FROM v)),
-          p AS (SELECT word, term, freq, 1 - levenshtein(word, term) / greatest(length(word), length(term)) AS s FROM q JOIN v ON abs(length(word) - length(term)) <= 3 AND (substring(word, 1, 2) = substring(term, 1, 2) OR right(word, 2) = right(term, 2))),
+          p AS (SELECT word, term, freq, 1 - levenshtein(word, term) / greatest(length(word), length(term)) AS s FROM q JOIN v ON abs(length(word) - length(term)) <= 3),
           k AS (SELECT *, s * (1 + 0.1 * least(freq, 10)) AS score FROM p WHERE s >= 0.4)
           SELECT word, min_by(term, (-score, term)) AS suggestion, round(max(score), 6) AS score FROM k GROUP BY word""")
 def typo_suggest(spark, d):
@@ -231,10 +231,11 @@ def section_islands(spark, d):
     return out.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("t")).alias("n_chars"))
 
 
-@query(r"""WITH r AS (SELECT DISTINCT list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) = 6) AS c FROM documents), u AS (SELECT DISTINCT unnest(c) AS code FROM r)
+@query(r"""WITH u AS (SELECT DISTINCT lpad((p_partkey * 2500 % 1000000)::VARCHAR, 6, '0') AS code FROM part)
           SELECT code, CASE WHEN code LIKE '%0000' THEN 'part' WHEN code LIKE '%000' THEN 'section' WHEN code LIKE '%00' THEN 'clause' ELSE 'item' END AS level FROM u""")
 def code_levels(spark, d):
-    return structure.codes(table(spark, d, "documents"), "doc_id", "text").select("code", "level").distinct()
+    named = F.concat(F.lit("see code "), F.lpad((F.col("p_partkey") * 2500 % 1000000).cast("string"), 6, "0"), F.lit(" of 12"))
+    return structure.codes(table(spark, d, "part").select("p_partkey", named.alias("text")), "p_partkey", "text").select("code", "level").distinct()
 
 
 @query("""WITH n AS (SELECT n_nationkey, n_regionkey FROM nation) SELECT r_name, count(n_nationkey) AS clauses FROM region LEFT JOIN n ON n_regionkey = r_regionkey GROUP BY 1""")

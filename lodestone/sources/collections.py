@@ -3,89 +3,177 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+from py4j.java_gateway import JavaObject, is_instance_of
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import stash
+
 COLUMNS = "id string, text string, metadata map<string,string>, embedding array<float>"
 
 
 class Collection:
-    """One folder of Parquet versions; a version is written whole and then named, so a reader sees the old or the new one."""
+    """Folders of Parquet files and numbered versions, each a list of folders.
+
+    Rows are written first and then named by a version, so a reader sees the old or the new one. Of two writers the later one finds
+    its number taken and works on the other's version; appending writes the new rows only.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark._jvm
+        self._fs = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, *names: str):
+        return self._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
+
+    def _latest(self) -> tuple[int, list[str]]:
+        """The number of the last version (-1 without any) and its folders."""
+        folder = self._path("_versions")
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
+        names = [n for n in names if n.isdigit()]
+        if not names:
+            return -1, []
+        lines = self.spark.read.text(f"{self.path}/_versions/{names[-1]}").collect()  # a line for each folder
+        return int(names[-1]), [r["value"] for r in lines]
 
-    def _versions(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        return fs, sorted(n for n in names if n.startswith("v"))
+    def exists(self) -> bool:
+        return self._latest()[0] >= 0
 
     def read(self) -> DataFrame:
-        _, versions = self._versions()
-        if not versions:
+        _, folders = self._latest()
+        if not folders:
             return self.spark.createDataFrame([], COLUMNS)
-        return self.spark.read.parquet(f"{self.path}/{versions[-1]}")
-
-    def _write(self, df: DataFrame) -> None:
-        fs, versions = self._versions()
-        n = int(versions[-1][1:9]) + 1 if versions else 0
-        staged, final = f"{self.path}/_staged-{uuid.uuid4().hex}", f"{self.path}/v{n:08d}"
-        df.write.parquet(staged)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        if not fs.rename(path(staged), path(final)):
-            raise OSError(f"version {n} of {self.path} can't be named")
+        return self.spark.read.option("mergeSchema", True).parquet(*(f"{self.path}/{f}" for f in folders))
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"data-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _publish(self, number: int, folders: list[str]) -> bool:
+        """Name version `number`; False if another writer has named it."""
+        staged, final = self._path(f"_staged-{uuid.uuid4().hex}"), self._path("_versions", f"{number:012d}")
+        out = self._fs.create(staged)
+        out.write(bytearray("\n".join(folders), "utf-8"))
+        out.close()
+        self._fs.mkdirs(final.getParent())
+        files = self._jvm.org.apache.hadoop.fs
+        context = files.FileContext.getFileContext(self._path().toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(staged, final, self.spark.sparkContext._gateway.new_array(getattr(files, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            self._fs.delete(staged, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        return True
+
+    def _replace(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        while True:
+            number, _ = self._latest()
+            if self._publish(number + 1, [self._write(change(self.read()))]):
+                return
 
     def overwrite(self, docs: DataFrame) -> None:
-        self._write(docs)
+        self._replace(lambda _: docs)
 
     def append(self, docs: DataFrame) -> None:
-        self._write(self.read().unionByName(docs, allowMissingColumns=True))
+        added = self._write(docs)
+        while True:
+            number, folders = self._latest()
+            if self._publish(number + 1, [*folders, added]):
+                return
 
     def delete(self, ids: DataFrame) -> None:
         """Without the rows whose id is in the first column of ids."""
-        self._write(self.read().join(ids.select(F.col(ids.columns[0]).alias("id")), "id", "left_anti"))
+        self._replace(lambda old: old.join(ids.select(F.col(ids.columns[0]).alias("id")), "id", "left_anti").select(*old.columns))
 
     def update(self, changes: DataFrame) -> None:
         """New text or metadata of known ids; nulls keep the old value, unknown ids are ignored."""
         new = changes.select("id", F.col("text").alias("__t"), F.col("metadata").alias("__m"))
-        old = self.read()
-        self._write(old.join(new, "id", "left").withColumn("text", F.coalesce("__t", "text")).withColumn("metadata", F.coalesce("__m", "metadata")).select(*old.columns))
+        self._replace(lambda old: old.join(new, "id", "left").withColumn("text", F.coalesce("__t", "text")).withColumn("metadata", F.coalesce("__m", "metadata")).select(*old.columns))
 
     def info(self) -> DataFrame:
         return self.read().agg(F.count(F.lit(1)).alias("documents"), F.count("embedding").alias("embedded"))
 
 
+TREES = "org.apache.spark.sql.catalyst.trees.TreeNode"
+LOGICAL = "org.apache.spark.sql.catalyst.plans.logical"
+
+
+def _parts(value, gateway) -> Iterator:
+    """The tree nodes directly below a node or within its lists, options and pairs."""
+    if not isinstance(value, JavaObject):
+        return
+    if is_instance_of(gateway, value, TREES):
+        yield value
+    elif is_instance_of(gateway, value, "scala.collection.Iterable"):
+        rows = value.iterator()
+        while rows.hasNext():
+            yield from _parts(rows.next(), gateway)
+    elif is_instance_of(gateway, value, "scala.Option"):
+        if value.isDefined():
+            yield from _parts(value.get(), gateway)
+    elif is_instance_of(gateway, value, "scala.Product"):
+        for k in range(value.productArity()):
+            yield from _parts(value.productElement(k), gateway)
+
+
+def _tables(node, gateway, known: frozenset[str]) -> Iterator[str]:
+    """Names of the tables that a parsed query reads, those of common table expressions in scope left out.
+
+    Raises ValueError at a command or a write anywhere in the tree.
+    """
+    kind = node.getClass().getSimpleName()
+    if any(is_instance_of(gateway, node, f"{LOGICAL}.{k}") for k in ("Command", "ParsedStatement")) or kind.startswith(("Insert", "Create", "Drop", "Delete", "Update", "Merge", "Alter", "Truncate", "Set")) and not kind.startswith("SetOp"):
+        raise ValueError(f"only queries are run, not {kind}")
+    if kind == "UnresolvedRelation":
+        name = ".".join(n.lower() for n in node.multipartIdentifier().mkString("\0").split("\0"))
+        if name not in known:
+            yield name
+    if kind == "UnresolvedWith":
+        definitions = node.cteRelations().iterator()
+        while definitions.hasNext():
+            named = definitions.next()
+            yield from _tables(named.productElement(1), gateway, known)
+            known = known | {named.productElement(0).lower()}
+        yield from _tables(node.child(), gateway, known)
+        return
+    for k in range(node.productArity()):
+        for below in _parts(node.productElement(k), gateway):
+            yield from _tables(below, gateway, known)
+
+
 def safe_select(spark: SparkSession, query: str, tables: set[str] | None = None) -> DataFrame:
-    """Run one SELECT or WITH; its parsed plan decides, not words in its text. Raises ValueError for anything else."""
+    """Run one SELECT or WITH; its whole parsed tree decides, not words in its text.
+
+    Raises ValueError for a command or a write anywhere in it and, where tables are given, for any other table that it reads; the
+    name of a common table expression counts only where it is in scope.
+    """
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
     except ParseException as e:
         raise ValueError(f"not one statement of SQL: {e}") from e
-    kinds = {plan.getClass().getSimpleName()}
-    if any(k.endswith(("Command", "Statement")) or k.startswith(("Create", "Drop", "Insert", "Delete", "Update", "Merge", "Alter", "Truncate", "Set")) for k in kinds):
-        raise ValueError(f"only queries are run, not {sorted(kinds)}")
-    if tables is not None:
-        import re
-
-        used = {m.lower() for m in re.findall(r"'UnresolvedRelation \[([^\]]+)\]", plan.toString())}
-        ctes = {m.lower() for m in re.findall(r"(?i)(?:with|,)\s*([a-z_]\w*)\s+as\s*\(", query)}
-        if unknown := used - ctes - {t.lower() for t in tables}:
-            raise ValueError(f"unknown tables: {sorted(unknown)}")
+    used = set(_tables(plan, spark.sparkContext._gateway, frozenset()))
+    if tables is not None and (unknown := used - {t.lower() for t in tables}):
+        raise ValueError(f"unknown tables: {sorted(unknown)}")
     return spark.sql(query)
 
 
 def sequential_ids(docs: DataFrame, prefix: str, start: int = 0) -> DataFrame:
-    """docs with ids prefix_n in row order, by the rows of the partitions before; no global sort."""
-    rows = docs.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    counts = {r["__p"]: r["n"] for r in rows.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    base, sums = start, {}
-    for p in sorted(counts):
-        sums[p], base = base, base + counts[p]
-    offset = F.create_map(*(F.lit(v) for kv in sums.items() for v in kv)) if sums else F.create_map(F.lit(0), F.lit(0))
+    """docs with ids prefix_n in row order, by the rows of the partitions before; no global sort.
+
+    The rows are written once, so that counting and numbering see the same ones whatever docs is made of.
+    """
+    rows = stash(docs.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()), "numbered")
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each partition
+    offsets = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).select("__p", (F.coalesce(F.sum("n").over(before), F.lit(0)) + start).alias("__first"))
     # the id's lower 33 bits number the rows within their partition
-    n = offset[F.col("__p")] + F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.withColumn("id", F.concat(F.lit(prefix + "_"), n.cast("string"))).drop("__p", "__i")
+    n = F.col("__first") + F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(offsets), "__p").withColumn("id", F.concat(F.lit(prefix + "_"), n.cast("string"))).drop("__p", "__i", "__first")

@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestone.sources.collections import Collection
+
 
 def _admit(times: list[float], log: list[float], cap: int, seconds: float) -> tuple[list[bool], list[float]]:
     """An event is admitted if fewer than cap admitted ones lie in the last so many seconds; refused ones don't count."""
@@ -65,19 +68,14 @@ def rate_limit_stream(events: DataFrame, key: str, ts: str, event_id: str, cap:
 
 
 def upsert(batch: DataFrame, path: str, key: str, ts: str) -> None:
-    """For foreachBatch: the newest row of each key, old and new."""
-    spark = batch.sparkSession
-    from pyspark.errors import AnalysisException
-    from pyspark.sql import functions as F
-
-    try:
-        old = spark.read.parquet(path)
-        batch = batch.unionByName(old, allowMissingColumns=True)
-    except AnalysisException:
-        pass
+    """For foreachBatch: the newest row of each key, old and new; of rows with equal time the largest by all columns.
+
+    The rows are a new version of the collection at path, which Collection.read gives: a reader sees the old or the new one, and a
+    failure leaves the old one.
+    """
+    table = Collection(batch.sparkSession, path)
+    if table.exists():
+        batch = batch.unionByName(table.read(), allowMissingColumns=True)
     columns = batch.columns
-    newest = batch.groupBy(key).agg(F.max_by(F.struct(*columns), ts).alias("r")).select("r.*")
-    # the old files are read while the new ones are written, so the rows pass through a staging folder
-    staged = f"{path}-staging"
-    newest.write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+    newest = batch.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(ts, *columns)).alias("r")).select("r.*")
+    table.overwrite(newest)

@@ -71,6 +71,21 @@ def test_tree_with_deduction(spark):
     assert {r["n"]: r["v"] for r in structured.tree_rollup(rows, "n", "p", "v").collect()} == {"root": 4.0, "m": 3.0, "l1": 5.0, "l2": -2.0, "l3": 1.0}
 
 
+def test_deep_trees_and_circles(spark):
+    rows = spark.createDataFrame([(k, k - 1 if k else None, 1.0 if k == 11 else 0.0) for k in range(12)], "n int, p int, v double")
+    assert {r["v"] for r in structured.tree_rollup(rows, "n", "p", "v").collect()} == {1.0}
+    with pytest.raises(ValueError):
+        structured.tree_rollup(spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "n int, p int, v double"), "n", "p", "v", depth=5)
+
+
+def test_neighbours_across_partitions(spark):
+    rows = spark.createDataFrame([(k % 2, 10 * k) for k in range(40)] * 2, "g int, c int")
+    got = {r["c"]: (r["previous"], r["next"]) for r in structured.neighbours(rows, "c").collect()}
+    assert got == {10 * k: (10 * k - 10 if k else None, 10 * k + 10 if k < 39 else None) for k in range(40)}
+    got = {r["c"]: (r["previous"], r["next"]) for r in structured.neighbours(rows, "c", ["g"]).collect()}
+    assert got == {10 * k: (10 * k - 20 if k > 1 else None, 10 * k + 20 if k < 38 else None) for k in range(40)}
+
+
 def test_gap_cut(spark):
     rows = spark.createDataFrame([("q", i, s) for i, s in enumerate([0.9, 0.85, 0.3, 0.28, 0.05])] + [("low", 9, 0.02)], "q string, id int, s double")
     kept = {(r["q"], r["id"]) for r in search.gap_cut(rows, "s", ["q"], "id").collect()}

@@ -44,6 +44,33 @@ def test_only_queries_run(spark, sql):
         collections.safe_select(spark, sql)
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "WITH x AS (SELECT 1 AS id) INSERT INTO sink SELECT * FROM x", "SELECT * FROM secret -- , secret as (", "SELECT * FROM secret, (WITH secret AS (SELECT 1) SELECT * FROM secret) y",
+        "SELECT (SELECT max(id) FROM secret) AS m", "SELECT 1 WHERE EXISTS (SELECT 1 FROM secret)", "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a", "SELECT * FROM t UNION SELECT * FROM secret",
+        "SELECT * FROM parquet.`/etc`", "EXPLAIN SELECT 1", "SET x = 1", "CREATE VIEW v AS SELECT 1", "SELECT * FROM other.t",
+    ],
+)
+def test_no_way_around_the_guard(spark, sql):
+    with pytest.raises(ValueError):
+        collections.safe_select(spark, sql, {"t"})
+
+
+def test_common_table_expressions_pass(spark):
+    spark.range(3).createOrReplaceTempView("t")
+    sql = "WITH x AS (SELECT id FROM t WHERE id > 0), y AS (SELECT max(id) AS m FROM x) SELECT m, (SELECT count(*) FROM T) AS n FROM y WHERE m IN (SELECT id FROM x)"
+    assert tuple(collections.safe_select(spark, sql, {"t"}).first()) == (2, 3)
+
+
+def test_appended_rows_are_added_to_a_version(spark, tmp_path):
+    c = collections.Collection(spark, str(tmp_path / "c"))
+    for k in "abc":
+        c.append(spark.createDataFrame([(k, k, None, None)], collections.COLUMNS))
+    assert c._latest()[0] == 2 and len(c._latest()[1]) == 3 and c.read().count() == 3
+    assert not c._publish(2, ["other"]) and c.read().count() == 3
+
+
 def test_a_verb_in_a_string_is_no_verb(spark):
     assert collections.safe_select(spark, "SELECT ' drop table ' AS x").first()["x"] == " drop table "
     with pytest.raises(ValueError):

@@ -1,5 +1,6 @@
 import datetime as dt
 
+from lodestone.sources.collections import Collection
 from lodestone.streaming import stateful, windows
 
 START = dt.datetime(2024, 1, 1)
@@ -41,7 +42,8 @@ def test_upsert_keeps_the_newest(spark, tmp_path):
     path = str(tmp_path / "table")
     stateful.upsert(spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, t int, v string"), path, "k", "t")
     stateful.upsert(spark.createDataFrame([(1, 2, "c")], "k int, t int, v string"), path, "k", "t")
-    assert {r["k"]: r["v"] for r in spark.read.parquet(path).collect()} == {1: "c", 2: "b"}
+    stateful.upsert(spark.createDataFrame([(2, 1, "a"), (2, 1, "c"), (2, 1, "b")], "k int, t int, v string"), path, "k", "t")
+    assert {r["k"]: r["v"] for r in Collection(spark, path).read().collect()} == {1: "c", 2: "c"}
 
 
 def test_timed_cache(spark, tmp_path):
