@@ -2,72 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import release, shared_dir, stash
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark so that any store it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a folder in the warehouse, or, if
-    all runs on one machine (a local master, as in tests), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if spark.sparkContext.master.startswith("local"):
-            found = tempfile.mkdtemp(prefix="lodestone-")
-        else:
-            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lodestone-{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-#: Folders that stash has written in this process and nothing has deleted yet, with their sessions.
-_WRITTEN: dict[str, SparkSession] = {}
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here, files outlive any executor.
-
-    Unlike an RDD checkpoint the copy keeps column pruning and its size, which the planner uses to choose joins. A copy lasts
-    until release, or until the process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _WRITTEN[path] = spark
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
-
-
-def release(*stashed: DataFrame) -> None:
-    """Delete copies that stash has returned and that no later step reads: what was made of them must have been written."""
-    for df in stashed:
-        _delete(df._stash_path)
-
-
-def _delete(path: str) -> None:
-    spark = _WRITTEN.pop(path, None)
-    if spark is not None:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-@atexit.register
-def _delete_all() -> None:
-    for path in list(_WRITTEN):
-        with contextlib.suppress(Exception):  # the session may have ended before the process
-            _delete(path)
-
-
 def hot_join(rows: DataFrame, lookup: DataFrame, keys: list[str], copies: str, share: int = 1000) -> DataFrame:
     """rows with the columns of lookup, which has one row a key and in `copies` how many rows have it.
 
