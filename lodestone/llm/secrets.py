@@ -88,6 +88,23 @@ def own_names(token: str) -> tuple[str, ...]:
     )
 
 
+def own_cue(token: str) -> str:
+    """Whether a token holds a cue word itself, and a mark that may set a value off from it."""
+    return f"own cue {bool(CUE_WORD.search(token))} {'=' in token.rstrip('=')} {sized(token)}"
+
+
+HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
+LIKE_WORD = str.maketrans({**dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "g"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "G"), **dict.fromkeys("0123456789", "0")})
+LIKE_HEX = str.maketrans({**dict.fromkeys("abcdef", "a"), **dict.fromkeys("ABCDEF", "A"), **dict.fromkeys("0123456789", "0")})
+
+
+def likeness(token: str) -> str:
+    """A token that has the same own features as this one, and as all that differ in letters and digits only."""
+    if len(token) == 1 and not token.isascii():
+        return token
+    return token.translate(LIKE_HEX if HEX_ONLY.fullmatch(token) else LIKE_WORD)
+
+
 def bucket(name: str) -> int:
     return zlib.crc32(name.encode()) % BUCKETS
 
@@ -104,7 +121,7 @@ def features(text: str, spans: list[tuple[int, int]], facts: str, first: int = 0
             f"next {side(words[i + 1]) if i + 1 < len(words) else 'end'}", f"file {facts}",
         )
         if w not in own:
-            own[w] = [bucket(n) for n in own_names(w)]
+            own[w] = [bucket(n) for n in (*own_names(w), own_cue(w))]
         rows.append(own[w] + [bucket(n) for n in named])
     return rows
 
@@ -133,6 +150,8 @@ class Field:
 
     def forget(self) -> None:
         self.ids: dict[str, int] = {}
+        self.kinds: dict[str, np.ndarray] = {}
+        self.sides: dict[str, np.ndarray] = {}
         self.table, self.sizes, self.cues, self.spaced = np.zeros((1024, 15)), np.zeros(1024, int), np.zeros(1024, bool), np.zeros(1024, int)
 
     def __getstate__(self) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +169,13 @@ class Field:
         if k == len(self.table):
             self.table, self.sizes, self.cues, self.spaced = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.sizes, self.cues, self.spaced))
         word = piece[:-1] if piece[-1].isspace() else piece
-        at = side(word)
-        self.table[k] = np.concatenate([sum(self.of(n) for n in own_names(word)), self.of(f"last {at}"), self.of(f"next {at}"), self.of(f"lead False {at}"), self.of(f"lead True {at}")])
+        at, kind = side(word), likeness(word)
+        own, around = self.kinds.get(kind), self.sides.get(at)
+        if own is None:
+            own = self.kinds[kind] = sum(self.of(n) for n in own_names(kind))
+        if around is None:
+            around = self.sides[at] = np.concatenate([self.of(f"last {at}"), self.of(f"next {at}"), self.of(f"lead False {at}"), self.of(f"lead True {at}")])
+        self.table[k, :3], self.table[k, 3:] = own + self.of(own_cue(word)), around
         self.sizes[k], self.cues[k], self.spaced[k] = sized(word), bool(CUE_WORD.search(word)), word != piece
         return k
 
@@ -266,14 +290,26 @@ def generated(rng: random.Random) -> tuple[str, int, int]:
     return lead + value + rng.choice(['"', "", "'", ""]), len(lead), len(lead) + len(value)
 
 
+def decoy(rng: random.Random) -> str:
+    """What is no secret but looks unusual: addresses, numbers, dates, names of files, code, and cue words in plain use."""
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 12)))
+    digits = lambda low, high: "".join(rng.choices("0123456789", k=rng.randint(low, high)))
+    return rng.choice([
+        lambda: rng.choice(["the secret", "a token of", "token", "key", "pass", "signature:", "keys:", "credential"]),
+        lambda: f"https://{word()}.{word()}.org/{word()}/{word()}?id={digits(1, 6)}", lambda: f"{word()}.{word()}@{word()}.org", lambda: f"call {digits(6, 12)} or", lambda: f"a total of {digits(4, 12)} units",
+        lambda: f"{word()}_{digits(4, 4)}_{word()}.pdf", lambda: f"20{digits(2, 2)}-0{digits(1, 1)}-1{digits(1, 1)} 1{digits(1, 1)}:{digits(2, 2)}", lambda: f"def {word()}({word()}): return {word()}({word()}).{word()}()",
+        lambda: f"version {digits(1, 2)}.{digits(1, 2)}.{digits(1, 3)}", lambda: f"/{word()}/{word()}/{word()}.txt", lambda: f"{word()}: {word()}", lambda: f"see {word()}-{word()}-{word()} in {digits(4, 4)}",
+    ])()
+
+
 def labelled(texts: list[str], seed: int = 0) -> list[tuple[list[list[int]], list[int]]]:
     """A stretch of tokens of each text, tagged by the fixed patterns; into two of three texts a generated secret is set at a
-    word border, into the others a cue word before what stands there."""
+    word border, into the others a decoy."""
     rng, out = random.Random(seed), []
     for k, text in enumerate(texts):
         at = text.find(" ", rng.randrange(max(1, len(text))))
         at = len(text) if at < 0 else at
-        line, a, b = generated(rng) if k % 3 else (rng.choice(["the secret", "a token of", "token", "key", "pass", "signature:", "keys:", "credential"]), 0, 0)
+        line, a, b = generated(rng) if k % 3 else (decoy(rng), 0, 0)
         text = f"{text[:at]} {line} {text[at:]}"
         spans = [(s, e) for s, _, e in base_spans(text)] + ([(at + 1 + a, at + 1 + b)] if b else [])
         places = token_spans(text)

@@ -200,6 +200,27 @@ def test_memo_and_islands_change_nothing(trained):
         assert tags.tolist() == trained.viterbi(scores)[0]
 
 
+def test_likeness_keeps_own_features():
+    rng = random.Random(8)
+    tokens = ["".join(rng.choices("abcfgzABFGZ0189+/_.=-", k=rng.randint(1, 30))) for _ in range(2000)] + list("é½日,;a0G-")
+    assert all(secrets.own_names(t) == secrets.own_names(secrets.likeness(t)) for t in tokens)
+
+
+def test_precision_and_recall_on_planted_secrets(trained):
+    rng, values = random.Random(77), []
+    for k in range(200):  # kinds that no fixed pattern takes
+        lead = ["Authorization: Bearer ", "pwd: ", "credential: ", "passphrase: ", "auth_key="][k % 5]
+        value = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=rng.randint(14, 32))), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=18)), "".join(rng.choices("0123456789", k=14))][k % 3]
+        values.append((f"some words of a file {lead}{value} and some words after it", value))
+    found = [[t[s:e] for s, _, e in secrets.added_spans(t, secrets.base_spans(t), trained)] for t, _ in values]
+    # a token may hold its lead, too
+    missed = [t for f, (t, v) in zip(found, values, strict=True) if not any(v in x for x in f) and not any(v in t[s:e] for s, _, e in secrets.base_spans(t))]
+    wrong = [x for f, (_, v) in zip(found, values, strict=True) for x in f if v not in x]
+    assert len(missed) <= 0.1 * len(values) and len(wrong) <= 0.05 * len(values), (missed, wrong)
+    clean = ["the quarterly report of the board lists seventeen items and a total of 1234567 units", "see https://example.org/path/to/page?id=42 for more", "call 0301234567 or write to office@example.org", "def load(path): return open(path).read()"]
+    assert not any(secrets.added_spans(t, secrets.base_spans(t), trained) for t in clean)
+
+
 @pytest.fixture(scope="module")
 def trained(spark):
     return secrets.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
