@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,14 @@ def release(*stashed: DataFrame) -> None:
     """Delete copies that stash has returned and that no later step reads: what was made of them must have been written."""
     for df in stashed:
         _delete(df._stash_path)
+        spark = df.sparkSession
+    tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _delete(path: str) -> None:
