@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.scratch import release, shared_dir, stash
+from lodestone.sources.scratch import release, shared_dir, stash, tidy
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,4 +37,4 @@ def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.withColumn("place", place).where(F.col("place") <= min(1.0, (1.5 * rows + 100) / max(1, total))).orderBy("place", key).limit(rows).drop("place")
 
 
-__all__ = ["F", "hashed_sample", "hot_join", "id_text", "release", "shared_dir", "stash", "table"]
+__all__ = ["F", "hashed_sample", "hot_join", "id_text", "release", "shared_dir", "stash", "table", "tidy"]

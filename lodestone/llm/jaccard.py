@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import hot_join, id_text, release, stash
+from lodestone.llm.common import hot_join, id_text, release, stash, tidy
 from lodestone.llm.components import components
 
 COORDINATES = 32, 512  # least and most coordinates of a point
@@ -33,6 +33,8 @@ BLOCK = 3_000_000  # weight of a family that one task holds from each of its two
 POINT = 256  # weight of a document's point, besides one for each shingle
 GROWTH = 1.5  # of the size bands
 ROUNDS = 2  # of dropping sets without a partner; more of them would only make families smaller
+WAYS = 1 << 10  # more than the size bands of texts that memory holds times SEEDS
+SHORT = 24  # bits that the first count of keys leaves out
 SEEDS = 8  # ways of grouping that are tried for sets with too many empty groups
 WORDS = 400_000
 U = np.uint64
@@ -115,7 +117,10 @@ class Bands:
         return bisect.bisect_right(self.first, n) - 1
 
     def keys(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Keys of the groups of all sets; of each key the set, the way of grouping, and how many keys of it any partner shares."""
+        """Keys of the groups of all sets; of each key the set, the way of grouping, and how many keys of it any partner shares.
+
+        The lowest bits of a key are its way of grouping.
+        """
         sizes = np.diff(starts)
         jobs = [(k, b) for k, n in enumerate(sizes.tolist()) if n for b in range(self.of(n), self.of(100 * n // self.percent) + 1)]
         out = []
@@ -143,6 +148,7 @@ class Bands:
                 held |= (least < 1)[own]  # empty groups count, too, where nothing else can
             number = (np.arange(total) - np.repeat(base, groups)).astype(np.uint64)
             found = mix(mix(high * U(0x9E3779B97F4A7C15) + low) ^ mix(np.repeat(salt, groups) + number))
+            found = found & ~U(WAYS - 1) | way[own].astype(np.uint64)
             out.append((found[held], who[own][held], way[own][held], np.maximum(least, 1)[own][held]))
             jobs = [j for j, n in zip(jobs, least, strict=True) if n < 1]
         empty = np.empty(0, np.int64)
@@ -236,7 +242,7 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
 def sketch(plain: DataFrame, size: int, percent: int) -> DataFrame:
     """row (a number of its own for every row), doc_id, text_hash, n, d1, d2 (digest of the set) and the keys of its groups.
 
-    The keys are in lists by way of grouping; its tag holds its number and, in the lower half, how many keys any partner shares.
+    tags has a number for each way of grouping: the way and, in the lower half, how many keys any partner shares.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -251,19 +257,19 @@ def sketch(plain: DataFrame, size: int, percent: int) -> DataFrame:
                 keys, owners, tags = keys[order], owners[order], ((ways << 32) + least)[order]
                 first = np.ones(len(keys), bool)
                 first[1:] = (owners[1:] != owners[:-1]) | (tags[1:] != tags[:-1])
-                at_key = np.flatnonzero(first)
-                inner = pa.ListArray.from_arrays(pa.array(np.append(at_key, len(keys)).astype(np.int32)), pa.array(keys.astype(np.int64)))
-                outer = np.concatenate([[0], np.cumsum(np.bincount(owners[at_key], minlength=part.num_rows))]).astype(np.int32)
-                groups = pa.ListArray.from_arrays(pa.array(outer), pa.StructArray.from_arrays([pa.array(tags[at_key]), inner], ["tag", "keys"]))
+                listed = []
+                for of, held in ((owners, keys.astype(np.int64)), (owners[first], tags[first])):
+                    offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=part.num_rows))]).astype(np.int32)
+                    listed.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(held)))
                 rows = pa.array(np.arange(number, number + part.num_rows), pa.int64())
                 number += part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [rows, part.column(0), part.column(2), pa.array(np.diff(starts), pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), groups],
-                    ["row", "doc_id", "text_hash", "n", "d1", "d2", "groups"],
+                    [rows, part.column(0), part.column(2), pa.array(np.diff(starts), pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), *listed],
+                    ["row", "doc_id", "text_hash", "n", "d1", "d2", "keys", "tags"],
                 )
 
     hashed = plain.select("doc_id", "text", F.xxhash64("text"))
-    return hashed.mapInArrow(run, "row long, doc_id long, text_hash long, n long, d1 long, d2 long, groups array<struct<tag: bigint, keys: array<bigint>>>")
+    return hashed.mapInArrow(run, "row long, doc_id long, text_hash long, n long, d1 long, d2 long, keys array<long>, tags array<long>")
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
@@ -272,13 +278,23 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     return keyed.join(shared, "key")
 
 
-def families(keyed: DataFrame) -> DataFrame:
-    """id and component_id of the sets (rep, tag, key) that may have a partner, by shared keys over any number of steps."""
-    hits = stash(shared_keys(keyed), "hits")
+def families(keyed: DataFrame, tags: DataFrame) -> DataFrame:
+    """id and component_id of the sets (rep, key) that may have a partner, by shared keys over any number of steps.
+
+    Most keys are of one set only. They are told by a part of the key, which is counted without its set; what is left is few.
+    """
+    short = F.shiftrightunsigned("key", SHORT)
+    seen = keyed.groupBy(short.alias("short")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("short")
+    near = stash(keyed.withColumn("short", short).join(seen.hint("merge"), "short", "left_semi").select("rep", "key"), "near")
+    tidy(near.sparkSession)
+    hits = stash(shared_keys(near), "hits")
+    release(near)
     for _ in range(ROUNDS):
         # a set with too few shared keys has no partner; without it, others may have too few
-        live = hits.groupBy("rep", "tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF))).select("rep", "tag")
-        fewer = stash(shared_keys(hits.select("rep", "tag", "key").join(live, ["rep", "tag"], "left_semi")), "hits")
+        counted = hits.groupBy("rep", F.col("key").bitwiseAND(F.lit(WAYS - 1)).alias("way")).agg(F.count(F.lit(1)).alias("n"))
+        live = counted.join(tags, ["rep", "way"]).where("n >= least").select("rep", "way")
+        with_way = hits.select("rep", "key", F.col("key").bitwiseAND(F.lit(WAYS - 1)).alias("way"))
+        fewer = stash(shared_keys(with_way.join(live, ["rep", "way"], "left_semi").select("rep", "key")), "hits")
         release(hits)
         hits = fewer
     # every set joins the smallest set with a key of its own
@@ -295,6 +311,7 @@ def jaccard_rows(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str
     The rules are those of jaccard_groups; a row without shingles or without an id is a component of its own.
     """
     plain = id_text(docs, id_col, text_col)
+    tidy(docs.sparkSession)
     rows = stash(sketch(plain, size, percent), "sketch")
     known = rows.where("n > 0 and doc_id is not null")
     # sets that are equal are one representative from here on; only it brings keys
@@ -302,9 +319,9 @@ def jaccard_rows(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str
     members = known.select("row", "n", "d1", "d2").join(reps, ["n", "d1", "d2"]).select("row", "rep")
     # copies are few next to all rows, and their written size decides how they are left out
     copies = stash(members.where("row > rep"), "copies")
-    keyed = known.join(copies.select("row"), "row", "left_anti").select(F.col("row").alias("rep"), F.explode("groups").alias("g"))
-    keyed = keyed.select("rep", "g.tag", F.explode("g.keys").alias("key"))
-    family = families(keyed).select(F.col("id").alias("row"), F.col("component_id").alias("family"))
+    keyed = known.join(copies.select("row"), "row", "left_anti").select(F.col("row").alias("rep"), F.explode("keys").alias("key"))
+    tags = rows.select(F.col("row").alias("rep"), F.explode("tags").alias("tag")).select("rep", F.shiftright("tag", 32).alias("way"), F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF)).alias("least"))
+    family = families(keyed, tags).select(F.col("id").alias("row"), F.col("component_id").alias("family"))
     sized = family.join(known.select("row", "doc_id", "n", "d1", "d2"), "row")
     blocks = sized.groupBy("family").agg(F.ceil(F.sum(F.col("n") + POINT) / F.lit(BLOCK)).cast("int").alias("blocks"))
     active = stash(sized.join(blocks, "family").select("row", "doc_id", "d1", "d2", "family", "blocks"), "families")
