@@ -238,7 +238,7 @@ class Field:
         return tags[::-1], float(best.max() - outside)
 
 
-def train(examples: list[tuple[list[list[int]], list[int]]], rounds: int = 60, rate: float = 0.3, decay: float = 1e-3) -> Field:
+def train(examples: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, rate: float = 0.3, decay: float = 1e-3) -> Field:
     """Maximum likelihood by forward-backward gradients with Adagrad steps; examples are stretches of features and their tags."""
     emit, move = np.zeros((BUCKETS, 3)), np.zeros((3, 3))
     move[OUT, INSIDE] = -8.0
@@ -246,7 +246,7 @@ def train(examples: list[tuple[list[list[int]], list[int]]], rounds: int = 60, r
     by_size: dict[int, list] = {}
     for x, y in examples:
         by_size.setdefault(len(x), []).append((x, y))
-    groups = [(np.array([x for x, _ in h]), np.array([y for _, y in h])) for g in by_size.values() for k in range(0, len(g), 200) for h in [g[k : k + 200]]]
+    groups = [(np.stack([x for x, _ in h]), np.stack([y for _, y in h]).astype(int)) for g in by_size.values() for k in range(0, len(g), 200) for h in [g[k : k + 200]]]
     for _ in range(rounds):
         grads = [-decay * emit * len(examples), -decay * move]
         for x, y in groups:
@@ -302,7 +302,7 @@ def decoy(rng: random.Random) -> str:
     ])()
 
 
-def labelled(texts: list[str], seed: int = 0) -> list[tuple[list[list[int]], list[int]]]:
+def labelled(texts: list[str], seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
     """A stretch of tokens of each text, tagged by the fixed patterns; into two of three texts a generated secret is set at a
     word border, into the others a decoy."""
     rng, out = random.Random(seed), []
@@ -320,8 +320,10 @@ def labelled(texts: list[str], seed: int = 0) -> list[tuple[list[list[int]], lis
             hit = next((x for x in spans if x[0] < e and s < x[1] and not CUE_WORD.fullmatch(text[s:e]) and (e - s > 1 or text[s].isalnum())), None)
             if hit:
                 tags[i] = INSIDE if i and tags[i - 1] != OUT and hit[0] < places[i - 1][1] else BEGIN
-        out.append((features(text, places, file_facts(text), first, first + STRETCH), tags[first : first + STRETCH]))
-    return [x for x in out if x[1]]
+        if tags[first : first + STRETCH]:
+            # small numbers, since all examples are held at once on the driver
+            out.append((np.array(features(text, places, file_facts(text), first, first + STRETCH), np.int16), np.array(tags[first : first + STRETCH], np.int8)))
+    return out
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
