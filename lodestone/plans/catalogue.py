@@ -1,6 +1,6 @@
 """All queries of the library proper."""
 
-from lodestone.plans import decisions, retrieval, structured, texts  # noqa: F401
+from lodestone.plans import answers, decisions, retrieval, structured, texts  # noqa: F401
 from lodestone.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
