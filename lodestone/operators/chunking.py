@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Piece = tuple[int, str]
 BREAKS = ("\n\n", "\n", ". ", "؟ ", "! ", " ")
@@ -110,24 +111,31 @@ CHUNKERS: dict[str, Callable[..., Iterator[Piece]]] = {
 }
 
 
-def chunk(docs: DataFrame, doc_id: str, text: str, kind: str = "window", **options: int) -> DataFrame:
-    """doc_id, chunk_index, start and chunk of every text; a null or blank text has none."""
+def chunk(docs: DataFrame, doc_id: str | None, text: str, kind: str = "window", carry: Sequence[str] = (), totals: bool = False, **options: int) -> DataFrame:
+    """doc_id, chunk_index, start and chunk of every text; a null or blank text has none.
+
+    Columns to carry stand before them on every chunk; without doc_id there is none; with totals, n_chunks of the text follows.
+    """
     run_one = CHUNKERS[kind]
+    keep = [*carry, *([] if doc_id is None else ["doc_id"])]
+    given = docs.select(*carry, *([] if doc_id is None else [F.col(doc_id).cast("long").alias("doc_id")]), F.col(text).cast("string").alias("__text"))
+    own = [("chunk_index", T.IntegerType(), pa.int32()), ("start", T.LongType(), pa.int64()), ("chunk", T.StringType(), pa.string()), ("n_chunks", T.IntegerType(), pa.int32())][: 4 if totals else 3]
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                ids, index, starts, chunks = [], [], [], []
-                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for k, (start, piece) in enumerate(run_one(t, **options) if t and t.strip() else ()):
-                        ids.append(i)
-                        index.append(k)
-                        starts.append(start)
-                        chunks.append(piece)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(index, pa.int32()), pa.array(starts, pa.int64()), pa.array(chunks, pa.string())], ["doc_id", "chunk_index", "start", "chunk"])
-
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, chunk_index int, start long, chunk string")
+                places, rows = [], []
+                for i, t in enumerate(part.column(len(keep)).to_pylist()):
+                    pieces = list(run_one(t, **options)) if t and t.strip() else []
+                    places += [i] * len(pieces)
+                    rows += [(k, start, piece, len(pieces))[: len(own)] for k, (start, piece) in enumerate(pieces)]
+                columns = list(zip(*rows, strict=True)) or [()] * len(own)
+                kept = [part.column(k).take(pa.array(places, pa.int64())) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(kept + [pa.array(c, t) for c, (_, _, t) in zip(columns, own, strict=True)], [*keep, *(n for n, _, _ in own)])
+
+    schema = T.StructType([*given.schema.fields[: len(keep)], *(T.StructField(n, t) for n, t, _ in own)])
+    return given.mapInArrow(run, schema)
 
 
 def content_type(text: str | Column) -> Column:

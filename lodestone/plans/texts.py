@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import numeric, similarity, text
 from lodestone.operators import chunking, entities, search, structure, web
 from lodestone.plans.registry import query, table
+from lodestone.sources import ingest
 
 SQL_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 
@@ -261,3 +262,21 @@ def token_similarity(spark, d):
     nxt = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y"))
     both = rows.join(nxt, ["conv_id", "turn"]).where((F.size("x") > 0) & (F.size("y") > 0))
     return both.select("conv_id", "turn", F.round(similarity.token_similarity("x", "y"), 6).alias("similarity"))
+
+
+@query()
+def page_chunks(spark, d):
+    return ingest.page_chunks(table(spark, d, "pages"), "page_id", web.html_text("html"), carry=("url",))
+
+
+@query()
+def markdown_chunks(spark, d):
+    return ingest.markdown_chunks(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("""WITH v AS (SELECT unnest(['o_orderkey', 'o_totalprice', 'o_orderpriority']) AS c, unnest([o_orderkey::VARCHAR, o_totalprice::VARCHAR, o_orderpriority]) AS v FROM orders)
+          SELECT c AS "column", CASE WHEN bool_and(regexp_full_match(trim(v), '[+-]?[0-9]+')) THEN 'long' WHEN bool_and(TRY_CAST(v AS DOUBLE) IS NOT NULL) THEN 'double'
+            WHEN bool_and(TRY_CAST(v AS BOOLEAN) IS NOT NULL) THEN 'boolean' ELSE 'string' END AS kind FROM v WHERE trim(v) <> '' GROUP BY c""")
+def column_kinds(spark, d):
+    rows = table(spark, d, "orders").select(*(F.col(c).cast("string").alias(c) for c in ("o_orderkey", "o_totalprice", "o_orderpriority")))
+    return spark.createDataFrame([*ingest.column_kinds(rows, rows.columns).items()], "column string, kind string")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.web import html_text
+from lodestone.sources.pdf import pdf_pages
 
 ENCODINGS = ("utf-8", "windows-1256", "latin-1")
 
@@ -32,15 +33,24 @@ def _decode(data: bytes) -> str:
 
 
 def docx_text(data: bytes) -> str:
-    """Paragraphs of a Word file, joined by empty lines; empty if it isn't one."""
+    """Headings (with #), paragraphs and tables (a line per row) of a Word file in its order, joined by empty lines; empty if it isn't one."""
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             root = ElementTree.fromstring(z.read("word/document.xml"))
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
         return ""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-    found = ("".join(t.text or "" for t in p.iter(f"{w}t")) for p in root.iter(f"{w}p"))
-    return "\n\n".join(p for p in found if p.strip())
+    written = lambda x: "".join(t.text or "" for t in x.iter(f"{w}t"))
+    body, out = root.find(f"{w}body"), []
+    for block in root if body is None else body:
+        if block.tag == f"{w}tbl":
+            out.append("\n".join(" | ".join(written(c).strip() for c in row.findall(f"{w}tc")) for row in block.findall(f"{w}tr")))
+        else:
+            style = block.find(f"{w}pPr/{w}pStyle")
+            level = re.fullmatch(r"[Hh]eading ?([1-6])", style.get(f"{w}val") or "") if style is not None else None
+            text = written(block)
+            out.append(f"{'#' * int(level[1])} {text}" if level and text.strip() else text)
+    return "\n\n".join(p for p in out if p.strip())
 
 
 def xlsx_rows(data: bytes) -> list[tuple[str, int, list[str]]]:
@@ -125,7 +135,12 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     return binary_text(spark, path, lines, "*.xlsx")
 
 
-READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"txt": read_text, "md": read_markdown, "html": read_html, "csv": read_csv, "json": read_json, "docx": read_docx, "xlsx": read_xlsx}
+def read_pdf(spark: SparkSession, path: str) -> DataFrame:
+    """A text per file, its pages joined by empty lines."""
+    return binary_text(spark, path, lambda data: "\n\n".join(p for p in pdf_pages(data) if p), "*.pdf")
+
+
+READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"txt": read_text, "md": read_markdown, "html": read_html, "csv": read_csv, "json": read_json, "docx": read_docx, "xlsx": read_xlsx, "pdf": read_pdf}
 
 
 def read_files(spark: SparkSession, path: str, kinds: list[str] | None = None) -> DataFrame:
