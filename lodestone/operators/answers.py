@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.similarity import jaccard, sequence_ratio
+from lodestone.sources.scratch import stash
 
 NEAR = 50  # characters on both sides of a pattern's start in which its cue words count
 
@@ -72,11 +73,12 @@ def batch_average(cases: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return cases.agg(F.count(F.lit(1)).alias("cases"), *(F.avg(m).alias(m) for m in metrics))
 
 
-def keyword_similarity(docs: DataFrame, doc_id: str, text: str, terms: Sequence[str], least: float = 0.8) -> DataFrame:
+def keyword_similarity(docs: DataFrame, doc_id: str, text: str, terms: Sequence[str], least: float = 0.8, most: int = 20_000) -> DataFrame:
     """doc_id, keyword_score (share of terms that some word resembles) and score (.4 mean ratio + .6 that share).
 
     A stated set of terms against every distinct word of the documents: the ratio is reckoned once for a word, not once for
-    each place it stands. Documents that no term resembles have no row.
+    each place it stands. At most `most` such words are counted and broadcast, so that the documents' words stay where they are;
+    more are merged. Documents that no term resembles have no row.
     """
     words = docs.select(doc_id, F.explode(F.array_distinct(F.split(F.lower(F.trim(text)), r"\s+"))).alias("word"))
     given = F.array(*(F.lit(t) for t in terms))
@@ -84,7 +86,8 @@ def keyword_similarity(docs: DataFrame, doc_id: str, text: str, terms: Sequence[
     # the ratio of two strings is at most twice the shorter over the sum of lengths
     shorter, both = F.least(F.length("word"), F.length("term")), F.length("word") + F.length("term")
     near = near.where(2 * shorter >= least * both).withColumn("ratio", sequence_ratio("term", "word")).where(F.col("ratio") >= least)
-    best = words.join(near, "word").groupBy(doc_id, "term").agg(F.max("ratio").alias("ratio"))
+    near = stash(near, "similar_words")
+    best = words.join(F.broadcast(near) if near.count() <= most else near.hint("merge"), "word").groupBy(doc_id, "term").agg(F.max("ratio").alias("ratio"))
     out = best.groupBy(doc_id).agg(F.avg("ratio").alias("mean"), (F.count(F.lit(1)) / len(terms)).alias("keyword_score"))
     return out.select(doc_id, "keyword_score", (0.4 * F.col("mean") + 0.6 * F.col("keyword_score")).alias("score"))
 

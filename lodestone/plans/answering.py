@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +81,39 @@ def answer_rows(text: str, df: DataFrame, schema: TableSchema, names: DataFrame
     return rows_of(analyse(text, len(entities)), df, schema, entities)
 
 
+@dataclass
+class Step:
+    """One step of a plan: a tool by name, its arguments, and the steps whose results it needs."""
+
+    number: int
+    tool: str
+    arguments: Mapping[str, object] = field(default_factory=dict)
+    needs: Sequence[int] = ()
+
+
+def run_steps(steps: Sequence[Step], tools: Mapping[str, Callable[..., DataFrame]]) -> dict[int, DataFrame]:
+    """The frame of every step, each after those it needs, whose frames it gets as step_<number>_result; nothing is computed yet.
+
+    A need that no step meets, a circle, a number twice or an unknown tool raises ValueError before any step runs.
+    """
+    by_number = {x.number: x for x in steps}
+    if len(by_number) < len(steps):
+        raise ValueError("a step's number is there twice")
+    if unknown := sorted({x.tool for x in steps} - set(tools)):
+        raise ValueError(f"unknown tools: {unknown}")
+    try:
+        order = [*TopologicalSorter({x.number: x.needs for x in steps}).static_order()]
+    except CycleError as e:
+        raise ValueError("steps need each other") from e
+    if missing := sorted(set(order) - set(by_number)):
+        raise ValueError(f"missing steps: {missing}")
+    out: dict[int, DataFrame] = {}
+    for number in order:
+        step = by_number[number]
+        out[number] = tools[step.tool](**step.arguments, **{f"step_{k}_result": out[k] for k in step.needs})
+    return out
+
+
 def _orders(spark, d):
     """Orders by nation, with years of the solar calendar; half of a price is its cost."""
     o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
@@ -132,3 +166,15 @@ def question_trend(spark, d):
 @query(f"WITH {SQL_ORDERS} SELECT round(sum(price), 2) AS income, round(sum(price) / 2, 2) AS cost, round(sum(price) / 2, 2) AS balance, 'surplus' AS status FROM o WHERE year = 1375")
 def question_balance(spark, d):
     return _asked(spark, d, "balance of 1375", "income", "cost", "balance")
+
+
+@query("SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer WHERE c_mktsegment = (SELECT min(c_mktsegment) FROM customer) GROUP BY 1")
+def agent_steps(spark, d):
+    customers = table(spark, d, "customer")
+    tools = {
+        "first": lambda column: customers.agg(F.min(column).alias(column)),
+        "rows": lambda step_1_result: customers.join(F.broadcast(step_1_result), "c_mktsegment"),  # one row
+        "totals": lambda by, step_2_result: step_2_result.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance")),
+    }
+    steps = [Step(3, "totals", {"by": "c_nationkey"}, [2]), Step(2, "rows", needs=[1]), Step(1, "first", {"column": "c_mktsegment"})]
+    return run_steps(steps, tools)[3]

@@ -1,7 +1,7 @@
 import pytest
 
 from lodestone.plans.analysis import analyse
-from lodestone.plans.answering import TableSchema, answer_rows, names_in, plan_filter, rows_of
+from lodestone.plans.answering import Step, TableSchema, answer_rows, names_in, plan_filter, rows_of, run_steps
 
 SCHEMA = TableSchema("who", "paid", "year")
 
@@ -27,3 +27,15 @@ def test_rows_of_questions(spark, paid):
 def test_what_no_table_answers(paid, text):
     with pytest.raises(ValueError):
         rows_of(analyse(text), paid, SCHEMA)
+
+
+def test_steps_run_after_what_they_need(spark):
+    tools = {"range": lambda n: spark.range(n), "both": lambda step_1_result, step_2_result: step_1_result.unionAll(step_2_result)}
+    out = run_steps([Step(3, "both", needs=[1, 2]), Step(1, "range", {"n": 2}), Step(2, "range", {"n": 3})], tools)
+    assert out[3].count() == 5 and run_steps([], tools) == {}
+
+
+@pytest.mark.parametrize("steps", [[Step(1, "none")], [Step(1, "range", {"n": 1}, [9])], [Step(1, "both", needs=[2]), Step(2, "both", needs=[1])], [Step(1, "range"), Step(1, "range")]])
+def test_plans_that_cannot_run(steps):
+    with pytest.raises(ValueError):
+        run_steps(steps, {"range": None, "both": None})
