@@ -11,6 +11,7 @@ from lodestone.llm.bpe import round_trip
 from lodestone.llm.common import table
 from lodestone.llm.embedding_dedup import near_vectors
 from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.funnel import count_funnels
 from lodestone.llm.html_extract import extract_pages
 from lodestone.llm.jaccard import jaccard_groups
 from lodestone.llm.langid import identify
@@ -18,6 +19,7 @@ from lodestone.llm.line_dedup import line_report
 from lodestone.llm.packing import best_fit_pack
 from lodestone.llm.secrets import find_secrets, span_digest
 from lodestone.llm.substring_dedup import passage_report
+from lodestone.llm.whitening import whiten
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -64,6 +66,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_funnels(table(spark, sf_dir, "clicks"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -76,6 +86,8 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op10_html_extraction": op10_html_extraction,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_funnel_counts": op13_funnel_counts,
     }
 
 
@@ -119,4 +131,30 @@ def oracle_sql() -> dict[str, str]:
                    coalesce(m.longest_run, 0) AS longest_run, sha256(coalesce(k.kept, '')) AS kept_sha256
             FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
         """,
+        "op13_funnel_counts": """
+            WITH e AS (SELECT DISTINCT client_id, kind, ts FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND ts IS NOT NULL),
+            f(funnel, s1, s2, s3, s4, ex) AS (VALUES ('A', 'view', 'click', 'view', 'purchase', 'error'),
+                ('B', 'signup', 'view', 'click', 'purchase', 'error'), ('C', 'click', 'click', 'purchase', 'view', 'signup')),
+            a1 AS (SELECT f.*, e.client_id, e.ts AS t1 FROM f JOIN e ON e.kind = f.s1),
+            b2 AS (SELECT a.*, e.ts AS t2 FROM a1 a ASOF JOIN e ON e.client_id = a.client_id AND e.kind = a.s2 AND e.ts > a.t1),
+            c2 AS (SELECT b.*, e.ts AS x FROM b2 b ASOF LEFT JOIN e ON e.client_id = b.client_id AND e.kind = b.ex AND e.ts > b.t1),
+            a2 AS (SELECT * EXCLUDE (x) FROM c2 WHERE t2 <= t1 + INTERVAL 60 MINUTE AND (x IS NULL OR x > t2)),
+            b3 AS (SELECT a.*, e.ts AS t3 FROM a2 a ASOF JOIN e ON e.client_id = a.client_id AND e.kind = a.s3 AND e.ts > a.t2),
+            c3 AS (SELECT b.*, e.ts AS x FROM b3 b ASOF LEFT JOIN e ON e.client_id = b.client_id AND e.kind = b.ex AND e.ts > b.t2),
+            a3 AS (SELECT * EXCLUDE (x) FROM c3 WHERE t3 <= t2 + INTERVAL 60 MINUTE AND (x IS NULL OR x > t3)),
+            b4 AS (SELECT a.*, e.ts AS t4 FROM a3 a ASOF JOIN e ON e.client_id = a.client_id AND e.kind = a.s4 AND e.ts > a.t3),
+            c4 AS (SELECT b.*, e.ts AS x FROM b4 b ASOF LEFT JOIN e ON e.client_id = b.client_id AND e.kind = b.ex AND e.ts > b.t3),
+            a4 AS (SELECT * EXCLUDE (x) FROM c4 WHERE t4 <= t3 + INTERVAL 60 MINUTE AND (x IS NULL OR x > t4)),
+            s AS (SELECT funnel, client_id, 1 AS step, NULL::BIGINT AS took FROM a1
+                UNION ALL SELECT funnel, client_id, 2, epoch_us(t2) - epoch_us(t1) FROM a2
+                UNION ALL SELECT funnel, client_id, 3, epoch_us(t3) - epoch_us(t2) FROM a3
+                UNION ALL SELECT funnel, client_id, 4, epoch_us(t4) - epoch_us(t3) FROM a4),
+            g AS (SELECT funnel, client_id, count(*) FILTER (step = 1) AS n1, count(*) FILTER (step = 2) AS n2, count(*) FILTER (step = 3) AS n3,
+                    count(*) FILTER (step = 4) AS n4, max(step)::INT AS deepest, list_sort(list(took) FILTER (step = 2)) AS l2,
+                    list_sort(list(took) FILTER (step = 3)) AS l3, list_sort(list(took) FILTER (step = 4)) AS l4
+                FROM s GROUP BY funnel, client_id)
+            SELECT funnel, client_id, n1, n2, n3, n4, deepest, l2[(90 * n2 + 99) // 100] AS t2, l3[(90 * n3 + 99) // 100] AS t3,
+                   l4[(90 * n4 + 99) // 100] AS t4, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth
+            FROM g
+        """,
     }
