@@ -17,6 +17,7 @@ from lodestone.llm.jaccard import jaccard_groups
 from lodestone.llm.langid import identify
 from lodestone.llm.line_dedup import line_report
 from lodestone.llm.packing import best_fit_pack
+from lodestone.llm.private_data import find_private, private_digest
 from lodestone.llm.secrets import find_secrets, span_digest
 from lodestone.llm.substring_dedup import passage_report
 from lodestone.llm.whitening import whiten
@@ -66,6 +67,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_digest(find_private(table(spark, sf_dir, "documents")))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -86,6 +91,7 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op10_html_extraction": op10_html_extraction,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op11_private_data": op11_private_data,
         "op12_embedding_whitening": op12_embedding_whitening,
         "op13_funnel_counts": op13_funnel_counts,
     }
