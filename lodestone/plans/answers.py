@@ -113,7 +113,7 @@ def table_chunks(spark, d):
 
 @query("""WITH c AS (SELECT lpad((100000 + l_partkey % 900000)::VARCHAR, 6, '0') AS c, l_quantity AS v FROM lineitem), w AS (SELECT unnest([0, 1, 2]) AS level, unnest([2, 4, 6]) AS w)
           SELECT level::INTEGER AS level, rpad(substring(c, 1, w), 6, '0') AS code, round(sum(v), 2) AS total, count(*) AS n FROM c, w GROUP BY 1, 2""")
-def code_levels(spark, d):
+def code_level_sums(spark, d):
     rows = table(spark, d, "lineitem").select((100000 + F.col("l_partkey") % 900000).cast("string").alias("code"), "l_quantity")
     return answers.code_levels(rows, "code", "l_quantity", [2, 4, 6]).withColumn("total", F.round("total", 2))
 

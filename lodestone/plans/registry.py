@@ -12,9 +12,11 @@ SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name; without SQL it is tested in tests/ instead."""
+    """Register a query under its function's name, which no other query may have; without SQL it is tested in tests/ instead."""
 
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"a query named {f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql

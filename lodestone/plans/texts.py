@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import numeric, similarity, text
-from lodestone.operators import chunking, entities, search, structure, web
+from lodestone.operators import chunking, entities, names, search, structure, web
 from lodestone.plans.registry import query, table
 from lodestone.sources import ingest
 
@@ -199,8 +199,28 @@ def fuzzy_ratio_best(spark, d):
 @query()
 def disambiguate(spark, d):
     part = table(spark, d, "part")
-    pairs = entities.scored(entities.candidates(part.select(F.regexp_replace("p_name", "ring", "rng").alias("q")), part, "q", "p_name"), "q", "p_name")
-    return entities.ambiguity(entities.best_matches(pairs, "q", "p_name", 0.3), "q").select("q", F.round("best", 6).alias("best"), F.round("second", 6).alias("second"), "ambiguous")
+    found = names.entity_candidates(part.select(F.regexp_replace("p_name", "ring", "rng").alias("q")), part, "q", "p_name")
+    return entities.ambiguity(found, "q").select("q", F.round("best", 6).alias("best"), F.round("second", 6).alias("second"), "ambiguous")
+
+
+@query("""SELECT v.name AS vendor, c.name AS client, levenshtein(v.name, c.name) AS edits FROM (SELECT DISTINCT name FROM vendors) v, (SELECT DISTINCT name FROM clients) c
+          WHERE abs(length(v.name) - length(c.name)) <= 4 AND levenshtein(v.name, c.name) <= 4""")
+def names_within_edits(spark, d):
+    found = names.within_edits(table(spark, d, "vendors"), table(spark, d, "clients"), "name", "name", 4)
+    return found.select(F.col("a").alias("vendor"), F.col("b").alias("client"), F.col("edits").cast("long").alias("edits"))
+
+
+@query("SELECT i.w AS word, v.name AS vendor FROM (SELECT DISTINCT unnest(string_split(name, ' ')) AS w FROM clients) i, (SELECT DISTINCT name FROM vendors) v WHERE i.w <> '' AND contains(v.name, i.w)")
+def names_containing(spark, d):
+    words = table(spark, d, "clients").select(F.explode(F.split("name", " ")).alias("word"))
+    return names.containing(words, table(spark, d, "vendors"), "word", "name").where("a <> ''").select(F.col("a").alias("word"), F.col("b").alias("vendor"))
+
+
+@query()
+def similar_vendors(spark, d):
+    """The clients whose names are most like each vendor's."""
+    asked, known = table(spark, d, "vendors").select(F.col("name").alias("vendor")), table(spark, d, "clients").select(F.col("name").alias("client"))
+    return names.similar_names(asked, known, "vendor", "client").withColumn("score", F.round("score", 6))
 
 
 @query("""WITH v AS (SELECT w AS term, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) GROUP BY w HAVING count(*) >= 3),

@@ -103,7 +103,26 @@ class Collection:
 
 
 TREES = "org.apache.spark.sql.catalyst.trees.TreeNode"
-LOGICAL = "org.apache.spark.sql.catalyst.plans.logical"
+PLAN = "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"
+#: What a query may be made of, as the parser names it; whatever is not here is refused.
+PLANS = frozenset(
+    "Project Filter Aggregate Join LateralJoin Sort Distinct Union Intersect Except GlobalLimit LocalLimit Offset SubqueryAlias OneRowRelation LocalRelation Generate Sample Pivot Unpivot Window "
+    "WithWindowDefinition UnresolvedWith UnresolvedRelation UnresolvedInlineTable UnresolvedHaving UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction UnresolvedTVFAliases".split()
+)
+TABLE_FUNCTIONS = frozenset("explode explode_outer posexplode posexplode_outer inline inline_outer range stack".split())
+FUNCTIONS = TABLE_FUNCTIONS | frozenset(
+    # aggregates and windows
+    "any_value approx_count_distinct avg bool_and bool_or collect_list collect_set corr count count_if covar_pop covar_samp every first first_value kurtosis last last_value listagg max max_by mean median min min_by mode "
+    "percentile percentile_approx percentile_cont percentile_disc some skewness std stddev stddev_pop stddev_samp sum string_agg try_avg try_sum var_pop var_samp variance cume_dist dense_rank lag lead nth_value ntile percent_rank rank row_number grouping grouping_id "
+    # conditions, casts and numbers
+    "between coalesce if ifnull nullif nullifzero nvl nvl2 zeroifnull isnan isnull isnotnull abs ceil ceiling exp floor greatest least ln log log10 log2 mod negative pmod power pow rand round bround sign sqrt width_bucket bigint boolean date decimal double float int smallint string timestamp tinyint "
+    # texts
+    "ascii char_length character_length concat concat_ws contains endswith initcap instr lcase left length levenshtein like locate lower lpad ltrim md5 overlay position regexp regexp_count regexp_extract regexp_extract_all regexp_like regexp_replace regexp_substr repeat replace reverse right rlike rpad rtrim sha2 split split_part startswith substr substring substring_index translate trim ucase upper "
+    # times
+    "add_months current_date current_timestamp date_add date_diff date_format date_part date_sub date_trunc datediff day dayofmonth dayofweek dayofyear extract from_unixtime hour last_day make_date minute month months_between next_day now quarter second timestampadd timestampdiff to_date to_timestamp trunc unix_timestamp weekofyear window year "
+    # arrays, maps, structs and JSON
+    "array array_agg array_contains array_distinct array_except array_intersect array_join array_max array_min array_position array_remove array_size array_sort array_union arrays_zip aggregate cardinality element_at exists filter flatten forall from_json get get_json_object json_array_length map map_from_arrays map_keys map_values named_struct reduce sequence size slice sort_array struct to_json transform zip_with".split()
+)
 
 
 def _parts(value, gateway) -> Iterator:
@@ -127,11 +146,19 @@ def _parts(value, gateway) -> Iterator:
 def _tables(node, gateway, known: frozenset[str]) -> Iterator[str]:
     """Names of the tables that a parsed query reads, those of common table expressions in scope left out.
 
-    Raises ValueError at a command or a write anywhere in the tree.
+    Raises ValueError where the tree holds a plan or a function that is not listed, or a name that is made while the query runs.
     """
     kind = node.getClass().getSimpleName()
-    if any(is_instance_of(gateway, node, f"{LOGICAL}.{k}") for k in ("Command", "ParsedStatement")) or kind.startswith(("Insert", "Create", "Drop", "Delete", "Update", "Merge", "Alter", "Truncate", "Set")) and not kind.startswith("SetOp"):
-        raise ValueError(f"only queries are run, not {kind}")
+    if kind.endswith("UnresolvedIdentifier"):
+        raise ValueError("names are to be written out, not computed")
+    if is_instance_of(gateway, node, PLAN) and kind not in PLANS:
+        raise ValueError(f"{kind} is not allowed in a query")
+    if kind in ("UnresolvedFunction", "UnresolvedTableValuedFunction"):
+        parts = (node.nameParts() if kind == "UnresolvedFunction" else node.name()).mkString("\0").lower().split("\0")
+        if len(parts) > 1 or parts[0] not in (FUNCTIONS if kind == "UnresolvedFunction" else TABLE_FUNCTIONS):
+            raise ValueError(f"function {'.'.join(parts)} is not allowed in a query")
+    if kind == "UnresolvedGenerator" and node.name().unquotedString().lower() not in TABLE_FUNCTIONS:
+        raise ValueError(f"function {node.name().unquotedString()} is not allowed in a query")
     if kind == "UnresolvedRelation":
         name = ".".join(n.lower() for n in node.multipartIdentifier().mkString("\0").split("\0"))
         if name not in known:
@@ -152,8 +179,9 @@ def _tables(node, gateway, known: frozenset[str]) -> Iterator[str]:
 def safe_select(spark: SparkSession, query: str, tables: set[str] | None = None) -> DataFrame:
     """Run one SELECT or WITH; its whole parsed tree decides, not words in its text.
 
-    Raises ValueError for a command or a write anywhere in it and, where tables are given, for any other table that it reads; the
-    name of a common table expression counts only where it is in scope.
+    Raises ValueError for any plan beyond PLANS and any function beyond FUNCTIONS anywhere in it, so for commands, writes, dynamic
+    statements and names, and calls into the JVM; and, where tables are given, for any other table that it reads. The name of a
+    common table expression counts only where it is in scope. Without `tables` every table and file that Spark can read is open.
     """
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)

@@ -49,6 +49,11 @@ def test_only_queries_run(spark, sql):
     [
         "WITH x AS (SELECT 1 AS id) INSERT INTO sink SELECT * FROM x", "SELECT * FROM secret -- , secret as (", "SELECT * FROM secret, (WITH secret AS (SELECT 1) SELECT * FROM secret) y",
         "SELECT (SELECT max(id) FROM secret) AS m", "SELECT 1 WHERE EXISTS (SELECT 1 FROM secret)", "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a", "SELECT * FROM t UNION SELECT * FROM secret",
+        "EXECUTE IMMEDIATE 'CREATE TABLE planted USING parquet AS SELECT 1 AS id'", "EXECUTE IMMEDIATE 'SELECT * FROM secret'", "SELECT * FROM IDENTIFIER('secret')", "SELECT IDENTIFIER('id') FROM t",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home') FROM t", "SELECT reflect('java.lang.System', 'setProperty', 'a', 'b') FROM t", "SELECT try_reflect('java.lang.System', 'getProperty', 'a') FROM t",
+        "SELECT id FROM t ORDER BY reflect('java.lang.System', 'getProperty', 'a')", "SELECT transform(array(1), x -> java_method('java.lang.Math', 'abs', x)) FROM t", "SELECT * FROM t LATERAL VIEW reflect('a', 'b') v AS x",
+        "SELECT * FROM read_files('/etc')", "SELECT input_file_name() FROM t", "SELECT session.own(id) FROM t", "SELECT assert_true(false) FROM t", "SELECT TRANSFORM(id) USING 'cat' FROM t", "TABLE secret", "FROM t INSERT INTO sink SELECT id",
+        "BEGIN SELECT 1; END", "DECLARE x INT", "SHOW TABLES", "DESCRIBE t", "CALL p()", "SELECT * FROM t |> EXTEND java_method('java.lang.System', 'getProperty', 'a') AS x", "CACHE TABLE t", "REFRESH TABLE t",
         "SELECT * FROM parquet.`/etc`", "EXPLAIN SELECT 1", "SET x = 1", "CREATE VIEW v AS SELECT 1", "SELECT * FROM other.t",
     ],
 )
@@ -63,6 +68,22 @@ def test_common_table_expressions_pass(spark):
     assert tuple(collections.safe_select(spark, sql, {"t"}).first()) == (2, 3)
 
 
+@pytest.mark.parametrize(
+    ("sql", "first"),
+    [
+        ("SELECT count(*) AS n FROM t a JOIN t b USING (id) WHERE a.id BETWEEN 0 AND 5", 3), ("SELECT id FROM t UNION ALL SELECT id + 9 FROM t EXCEPT SELECT 2 ORDER BY 1 DESC LIMIT 1", 11),
+        ("SELECT sum(id) FILTER (WHERE id > 0) FROM t", 3), ("SELECT max(r) FROM (SELECT rank() OVER (PARTITION BY id % 2 ORDER BY id) AS r FROM t) x", 2), ("SELECT count(*) FROM t LATERAL VIEW explode(array(1, 2)) v AS x", 6),
+        ("SELECT id % 2 AS k, count(*) FROM t GROUP BY ROLLUP (id % 2) HAVING count(*) > 2 ORDER BY 2", None), ("SELECT CASE WHEN id IN (SELECT max(id) FROM t) THEN upper('a') ELSE trim(' b ') END FROM t ORDER BY id DESC", "A"),
+        ("SELECT count(*) FROM t, LATERAL (SELECT t.id AS y) z WHERE EXISTS (SELECT 1 FROM t u WHERE u.id = t.id)", 3), ("SELECT s[0] FROM (VALUES (array('x'))) v(s)", "x"), ("SELECT date_trunc('year', DATE'2024-05-06') IS NOT NULL", True),
+        ("SELECT extract(YEAR FROM DATE'2024-05-06') + CAST('1' AS INT) FROM t", 2025), ("SELECT aggregate(transform(array(1, 2), x -> x * 2), 0, (a, b) -> a + b) FROM t", 6), ("SELECT count(DISTINCT id) FROM (SELECT DISTINCT id FROM t) x", 3),
+        ("SELECT * FROM (SELECT id, id % 2 AS k FROM t) PIVOT (count(id) FOR k IN (0, 1))", 2), ("SELECT id FROM t WHERE id LIKE '2%'", 2),
+    ],
+)
+def test_plain_queries_pass_the_guard(spark, sql, first):
+    spark.range(3).createOrReplaceTempView("t")
+    assert collections.safe_select(spark, sql, {"t"}).first()[0] == first
+
+
 def test_appended_rows_are_added_to_a_version(spark, tmp_path):
     c = collections.Collection(spark, str(tmp_path / "c"))
     for k in "abc":
