@@ -90,10 +90,10 @@ def advance(standing: DataFrame) -> DataFrame:
     seen = seen.where(wanted | F.array_contains("excluded", F.col("s.kind")))
     # a kind that is wanted and excluded at once ends the attempt
     free = wanted & ~F.array_contains("excluded", F.col("s.kind"))
-    order = F.col("s.t") * 2 + free.cast("long")
-    best = seen.select("funnel", "client_id", "t", "n", F.col("s.t").alias("at"), free.alias("free"), order.alias("o"))
-    best = best.groupBy("funnel", "client_id", "t", "n").agg(F.min_by("at", "o").alias("at"), F.min_by("free", "o").alias("free"))
-    return best.where("free").select("funnel", "client_id", F.col("at").alias("t"), (F.col("at") - F.col("t")).alias("took"), "n")
+    took = F.col("s.t") - F.col("t")
+    best = seen.select("funnel", "client_id", "t", "n", took.alias("took"), free.alias("free"), (took * 2 + free.cast("long")).alias("o"))
+    best = best.groupBy("funnel", "client_id", "t", "n").agg(F.min_by("took", "o").alias("took"), F.min_by("free", "o").alias("free"))
+    return best.where("free").select("funnel", "client_id", (F.col("t") + F.col("took")).alias("t"), "took", "n")
 
 
 def percentile(times: DataFrame, keys: list[str], value: str, n: str, share: int) -> DataFrame:
@@ -131,6 +131,7 @@ def count_funnels(clicks: DataFrame, funnels: Sequence[Funnel] = FUNNELS, minute
     zoned = rows.schema["ts"].dataType.typeName() == "timestamp"
     events = rows.dropna().select("client_id", "kind", micros("ts", zoned).alias("t"))
     places = stash(successors(events, kinds, within), "successors")
+    tidy(spark)
 
     first = F.broadcast(definitions.where("step = 0"))
     starting = places.select("client_id", "t", "nexts", F.explode("kinds").alias("kind")).join(first, "kind").withColumn("n", F.lit(1).cast("long"))
