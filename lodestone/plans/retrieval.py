@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import similarity
-from lodestone.operators import graph, quality, search, structured
+from lodestone.operators import cells, graph, quality, search, structured
 from lodestone.plans.registry import query, table
 from lodestone.streaming import stateful, windows
 
@@ -83,6 +83,16 @@ def keyword_scores(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(score, 6).alias("score"))
 
 
+@query("""WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS b FROM embeddings),
+          s AS (SELECT qid, id, round(list_cosine_similarity(a, b), 9) AS score FROM q, p WHERE id <> qid)
+          SELECT qid, id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
+def cell_neighbours(spark, d):
+    """Every row whose id is divisible by 100 against all rows, exact by the cells' bounds."""
+    vectors = table(spark, d, "embeddings")
+    found = cells.CellIndex(vectors, "vec_id", "embedding").search(vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", 5, exact=True)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {DENSE} SELECT doc, round(dense, 6) AS dense FROM v ORDER BY v.dense DESC, doc LIMIT 25")
 def cosine_topk(spark, d):
     return search.top_k(_dense(spark, d), 25, "dense").withColumn("dense", F.round("dense", 6))
