@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import numeric, similarity, text
-from lodestone.operators import chunking, entities, names, search, structure, web
+from lodestone.operators import chunking, correction, entities, names, search, structure, web
 from lodestone.plans.registry import query, table
 from lodestone.sources import ingest
 
@@ -203,6 +203,15 @@ def disambiguate(spark, d):
     return entities.ambiguity(found, "q").select("q", F.round("best", 6).alias("best"), F.round("second", 6).alias("second"), "ambiguous")
 
 
+@query()
+def corrected_questions(spark, d):
+    """User turns with the words that the benchmark's texts lack replaced by the best path through their suggestions."""
+    corpus, turns = table(spark, d, "benchmark"), table(spark, d, "conversations").where("lower(role) = 'user'")
+    ids = F.concat_ws(":", "conv_id", "turn").alias("id")
+    found = correction.corrected(turns.select(ids, "text"), "id", "text", correction.term_counts(corpus, "text"), correction.pair_counts(corpus, "text"))
+    return found.select("id", F.sha2("corrected", 256).alias("corrected_sha256"), F.size("changes").cast("long").alias("n_changes"))
+
+
 @query("""SELECT v.name AS vendor, c.name AS client, levenshtein(v.name, c.name) AS edits FROM (SELECT DISTINCT name FROM vendors) v, (SELECT DISTINCT name FROM clients) c
           WHERE abs(length(v.name) - length(c.name)) <= 4 AND levenshtein(v.name, c.name) <= 4""")
 def names_within_edits(spark, d):
