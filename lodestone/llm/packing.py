@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +33,9 @@ from lodestone.llm.common import id_text, stash
 
 #: Fixed: how the public byte-level vocabulary splits a text into pretokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The library's pattern runs out of stack on white space of several hundred thousand characters; texts that hold a run of this
+#: length are left to the named method, which gives the same ids.
+LONG_WHITE = re.compile(r"\s{10000}")
 CAPACITY = 1024
 END_ID = 2
 TASK_PIECES = 1 << 36  # more full pieces than a task can have
@@ -50,13 +54,12 @@ class LibraryEncoder(Encoder):
         self.library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def split(self, text: str) -> list[bytes]:
-        return [packed(self.library.encode_ordinary(text))]
+        return super().split(text) if LONG_WHITE.search(text) else [packed(self.library.encode_ordinary(text))]
 
     def learn(self, chunks: list[str]) -> None:
         if len(self.memo) + len(chunks) > self.limit:
             self.memo.clear()
-        encode = self.library.encode_ordinary
-        self.memo.update((c, None if not c or c.isspace() else packed(encode(" " + c))) for c in chunks)
+        self.memo.update((c, None if not c or c.isspace() else b"".join(self.split(" " + c))) for c in chunks)
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
