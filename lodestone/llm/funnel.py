@@ -50,10 +50,11 @@ def micros(ts: str, zoned: bool) -> Column:
     return ((days * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60_000_000 + (F.expr(f"extract(second from `{ts}`)") * 1_000_000).cast("long")
 
 
-def successors(events: DataFrame, kinds: Sequence[str], within: int) -> DataFrame:
+def successors(events: DataFrame, kinds: Sequence[str], within: int) -> tuple[DataFrame, DataFrame]:
     """client_id, t, kinds (of the events at t) and nexts (kind and time of each kind's next event, at most `within` later).
 
-    events has client_id, kind and t in microseconds, without nulls; rows may repeat.
+    events has client_id, kind and t in microseconds, without nulls; rows may repeat. The second frame is the written copy that
+    the first one reads, to be released when that is written, too.
     """
     coarse_bits = max(8, (within - 1).bit_length())
     fine_bits = int(coarse_bits * FINE_SHARE)
@@ -70,13 +71,18 @@ def successors(events: DataFrame, kinds: Sequence[str], within: int) -> DataFram
     # every fine bucket shows itself to its own coarse bucket and to the one before
     shown = first.withColumn("back", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("coarse", coarse - F.col("back"))
     beyond = Window.partitionBy("client_id", "coarse").orderBy(F.desc("fine")).rowsBetween(Window.unboundedPreceding, -1)
-    far = shown.select("client_id", "fine", "back", *(F.min(f"first{i}").over(beyond).alias(f"far{i}") for i in names)).where("back = 0").drop("back")
-
-    both = near.join(far.hint("merge"), ["client_id", "fine"])
+    far = shown.select("client_id", "fine", "back", *(F.min(f"first{i}").over(beyond).alias(f"far{i}") for i in names)).where("back = 0")
+    # only what some position of the fine bucket can reach travels back; the way there is freed before
+    end = F.shiftleft(F.col("fine") + 1, fine_bits) + within
+    far = far.select("client_id", "fine", *(F.when(F.col(f"far{i}") < end, F.col(f"far{i}")).alias(f"far{i}") for i in names))
+    far = stash(far.where(F.coalesce(*(f"far{i}" for i in names)).isNotNull()), "far")
+    tidy(events.sparkSession)
+
+    both = near.join(far.hint("merge"), ["client_id", "fine"], "left")
     found = [F.coalesce(f"near{i}", f"far{i}") for i in names]
     nexts = F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), found[i].alias("t")) for i, k in enumerate(kinds))), lambda s: s["t"] <= F.col("t") + within)
     here = F.array_compact(F.array(*(F.when(F.col(f"at{i}"), F.lit(k)) for i, k in enumerate(kinds))))
-    return both.select("client_id", "t", here.alias("kinds"), nexts.alias("nexts"))
+    return both.select("client_id", "t", here.alias("kinds"), nexts.alias("nexts")), far
 
 
 def advance(standing: DataFrame) -> DataFrame:
@@ -130,8 +136,10 @@ def count_funnels(clicks: DataFrame, funnels: Sequence[Funnel] = FUNNELS, minute
     rows = clicks.select(clicks[client].cast("long").alias("client_id"), clicks[kind].cast("string").alias("kind"), clicks[ts].alias("ts"))
     zoned = rows.schema["ts"].dataType.typeName() == "timestamp"
     events = rows.dropna().select("client_id", "kind", micros("ts", zoned).alias("t"))
-    places = stash(successors(events, kinds, within), "successors")
-    tidy(spark)
+    found, far = successors(events, kinds, within)
+    places = stash(found, "successors")
+    del found
+    release(far)
 
     first = F.broadcast(definitions.where("step = 0"))
     starting = places.select("client_id", "t", "nexts", F.explode("kinds").alias("kind")).join(first, "kind").withColumn("n", F.lit(1).cast("long"))
