@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import release, stash, tidy
@@ -50,6 +50,12 @@ def micros(ts: str, zoned: bool) -> Column:
     return ((days * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60_000_000 + (F.expr(f"extract(second from `{ts}`)") * 1_000_000).cast("long")
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Delete the shuffle files of finished steps; Spark holds on to the last query's plan until another one has run."""
+    spark.range(1).selectExpr("id + 1").collect()
+    tidy(spark)
+
+
 def successors(events: DataFrame, kinds: Sequence[str], within: int) -> tuple[DataFrame, DataFrame]:
     """client_id, t, kinds (of the events at t) and nexts (kind and time of each kind's next event, at most `within` later).
 
@@ -76,7 +82,7 @@ def successors(events: DataFrame, kinds: Sequence[str], within: int) -> tuple[Da
     end = F.shiftleft(F.col("fine") + 1, fine_bits) + within
     far = far.select("client_id", "fine", *(F.when(F.col(f"far{i}") < end, F.col(f"far{i}")).alias(f"far{i}") for i in names))
     far = stash(far.where(F.coalesce(*(f"far{i}" for i in names)).isNotNull()), "far")
-    tidy(events.sparkSession)
+    free_shuffles(events.sparkSession)
 
     both = near.join(far.hint("merge"), ["client_id", "fine"], "left")
     found = [F.coalesce(f"near{i}", f"far{i}") for i in names]
@@ -140,6 +146,7 @@ def count_funnels(clicks: DataFrame, funnels: Sequence[Funnel] = FUNNELS, minute
     places = stash(found, "successors")
     del found
     release(far)
+    free_shuffles(spark)
 
     first = F.broadcast(definitions.where("step = 0"))
     starting = places.select("client_id", "t", "nexts", F.explode("kinds").alias("kind")).join(first, "kind").withColumn("n", F.lit(1).cast("long"))
@@ -148,7 +155,7 @@ def count_funnels(clicks: DataFrame, funnels: Sequence[Funnel] = FUNNELS, minute
     standing = starting.where("want is not null")
     for step in range(1, longest):
         rounds.append(stash(advance(standing), f"step{step + 1}"))
-        tidy(spark)
+        free_shuffles(spark)
         counts.append(rounds[-1].groupBy("funnel", "client_id").agg(F.sum("n").alias("n")).withColumn("step", F.lit(step + 1)))
         # attempts that have met go on as one
         met = rounds[-1].groupBy("funnel", "client_id", "t").agg(F.sum("n").alias("n"))
