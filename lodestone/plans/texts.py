@@ -212,10 +212,12 @@ def corrected_questions(spark, d):
     return found.select("id", F.sha2("corrected", 256).alias("corrected_sha256"), F.size("changes").cast("long").alias("n_changes"))
 
 
-@query("""SELECT v.name AS vendor, c.name AS client, levenshtein(v.name, c.name) AS edits FROM (SELECT DISTINCT name FROM vendors) v, (SELECT DISTINCT name FROM clients) c
-          WHERE abs(length(v.name) - length(c.name)) <= 4 AND levenshtein(v.name, c.name) <= 4""")
+@query("""SELECT v.name AS vendor, c.name AS client, levenshtein(v.name, c.name) AS edits FROM (SELECT DISTINCT regexp_replace(name, '[^ -~]', '_', 'g') AS name FROM vendors) v,
+          (SELECT DISTINCT regexp_replace(name, '[^ -~]', '_', 'g') AS name FROM clients) c WHERE levenshtein(v.name, c.name) <= 4""")
 def names_within_edits(spark, d):
-    found = names.within_edits(table(spark, d, "vendors"), table(spark, d, "clients"), "name", "name", 4)
+    """Letters beyond ASCII count as one mark each, since the SQL twin counts bytes."""
+    plain = lambda t: table(spark, d, t).select(F.regexp_replace("name", "[^ -~]", "_").alias("name"))
+    found = names.within_edits(plain("vendors"), plain("clients"), "name", "name", 4)
     return found.select(F.col("a").alias("vendor"), F.col("b").alias("client"), F.col("edits").cast("long").alias("edits"))
 
 
