@@ -18,7 +18,8 @@ def test_query_gives_what_its_sql_gives(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
 def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() >= 0
+    # no page of the tables holds items in JSON-LD
+    assert (QUERIES[name](spark, FOLDER).count() > 0) == (name != "jsonld_items")
 
 
 def test_entry(spark):
