@@ -35,7 +35,7 @@ def _parts(length: Column, k: int) -> tuple[Column, Column]:
 
 
 def _joined(x: DataFrame, y: DataFrame) -> DataFrame:
-    return x.join(y, "key").select("a", "b").distinct()
+    return x.join(y.hint("merge"), "key").select("a", "b").distinct()
 
 
 def within_edits(left: DataFrame, right: DataFrame, a: str, b: str, k: int = 2) -> DataFrame:
