@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import numeric, similarity, text
-from lodestone.operators import chunking, correction, entities, names, search, structure, web
+from lodestone.operators import chunking, correction, entities, markdown, names, search, structure, web
 from lodestone.plans.registry import query, table
 from lodestone.sources import ingest
 
@@ -109,6 +109,11 @@ def jsonld_items(spark, d):
     return web.items(table(spark, d, "pages"))
 
 
+@query()
+def pages_as_markdown(spark, d):
+    return markdown.page_markdown(table(spark, d, "pages"))
+
+
 @query()
 def html_plain_text(spark, d):
     return table(spark, d, "pages").select("page_id", web.html_text("html").alias("text"))
