@@ -16,7 +16,7 @@ DROPPED = ("script", "style", "nav", "footer", "header", "aside", "form")
 #: fixed values: links that stay plain text begin so
 PLAIN_LINKS = ("#", "javascript:", "mailto:")
 
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav "
     "noscript ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -42,33 +42,21 @@ DEEPEST = 32
 WIDEST = 20
 
 
-class _Writer(HTMLParser):
-    """Parser events to blocks of Markdown. Each event costs what it opens or closes, so a page takes linear time."""
+class OpenElements(HTMLParser):
+    """The stack of open elements, in which end tags that are left out are implied; each event costs what it opens or closes."""
 
-    def __init__(self, url: str, dropped: frozenset[str]) -> None:
+    def __init__(self, dropped: frozenset[str]) -> None:
         super().__init__(convert_charrefs=True)
-        self.base, self.dropped = url, dropped
+        self.dropped = dropped
         self.open: list[str] = []
         self.places: dict[str, list[int]] = {}  # of each name, where it stands in `open`
         self.scopes: list[int] = []
-        self.gone = 0  # open elements that are left out
-        self.blocks: list[str] = []
-        self.runs: list[tuple[str, tuple[bool, bool, bool], str | None]] = []
-        self.styles = [0, 0, 0]
-        self.hrefs: list[str | None] = []
-        self.nest: list[list] = []  # quotes and list items: [first prefix, further prefix, used]
-        self.lists: list[int | None] = []  # the next number, or None without numbers
-        self.rows: list[list[list[str]]] | None = None  # rows of cells of parts
-        self.head = False  # the first row is one of headers
-        self.cells = 0
-        self.span = 1
-        self.tight = False  # the last block stood in a list
-        self.around: list[list] = []  # and in these
-        self.code: list[str] | None = None
-        self.language = ""
-        self.title, self.description, self.in_title, self.n_links = "", "", False, 0
 
-    # the stack of open elements
+    def enter(self, tag: str, named: dict) -> None:
+        """After an element, with its attributes, was opened; void ones are not left."""
+
+    def leave(self, tag: str) -> None:
+        """After an element was closed."""
 
     def push(self, tag: str) -> None:
         self.places.setdefault(tag, []).append(len(self.open))
@@ -99,7 +87,7 @@ class _Writer(HTMLParser):
             self.pop_to(self.last("p"))
         elif tag == "a" and self.last("a") > (self.scopes[-1] if self.scopes else -1):
             self.pop_to(self.last("a"))
-        if tag not in _VOID:
+        if tag not in VOID:
             self.push(tag)
         self.enter(tag, named)
 
@@ -118,7 +106,28 @@ class _Writer(HTMLParser):
         if place >= 0 and place >= wall:
             self.pop_to(place)
 
-    # what an element does
+class _Writer(OpenElements):
+    """Parser events to blocks of Markdown; a page takes linear time."""
+
+    def __init__(self, url: str, dropped: frozenset[str]) -> None:
+        super().__init__(dropped)
+        self.base = url
+        self.gone = 0  # open elements that are left out
+        self.blocks: list[str] = []
+        self.runs: list[tuple[str, tuple[bool, bool, bool], str | None]] = []
+        self.styles = [0, 0, 0]
+        self.hrefs: list[str | None] = []
+        self.nest: list[list] = []  # quotes and list items: [first prefix, further prefix, used]
+        self.lists: list[int | None] = []  # the next number, or None without numbers
+        self.rows: list[list[list[str]]] | None = None  # rows of cells of parts
+        self.head = False  # the first row is one of headers
+        self.cells = 0
+        self.span = 1
+        self.tight = False  # the last block stood in a list
+        self.around: list[list] = []  # and in these
+        self.code: list[str] | None = None
+        self.language = ""
+        self.title, self.description, self.in_title, self.n_links = "", "", False, 0
 
     def enter(self, tag: str, named: dict) -> None:
         if tag in self.dropped:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import numeric, similarity, text
-from lodestone.operators import chunking, correction, entities, markdown, names, search, structure, web
+from lodestone.operators import chunking, correction, entities, listings, markdown, names, search, structure, web
 from lodestone.plans.registry import query, table
 from lodestone.sources import ingest
 
@@ -114,6 +114,15 @@ def pages_as_markdown(spark, d):
     return markdown.page_markdown(table(spark, d, "pages"))
 
 
+@query(r"""WITH li AS (SELECT page_id, url, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>.*?</li>') AS found FROM pages),
+               one AS (SELECT page_id, url, unnest(found) AS x, unnest(range(len(found)))::INTEGER AS position FROM li WHERE len(found) >= 3)
+          SELECT page_id, 0 AS region, position, 'menu' AS kind, trim(regexp_replace(x, '<[^>]*>', '', 'g')) AS title, '' AS price,
+                 regexp_extract(url, '^([a-z]+://[^/]+)', 1) || regexp_extract(x, 'href="([^"]*)"', 1) AS link, '' AS description, 0.2::DOUBLE AS confidence FROM one""")
+def repeated_page_items(spark, d):
+    # the only repeated subtrees of the stored pages are their menus
+    return listings.mined_items(table(spark, d, "pages"))
+
+
 @query()
 def html_plain_text(spark, d):
     return table(spark, d, "pages").select("page_id", web.html_text("html").alias("text"))
