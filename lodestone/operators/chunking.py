@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions.text import whole_word
+
 Piece = tuple[int, str]
 BREAKS = ("\n\n", "\n", ". ", "؟ ", "! ", " ")
 SENTENCE = re.compile(r"[^.!?؟\n]*[.!?؟]+\s*|[^.!?؟\n]+(?:\n+|$)|\n+")
@@ -142,8 +144,8 @@ def content_type(text: str | Column) -> Column:
     """legal, financial, technical, conversational or general by the first pattern that occurs."""
     t = F.col(text) if isinstance(text, str) else text
     return (
-        F.when(t.rlike(r"(ماده|تبصره)\s+\d+|(?i)\barticle\s+\d+"), "legal").when(t.rlike(r"(?m)^\|.*\|\s*$|(?i)\b(budget|revenue)\b|بودجه|درآمد"), "financial")
-        .when(t.rlike(r"```|(?i)\b(function|class|api)\b"), "technical").when(t.rlike(r"[?؟]"), "conversational").otherwise("general")
+        F.when(t.rlike(r"(ماده|تبصره)\s+\d+|(?i)(?<![0-9A-Za-z_])article\s+\d+"), "legal").when(t.rlike(rf"(?m)^\|.*\|\s*$|(?i){whole_word('budget|revenue')}|بودجه|درآمد"), "financial")
+        .when(t.rlike(rf"```|(?i){whole_word('function|class|api')}"), "technical").when(t.rlike(r"[?؟]"), "conversational").otherwise("general")
     )
 
 

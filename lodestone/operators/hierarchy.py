@@ -14,10 +14,11 @@ from lodestone.sources.scratch import stash
 LEVELS = {"part": ("قسمت",), "section": ("بخش",), "clause": ("بند",), "main_entity": ("دستگاه اصلی", "دستگاه اصلي"), "entity": ("دستگاه اجرایی", "دستگاه اجرايي", "دستگاه"), "item": ("جزء", "جزو")}
 
 
-def detect_level(question: str | Column, levels: Mapping[str, Sequence[str]] = LEVELS, default: str | None = "entity") -> Column:
-    """The first of the ordered levels of which a word stands in the question, in either case; the default otherwise, and for null."""
+def detect_level(question: str | Column, levels: Mapping[str, Sequence[str]] = LEVELS, default: str | None = "entity", letters: str = r"[\p{L}\p{N}_]") -> Column:
+    """The first of the ordered levels of which a word stands in the question, in either case and not
+    next to letters; the default otherwise, and for null."""
     text = F.lower(F.col(question) if isinstance(question, str) else question)
-    found = [F.when(text.rlike(r"(?<![\p{L}\p{N}_])(?:" + "|".join(re.escape(w.lower()) for w in words) + r")(?![\p{L}\p{N}_])"), name) for name, words in levels.items()]
+    found = [F.when(text.rlike(f"(?<!{letters})(?:" + "|".join(re.escape(w.lower()) for w in words) + f")(?!{letters})"), name) for name, words in levels.items()]
     return F.coalesce(*found, F.lit(default).cast("string"))
 
 

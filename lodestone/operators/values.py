@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import whole_word
+
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -70,7 +72,7 @@ def synonym_score(query: Column, question: Column, synonyms: dict[str, Sequence[
 def ordinal(text: str | Column, words: Sequence[str] = ("first", "second", "third", "fourth", "fifth")) -> Column:
     """The row that a text asks for by an ordinal word or a digit from 1 to 5, the smallest if there are several."""
     t = F.lower(_c(text))
-    return F.coalesce(*(F.when(t.rlike(rf"\b{w}\b|(?<![0-9]){k}(?![0-9])"), k) for k, w in enumerate(words, 1)), F.lit(None).cast("int"))
+    return F.coalesce(*(F.when(t.rlike(rf"{whole_word(w)}|(?<![0-9]){k}(?![0-9])"), k) for k, w in enumerate(words, 1)), F.lit(None).cast("int"))
 
 
 def matching_rows(docs: DataFrame, doc_id: str, text: str, term: str, separator: str = r"\|") -> DataFrame:

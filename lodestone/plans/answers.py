@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import whole_word
 from lodestone.operators import answers
 from lodestone.plans.registry import query, table
 
@@ -70,7 +71,7 @@ def typed_patterns(spark, d):
 @query(r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[0-9]+')) AS n, len(regexp_extract_all(lower(text), '\bthe\b')) AS t FROM documents)
            SELECT doc_id, greatest(n, t)::INTEGER AS n, CASE WHEN t >= n THEN 'words' ELSE 'numbers' END AS type, least(greatest(n, t) / 3, 1.0) AS confidence FROM c WHERE greatest(n, t) > 0""")
 def pattern_classes(spark, d):
-    best = answers.pattern_class("text", {"numbers": "[0-9]+", "words": r"\bthe\b"})
+    best = answers.pattern_class("text", {"numbers": "[0-9]+", "words": whole_word("the")})
     return table(spark, d, "documents").select("doc_id", best.alias("b")).where("b is not null").select("doc_id", "b.n", "b.type", "b.confidence")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import whole_word
 from lodestone.operators import decisions, values
 from lodestone.plans.registry import query, table
 
@@ -61,7 +62,7 @@ def source_relevance(spark, d):
 
 @query(r"SELECT doc_id, (regexp_matches(lower(text), '\bder\b') OR regexp_matches(lower(text), '\bles\b')) AND NOT regexp_matches(lower(text), '\bthe\b') AS off_topic FROM documents")
 def off_topic(spark, d):
-    return table(spark, d, "documents").select("doc_id", decisions.off_topic("text", [r"\bder\b", r"\bles\b"], [r"\bthe\b"]).alias("off_topic"))
+    return table(spark, d, "documents").select("doc_id", decisions.off_topic("text", [whole_word("der"), whole_word("les")], [whole_word("the")]).alias("off_topic"))
 
 
 @query("""WITH r AS (SELECT user_id, value / 500 AS s, row_number() OVER (PARTITION BY user_id ORDER BY value / 500 DESC, event_id) AS r FROM events)

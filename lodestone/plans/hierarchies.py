@@ -42,4 +42,4 @@ def drilled_level(spark, d):
           FROM conversations""")
 def question_levels(spark, d):
     levels = {"top": ["region", "the"], "middle": ["of", "and"]}
-    return table(spark, d, "conversations").select("conv_id", "turn", hierarchy.detect_level("text", levels, "low").alias("level"))
+    return table(spark, d, "conversations").select("conv_id", "turn", hierarchy.detect_level("text", levels, "low", "[0-9A-Za-z_]").alias("level"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import whole_word
+
 FOLLOW_UPS = ("what about", "and", "also", "why", "how about", "it", "that")
 
 
@@ -56,7 +58,7 @@ def with_history(turns: DataFrame, by: str, order: str, text: str, n: int = 5) -
 def follow_up(text: Column, has_history: Column, most_words: int = 5) -> Column:
     """Whether a turn leans on the ones before: history, and an indicator word or few words."""
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    hint = F.lower(text).rlike(r"\b(" + "|".join(FOLLOW_UPS) + r")\b")
+    hint = F.lower(text).rlike(whole_word("|".join(FOLLOW_UPS)))
     return has_history & (hint | (F.size(words) <= most_words))
 
 
