@@ -1,13 +1,13 @@
 """Names that resemble each other, found completely and without comparing all pairs.
 
-Each measure has an index whose keys two names share whenever the measure reaches its threshold, so candidates come from an
-equi-join and only they are compared:
+Edits and the best names by ratio are found in pairs of blocks, where arrays of bounds leave few pairs to compare (name_blocks).
+The other measures have an index whose keys two names share whenever the measure reaches its threshold, so candidates come from
+an equi-join and only they are compared:
 
-- edits: a name cut into k + 1 parts keeps one of them whole under k edits, at a place at most k away;
 - ratio: blocks that difflib matches hold the same characters, so a ratio of r takes r * (m + n) / 2 characters in common
   (each with its number among its like); of sets with that overlap the rarest members share `share` of them;
-- containment: all trigrams of the inner name are in the outer one, so its rarest one is;
-- words: a common word is a key itself.
+- containment: all runs of eight characters of the inner name are in the outer one, so its rarest one is;
+- words: a common word is a key itself; for a Jaccard index one of the rarest words is common.
 """
 
 from __future__ import annotations
@@ -20,20 +20,13 @@ from pyspark.sql import functions as F
 from lodestone.functions.similarity import combined, jaccard, overlap_coefficient, sequence_ratio
 from lodestone.functions.text import tokens
 from lodestone.operators.entities import entity_key
+from lodestone.operators.name_blocks import nearest_by_ratio, pairs_within_edits
 
 
 def _sides(left: DataFrame, right: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
     return left.select(F.col(a).alias("a")).dropna().distinct(), right.select(F.col(b).alias("b")).dropna().distinct()
 
 
-def _parts(length: Column, k: int) -> tuple[Column, Column]:
-    """Starts (from 1) and lengths of k + 1 parts of nearly equal length, as arrays."""
-    short, longer = F.floor(length / (k + 1)), length % (k + 1)
-    extra = lambda i: F.greatest(F.lit(0), i - (k + 1 - longer))
-    numbers = F.sequence(F.lit(0), F.lit(k))
-    return F.transform(numbers, lambda i: (i * short + extra(i) + 1).cast("int")), F.transform(numbers, lambda i: (short + (i >= k + 1 - longer).cast("int")).cast("int"))
-
-
 def _joined(x: DataFrame, y: DataFrame) -> DataFrame:
     return x.join(y.hint("merge"), "key").select("a", "b").distinct()
 
@@ -41,26 +34,8 @@ def _joined(x: DataFrame, y: DataFrame) -> DataFrame:
 def within_edits(left: DataFrame, right: DataFrame, a: str, b: str, k: int = 2) -> DataFrame:
     """a, b and edits of all pairs of distinct non-null names with at most k edits."""
     x, y = _sides(left, right, a, b)
-    n = F.length("b")
-    at, size = _parts(n, k)
-    cut = F.transform(F.arrays_zip(at.alias("at"), size.alias("size")), lambda p, i: F.struct(n.alias("n"), i.alias("i"), F.substring("b", p["at"], p["size"]).alias("s")))
-    # names of at most k characters have no part that must stay whole; they meet the names that short enough for k edits
-    short = F.array(F.struct(n.alias("n"), F.lit(-1).alias("i"), F.lit("").alias("s")))
-    y = y.select("b", F.explode(F.when(n > k, cut).otherwise(short)).alias("key"))
-
-    m = F.length("a")
-    sizes = F.filter(F.sequence(m - k, m + k), lambda v: v >= 0)
-
-    def probes(v: Column) -> Column:
-        at, size = _parts(v, k)
-        zipped = F.transform(F.arrays_zip(at.alias("at"), size.alias("size")), lambda p, i: F.struct(p["at"].alias("at"), p["size"].alias("size"), i.alias("i")))
-        near = lambda p: F.filter(F.sequence(p["at"] - k, p["at"] + k), lambda s: (s >= 1) & (s + p["size"] - 1 <= m))
-        keys = F.flatten(F.transform(zipped, lambda p: F.transform(near(p), lambda s: F.struct(v.alias("n"), p["i"].alias("i"), F.substring("a", s, p["size"]).alias("s")))))
-        return F.when(v > k, keys).otherwise(F.array(F.struct(v.alias("n"), F.lit(-1).alias("i"), F.lit("").alias("s"))))
-
-    x = x.select("a", F.explode(F.array_distinct(F.flatten(F.transform(sizes, probes)))).alias("key"))
     edits = F.levenshtein("a", "b", k)
-    return _joined(x, y).select("a", "b", edits.alias("edits")).where("edits >= 0")
+    return pairs_within_edits(x, y, k).select("a", "b", edits.alias("edits")).where("edits >= 0")
 
 
 def _numbered(name: str) -> Column:
@@ -99,8 +74,12 @@ def within_ratio(left: DataFrame, right: DataFrame, a: str, b: str, least: float
     return found.unionByName(empty).withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= least)
 
 
-def _grams(name: str, size: int = 3) -> Column:
-    """All trigrams; of shorter names the whole."""
+#: inner names are sought by runs of so many characters, shorter ones by their whole
+RUN = 8
+
+
+def _grams(name: str, size: int = RUN) -> Column:
+    """All runs of so many characters; of shorter names the whole."""
     n = F.length(name)
     return F.when(n <= size, F.array(F.col(name))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - size + 1)), lambda i: F.substring(name, i, F.lit(size)))))
 
@@ -108,8 +87,10 @@ def _grams(name: str, size: int = 3) -> Column:
 def containing(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
     """a and b of all pairs of distinct non-null names of which b contains a; the empty name is in none but itself."""
     x, y = _sides(inner, outer, a, b)
+    # the outer names' runs are made for the lengths that the inner ones ask for, at most eight numbers
+    sizes = sorted({max(1, r["n"]) for r in x.select(F.least(F.length("a"), F.lit(RUN)).alias("n")).distinct().collect()}) or [1]
     grams = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("b") - size + 1)), lambda i: F.substring("b", i, F.lit(size)))
-    y = y.select("b", F.explode(F.array_distinct(F.concat(*(grams(s) for s in (1, 2, 3))))).alias("key"))
+    y = y.select("b", F.explode(F.array_distinct(F.concat(*(grams(s) for s in sizes)))).alias("key"))
     known = y.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
     parts = x.select("a", _grams("a").alias("g")).select("a", F.size("g").alias("n"), F.explode("g").alias("key")).join(known, "key")
     # a name is in another only if all its parts are known
@@ -123,6 +104,24 @@ def sharing_words(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFram
     return _joined(x.select("a", words("a")), y.select("b", words("b")))
 
 
+def alike_by_words(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """a and b of all pairs with a common word whose words' Jaccard index is at least `least`.
+
+    A set of s words has ceil(least * s) of them in common with its partner, so one of its s - ceil(least * s) + 1 rarest is, and
+    a word that many names bear is a key of those only that have no rarer one.
+    """
+    x, y = _sides(left, right, a, b)
+    words = lambda side, name: side.select(name, F.explode(F.array_distinct(tokens(F.col(name)))).alias("w"))
+    known = words(x, "a").select("w").unionAll(words(y, "b").select("w")).groupBy("w").agg(F.count(F.lit(1)).alias("f"))
+
+    def keyed(side: DataFrame, name: str) -> DataFrame:
+        rare = words(side, name).join(known, "w").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("r"))
+        first = F.slice("r", F.lit(1), (F.size("r") - F.ceil(F.round(F.size("r") * least, 9)) + 1).cast("int"))
+        return rare.select(name, F.explode(F.transform(first, lambda v: v["w"])).alias("key"))
+
+    return _joined(keyed(x, "a"), keyed(y, "b")).where(jaccard(F.split("a", r"\s+"), F.split("b", r"\s+")) >= least)
+
+
 def _keyed_names(rows: DataFrame, name: str, key: str) -> DataFrame:
     return rows.select(F.col(name).alias(f"{key}_name")).dropna().distinct().withColumn(key, entity_key(f"{key}_name"))
 
@@ -142,8 +141,10 @@ def similar_names(queries: DataFrame, names: DataFrame, query: str, name: str, l
     x, y = _keyed_names(queries, query, "x"), _keyed_names(names, name, "y")
     held = containing(x, y, "x", "y").select(F.col("a").alias("x"), F.col("b").alias("y"))
     holds = containing(y, x, "y", "x").select(F.col("b").alias("x"), F.col("a").alias("y"))
-    words = sharing_words(x, y, "x", "y").select(F.col("a").alias("x"), F.col("b").alias("y")).where(jaccard(F.split("x", r"\s+"), F.split("y", r"\s+")) >= least)
-    near = within_ratio(x, y, "x", "y", least).select(F.col("a").alias("x"), F.col("b").alias("y"), "ratio")
+    words = alike_by_words(x, y, "x", "y", least).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    # any other tier gives more than a ratio can, so only the n best by ratio may be among the n best
+    sides = x.select(F.col("x").alias("a")).distinct(), y.groupBy(F.col("y").alias("b")).agg(F.min("y_name").alias("first"))
+    near = nearest_by_ratio(*sides, least, n).select(F.col("a").alias("x"), F.col("b").alias("y"), "ratio")
     pairs = held.unionByName(holds).unionByName(words).withColumn("ratio", F.lit(None).cast("double")).unionByName(near).groupBy("x", "y").agg(F.max("ratio").alias("ratio"))
     nx, ny, j = F.length("x"), F.length("y"), jaccard(F.split("x", r"\s+"), F.split("y", r"\s+"))
     score = (
