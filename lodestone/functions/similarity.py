@@ -32,9 +32,9 @@ def token_similarity(a: str | Column, b: str | Column) -> Column:
     return 0.5 * jaccard(a, b) + 0.5 * overlap_coefficient(a, b)
 
 
-def coverage(query: str | Column, found: str | Column) -> Column:
-    """The share of distinct query tokens that are found."""
-    q = F.array_distinct(_c(query))
+def coverage(query: str | Column, found: str | Column, distinct: bool = False) -> Column:
+    """The share of distinct query tokens that are found; `distinct` says that none repeats."""
+    q = _c(query) if distinct else F.array_distinct(_c(query))
     return _ratio(F.size(F.array_intersect(q, _c(found))), F.size(q))
 
 

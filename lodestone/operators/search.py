@@ -108,9 +108,9 @@ def rerank_fusion(rows: DataFrame, rerank: str, original: str, alpha: float = 0.
     return rows.withColumn("final_score", F.when(high > low, alpha * (F.col(rerank) - low) / (high - low) + (1 - alpha) * F.col(original))).drop("__low", "__high")
 
 
-def fallback_rerank(query: Column, words: Column, phrase: Column) -> Column:
-    """.7 word coverage and .3 for the phrase, where no model scores are given."""
-    return 0.7 * coverage(query, words) + 0.3 * phrase.cast("double")
+def fallback_rerank(query: Column, words: Column, phrase: Column, distinct: bool = False) -> Column:
+    """.7 word coverage and .3 for the phrase, where no model scores are given; with `distinct` no query word repeats."""
+    return 0.7 * coverage(query, words, distinct) + 0.3 * phrase.cast("double")
 
 
 def gap_cut(rows: DataFrame, score: str, by: Sequence[str], key: str, floor: float = 0.20, share: float = 0.40, ratio: float = 0.35, cap: int = 12) -> DataFrame:

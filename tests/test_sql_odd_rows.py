@@ -31,3 +31,11 @@ def test_menus_with_marks_references_and_prices(spark, tmp_path):
     pages = [(k, "https://a.example.com/x/1?p=2#z", page(w)) for k, w in enumerate(words)]
     spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     assert same(spark, "repeated_page_items", tmp_path)
+
+
+def test_turns_are_worked_out_before_they_meet_the_questions(spark):
+    folder = "/root/testdata/sf0.001"
+    plan = QUERIES["lexical_rerank"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    product = next(k for k, line in enumerate(plan.splitlines()) if "Join" in line)
+    above = "\n".join(plan.splitlines()[:product])
+    assert "lower(" not in above and "array_distinct" not in above
