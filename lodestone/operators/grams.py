@@ -26,15 +26,18 @@ FIRST = 1 << 10
 TEXTS = 1000
 
 
-def coded_words(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array, np.ndarray]]:
-    """Some rows at a time, with the words of their lists one after the other as places in an array of distinct words, that array,
+def coded_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """Of some rows at a time the words of their lists one after the other as places in an array of distinct words, that array,
     and how many words each list has; a null list has none."""
     for batch in batches:
         for at in range(0, batch.num_rows, TEXTS):
-            part = batch.slice(at, TEXTS)
-            lists = part.column(column)
-            coded = lists.flatten().dictionary_encode()
-            yield part, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield coded(batch.column(0).slice(at, TEXTS))
+
+
+def coded(lists: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    found = lists.flatten().dictionary_encode()
+    lengths = pc.fill_null(pc.list_value_length(lists), 0)
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary, lengths.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def sequences(codes: np.ndarray, distinct: pa.Array, lengths: np.ndarray, sizes: list[int], buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -58,7 +61,7 @@ def frequent_grams(rows: DataFrame, words: Column, tops: Mapping[int, int], leas
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(sizes), buckets), np.int64)
-        for _, *texts in coded_words(batches):
+        for texts in coded_words(batches):
             for n, _, bucket in sequences(*texts, sizes, buckets):
                 sums[sizes.index(n)] += np.bincount(bucket, minlength=buckets)
         k, bucket = np.nonzero(sums)
@@ -66,7 +69,7 @@ def frequent_grams(rows: DataFrame, words: Column, tops: Mapping[int, int], leas
 
     def counted(chosen: np.ndarray) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, codes, distinct, lengths in coded_words(batches):
+            for codes, distinct, lengths in coded_words(batches):
                 for n, at, bucket in sequences(codes, distinct, lengths, sizes, buckets):
                     at = at[chosen[sizes.index(n)][bucket]]
                     # equal sequences get equal numbers, one word after the other
