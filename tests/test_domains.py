@@ -60,3 +60,19 @@ def test_held_out_texts(spark, label, least):
     right = sum(k for (a, b), k in pairs.items() if a == b) / n
     print(label, n, right, common, pairs)
     assert right >= least > common
+
+
+def test_each_text_is_split_once_to_learn_and_once_to_classify(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        reads.add(1)
+        return text
+
+    rows = spark.createDataFrame([(k, str(k % 2), f"w{k % 7} w{k % 3} v{k}") for k in range(40)], "id long, y string, text string")
+    counted = rows.withColumn("text", read.asNondeterministic()("text"))
+    model = domains.learn(counted, "y", "text")
+    assert reads.value == 40
+    assert domains.classify(counted, "id", "text", model).count() == 40
+    assert reads.value == 80
