@@ -13,14 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hot_join(rows: DataFrame, lookup: DataFrame, keys: list[str], copies: str, share: int = 1000) -> DataFrame:
+def hot_join(rows: DataFrame, lookup: DataFrame, keys: list[str], copies: str, share: int = 1000, written: bool = False) -> DataFrame:
     """rows with the columns of lookup, which has one row a key and in `copies` how many rows have it.
 
     A key of one in `share` rows or more is looked up by broadcast, since there are at most `share` of them; the others are
-    merged. So no task gets all rows of a hot key, whatever adaptive execution makes of it.
+    merged. So no task gets all rows of a hot key, whatever adaptive execution makes of it. Where lookup is a written copy, its
+    rows are counted instead, so that rows are not worked out for that, and a join that no key needs is left out.
     """
-    limit = max(1, rows.count() // share)
+    if written:
+        total, least, most = lookup.agg(F.sum(copies), F.min(copies), F.max(copies)).first()
+    else:
+        total, least, most = rows.count(), None, None
+    limit = max(1, (total or 0) // share)
     hot, rest = lookup.where(F.col(copies) >= limit).drop(copies), lookup.where(F.col(copies) < limit).drop(copies)
+    if least is not None and least >= limit:
+        return rows.join(F.broadcast(hot), keys)
+    if most is not None and most < limit:
+        return rows.join(rest, keys)
     cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
 

@@ -349,7 +349,7 @@ def jaccard_rows(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str
     placed = node.join(linked, "rep", "left").select("row", "doc_id", "text_hash", "n_shingles", F.coalesce("component", "rep").alias("component"))
     placed = stash(placed, "placed")
     smallest = stash(placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("copies")), "smallest")
-    return hot_join(placed, smallest, ["component"], "copies").select("row", "doc_id", "text_hash", "n_shingles", "component_id", "component")
+    return hot_join(placed, smallest, ["component"], "copies", written=True).select("row", "doc_id", "text_hash", "n_shingles", "component_id", "component")
 
 
 def jaccard_groups(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,42 +24,50 @@ WHITE = " \t\n\x0b\f\r"
 KEY = ["doc_id", "text_hash"]
 
 
-def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows in groups of two and more by keys, with the group's rank in the order of keys."""
-    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+def place() -> Column:
+    """Where a suffix starts; the first copy is the smallest."""
+    return F.struct(*KEY, "nth")
+
+
+def ranked(rows: DataFrame, keys: list[str], firsts: bool = False) -> DataFrame | None:
+    """rows in groups of two and more by keys, with the group's rank in the order of keys, and its first place if firsts is
+    set; None if there is no such group."""
+    first = [F.min(place()).alias("first")] if firsts else []
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), *first).where("copies > 1")
     # the ids follow partition and row, so after a sort by range they are in order; the written copy keeps them fixed
     order = stash(groups.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), "ranks")
-    out = stash(hot_join(rows, order, keys, "copies").drop(*keys), "suffixes")
+    out = None if order.isEmpty() else stash(hot_join(rows, order, keys, "copies", written=True).drop(*keys), "suffixes")
     release(order)
     return out
 
 
 def later_copies(level: DataFrame, depth: int) -> DataFrame:
     """The suffixes that are not the first of their interval, as blocks of `depth` lines, with the first's place."""
-    first = stash(level.groupBy("rank").agg(F.min(F.struct(*KEY, "nth")).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
-    found = hot_join(level, first, ["rank"], "copies").where(F.struct(*KEY, "nth") > F.col("first"))
+    found = level.where(place() > F.col("first"))
     return found.select(*KEY, "nth", F.lit(depth).alias("size"), F.col("first.doc_id").alias("source"), F.col("first.nth").alias("source_nth"))
 
 
-def blocks(lines: DataFrame, least: int) -> DataFrame:
-    """doc_id, text_hash, nth, size, source, source_nth of every block that repeats an earlier one, at all depths."""
+def blocks(lines: DataFrame, least: int) -> list[DataFrame]:
+    """doc_id, text_hash, nth, size, source, source_nth of the blocks that repeat an earlier one, a written copy for each depth."""
     level, depth = ranked(lines.select(*KEY, "nth", "long", "h1", "h2"), ["h1", "h2"]), 1
-    singles = level if least == 1 else level.where("long")
-    found = [stash(later_copies(singles, 1), "blocks")]
-    while not level.isEmpty():
+    found = []
+    if level is not None:
+        # only here are first places found apart: most lines are unique, and few of the others are runs of their own
+        singles = level if least == 1 else level.where("long")
+        first = stash(singles.groupBy("rank").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
+        found.append(stash(later_copies(hot_join(singles, first, ["rank"], "copies", written=True), 1), "blocks"))
+        release(first)
+    while level is not None:
         # the last step to `least` may overlap: two ranks then stand for fewer lines than twice the depth
         step = min(depth, least - depth) if depth < least else depth
         ahead = level.select(*KEY, (F.col("nth") - step).alias("nth"), F.col("rank").alias("next"))
-        paired = level.select(*KEY, "nth", F.col("rank").alias("own")).join(ahead, [*KEY, "nth"])
-        deeper, depth = ranked(paired, ["own", "next"]), depth + step
-        if depth >= least:
-            found.append(stash(later_copies(deeper, depth), "blocks"))
+        paired = stash(level.select(*KEY, "nth", F.col("rank").alias("own")).join(ahead, [*KEY, "nth"]), "pairs")
         release(level)
-        level = deeper
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        level, depth = ranked(paired, ["own", "next"], firsts=True), depth + step
+        release(paired)
+        if level is not None and depth >= least:
+            found.append(stash(later_copies(level, depth), "blocks"))
+    return found
 
 
 def filled(text: Column) -> Column:
@@ -81,7 +89,9 @@ def repeated_runs(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> Da
     whole = heads.groupBy("text_hash", "more", "n").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
     copies = stash(heads.join(whole, ["text_hash", "more", "n"]).where("doc_id > source").select(*KEY, "n", "source"), "copies")
     own = lines.drop("more", "n").join(copies.select(*KEY), KEY, "left_anti").dropDuplicates([*KEY, "nth"])
-    found = stash(blocks(own, least), "blocks")
+    found = own.select(*KEY, "nth", F.lit(0).alias("size"), F.col("doc_id").alias("source"), F.col("nth").alias("source_nth")).limit(0)
+    for more in blocks(own, least):
+        found = found.unionByName(more)
     by_place = Window.partitionBy(*KEY).orderBy("nth", F.desc("size"))
     before = F.max(F.col("nth") + F.col("size")).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     opened = found.withColumn("opens", F.when(before.isNull() | (F.col("nth") >= before), 1).otherwise(0)).withColumn("run", F.sum("opens").over(by_place))

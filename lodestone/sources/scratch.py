@@ -32,12 +32,14 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here, files outlive any executor.
 
     Unlike an RDD checkpoint the copy keeps column pruning and its size, which the planner uses to choose joins. A copy lasts
-    until release, or until the process ends.
+    until release, or until the process ends. Driver's garbage is collected after each copy: between collections its heap
+    grows to several times what is live in it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     _WRITTEN[path] = spark
     df.write.parquet(path)
+    tidy(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out

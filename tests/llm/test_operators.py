@@ -565,6 +565,19 @@ def test_lines_of_rows_without_id_or_with_repeated_ids(spark):
     assert sorted(out["text"]) == ["end", shared, shared, shared]
 
 
+def test_rounds_of_lines_take_few_jobs(spark):
+    """Each job's exchanges bring tasks and threads that the driver holds in memory for a while."""
+    run = "\n".join(f"line {k} of a run" for k in range(40))
+    docs = documents(spark, [f"a\n{run}\nb", f"c\n{run}\nd", run, "alone"])
+    spark.sparkContext.setJobGroup("lines", "rounds of lines")
+    try:
+        kept = by_id(line_dedup.keep_distinct_lines(docs))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert kept["text"].to_dict() == {0: f"a\n{run}\nb", 1: "c\nd", 3: "alone"}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("lines")) <= 130
+
+
 def test_blank_lines_do_not_break_runs(spark):
     shared = "\n\n".join(f"paragraph {k} of ten that two documents share" for k in range(10))
     docs = documents(spark, [shared, f"own start\n \n{shared}\nown end", "own start\nand no more"])
