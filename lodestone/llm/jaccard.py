@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ POINT = 256  # weight of a document's point, besides one for each shingle
 GROWTH = 1.5  # of the size bands
 ROUNDS = 2  # of dropping sets without a partner; more of them would only make families smaller
 WAYS = 1 << 10  # more than the size bands of texts that memory holds times SEEDS
-SHORT = 24  # bits that the first count of keys leaves out
+PARTS = 4  # a power of two: keys are shuffled in so many parts, one after the other, so that disk holds one part's shuffle
 SEEDS = 8  # ways of grouping that are tried for sets with too many empty groups
 WORDS = 400_000
 U = np.uint64
@@ -239,10 +240,15 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s ^ U(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(s ^ U(0x589965CC75374CC3))).astype(np.int64))
 
 
+def key_parts() -> list[str]:
+    return [f"keys{p}" for p in range(PARTS)]
+
+
 def sketch(plain: DataFrame, size: int, percent: int) -> DataFrame:
     """row (a number of its own for every row), doc_id, text_hash, n, d1, d2 (digest of the set) and the keys of its groups.
 
-    tags has a number for each way of grouping: the way and, in the lower half, how many keys any partner shares.
+    tags has a number for each way of grouping: the way and, in the lower half, how many keys any partner shares. The keys are
+    dealt by their highest bits into the columns of key_parts(), which are read one at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -257,49 +263,49 @@ def sketch(plain: DataFrame, size: int, percent: int) -> DataFrame:
                 keys, owners, tags = keys[order], owners[order], ((ways << 32) + least)[order]
                 first = np.ones(len(keys), bool)
                 first[1:] = (owners[1:] != owners[:-1]) | (tags[1:] != tags[:-1])
+                part_of = (keys >> U(32)).astype(np.int64) * PARTS >> 32
                 listed = []
-                for of, held in ((owners, keys.astype(np.int64)), (owners[first], tags[first])):
+                for of, held in ((owners[first], tags[first]), *((owners[part_of == p], keys[part_of == p].astype(np.int64)) for p in range(PARTS))):
                     offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=part.num_rows))]).astype(np.int32)
                     listed.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(held)))
                 rows = pa.array(np.arange(number, number + part.num_rows), pa.int64())
                 number += part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [rows, part.column(0), part.column(2), pa.array(np.diff(starts), pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), *listed],
-                    ["row", "doc_id", "text_hash", "n", "d1", "d2", "keys", "tags"],
+                    ["row", "doc_id", "text_hash", "n", "d1", "d2", "tags", *key_parts()],
                 )
 
     hashed = plain.select("doc_id", "text", F.xxhash64("text"))
-    return hashed.mapInArrow(run, "row long, doc_id long, text_hash long, n long, d1 long, d2 long, keys array<long>, tags array<long>")
+    return hashed.mapInArrow(run, "row long, doc_id long, text_hash long, n long, d1 long, d2 long, tags array<long>, " + ", ".join(f"{p} array<long>" for p in key_parts()))
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
-    """Rows whose key occurs in two sets, with the smallest set that has it."""
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
-    return keyed.join(shared, "key")
+    """Rows whose key occurs in two sets, with the smallest set that has it; each row travels once."""
+    own = Window.partitionBy("key")
+    return keyed.select("rep", "key", F.min("rep").over(own).alias("first"), F.max("rep").over(own).alias("last")).where("first < last").select("rep", "key", "first")
 
 
-def families(keyed: DataFrame, tags: DataFrame) -> DataFrame:
+def families(keyed: list[DataFrame], tags: DataFrame) -> DataFrame:
     """id and component_id of the sets (rep, key) that may have a partner, by shared keys over any number of steps.
 
-    Most keys are of one set only. They are told by a part of the key, which is counted without its set; what is left is few.
+    Most keys are of one set only; what is left is few. keyed has the parts of the keys, of which one is shuffled at a time.
     """
-    short = F.shiftrightunsigned("key", SHORT)
-    seen = keyed.groupBy(short.alias("short")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("short")
-    near = stash(keyed.withColumn("short", short).join(seen.hint("merge"), "short", "left_semi").select("rep", "key"), "near")
-    tidy(near.sparkSession)
-    hits = stash(shared_keys(near), "hits")
-    release(near)
+    found = []
+    for part in keyed:
+        found.append(stash(shared_keys(part), "hits"))
+        tidy(part.sparkSession)
+    hits = reduce(DataFrame.unionAll, found)
     for _ in range(ROUNDS):
         # a set with too few shared keys has no partner; without it, others may have too few
         counted = hits.groupBy("rep", F.col("key").bitwiseAND(F.lit(WAYS - 1)).alias("way")).agg(F.count(F.lit(1)).alias("n"))
         live = counted.join(tags, ["rep", "way"]).where("n >= least").select("rep", "way")
         with_way = hits.select("rep", "key", F.col("key").bitwiseAND(F.lit(WAYS - 1)).alias("way"))
         fewer = stash(shared_keys(with_way.join(live, ["rep", "way"], "left_semi").select("rep", "key")), "hits")
-        release(hits)
-        hits = fewer
+        release(*found)
+        hits, found = fewer, [fewer]
     # every set joins the smallest set with a key of its own
     stars = stash(hits.where("rep > first").select("rep", "first").distinct(), "stars")
-    release(hits)
+    release(*found)
     out = components(stars)
     release(stars)
     return out
@@ -312,16 +318,20 @@ def jaccard_rows(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str
     """
     plain = id_text(docs, id_col, text_col)
     tidy(docs.sparkSession)
-    rows = stash(sketch(plain, size, percent), "sketch")
+    drawn = stash(sketch(plain, size, percent), "sketch")
+    rows = stash(drawn.drop("tags", *key_parts()), "rows")
     known = rows.where("n > 0 and doc_id is not null")
     # sets that are equal are one representative from here on; only it brings keys
     reps = stash(known.groupBy("n", "d1", "d2").agg(F.min("row").alias("rep")), "reps")
     members = known.select("row", "n", "d1", "d2").join(reps, ["n", "d1", "d2"]).select("row", "rep")
     # copies are few next to all rows, and their written size decides how they are left out
     copies = stash(members.where("row > rep"), "copies")
-    keyed = known.join(copies.select("row"), "row", "left_anti").select(F.col("row").alias("rep"), F.explode("keys").alias("key"))
-    tags = rows.select(F.col("row").alias("rep"), F.explode("tags").alias("tag")).select("rep", F.shiftright("tag", 32).alias("way"), F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF)).alias("least"))
+    release(reps)
+    alone = drawn.where("n > 0 and doc_id is not null").join(copies.select("row"), "row", "left_anti")
+    keyed = [alone.select(F.col("row").alias("rep"), F.explode(p).alias("key")) for p in key_parts()]
+    tags = drawn.select(F.col("row").alias("rep"), F.explode("tags").alias("tag")).select("rep", F.shiftright("tag", 32).alias("way"), F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF)).alias("least"))
     family = families(keyed, tags).select(F.col("id").alias("row"), F.col("component_id").alias("family"))
+    release(drawn)  # the keys are most of what is written so far
     sized = family.join(known.select("row", "doc_id", "n", "d1", "d2"), "row")
     blocks = sized.groupBy("family").agg(F.ceil(F.sum(F.col("n") + POINT) / F.lit(BLOCK)).cast("int").alias("blocks"))
     active = stash(sized.join(blocks, "family").select("row", "doc_id", "d1", "d2", "family", "blocks"), "families")
@@ -348,6 +358,7 @@ def jaccard_rows(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str
     node = rows.select("row", "doc_id", "text_hash", F.col("n").alias("n_shingles")).join(copies, "row", "left").withColumn("rep", F.coalesce("rep", "row"))
     placed = node.join(linked, "rep", "left").select("row", "doc_id", "text_hash", "n_shingles", F.coalesce("component", "rep").alias("component"))
     placed = stash(placed, "placed")
+    release(rows, copies, active)
     smallest = stash(placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("copies")), "smallest")
     return hot_join(placed, smallest, ["component"], "copies", written=True).select("row", "doc_id", "text_hash", "n_shingles", "component_id", "component")
 
