@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import hot_join, id_text, release, stash, tidy
 from lodestone.llm.components import components
+from lodestone.sources.scratch import written_bytes
 
 COORDINATES = 32, 512  # least and most coordinates of a point
 LEAF = 16
@@ -36,6 +37,7 @@ GROWTH = 1.5  # of the size bands
 ROUNDS = 2  # of dropping sets without a partner; more of them would only make families smaller
 WAYS = 1 << 10  # more than the size bands of texts that memory holds times SEEDS
 PARTS = 4  # a power of two: keys are shuffled in so many parts, one after the other, so that disk holds one part's shuffle
+ONCE = 1 << 28  # bytes of a written sketch up to which all parts are shuffled at once, which takes the driver fewer jobs
 SEEDS = 8  # ways of grouping that are tried for sets with too many empty groups
 WORDS = 400_000
 U = np.uint64
@@ -328,7 +330,8 @@ def jaccard_rows(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str
     copies = stash(members.where("row > rep"), "copies")
     release(reps)
     alone = drawn.where("n > 0 and doc_id is not null").join(copies.select("row"), "row", "left_anti")
-    keyed = [alone.select(F.col("row").alias("rep"), F.explode(p).alias("key")) for p in key_parts()]
+    parts = [F.col(p) for p in key_parts()] if written_bytes(drawn) > ONCE else [F.concat(*key_parts())]
+    keyed = [alone.select(F.col("row").alias("rep"), F.explode(p).alias("key")) for p in parts]
     tags = drawn.select(F.col("row").alias("rep"), F.explode("tags").alias("tag")).select("rep", F.shiftright("tag", 32).alias("way"), F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF)).alias("least"))
     family = families(keyed, tags).select(F.col("id").alias("row"), F.col("component_id").alias("family"))
     release(drawn)  # the keys are most of what is written so far

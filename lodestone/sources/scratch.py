@@ -53,6 +53,13 @@ def release(*stashed: DataFrame) -> None:
     tidy(spark)
 
 
+def written_bytes(stashed: DataFrame) -> int:
+    """What a copy that stash has returned takes in the shared folder."""
+    spark = stashed.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(stashed._stash_path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nobody holds any more; it does so when the driver collects garbage."""
     gc.collect()
